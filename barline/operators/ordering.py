@@ -78,44 +78,32 @@ def in_blocks(
     return compute(d, window).filter(F.col("_wb") == F.col("_home")).drop("_wb", "_home")
 
 
-def running(
+def prefix(
     df: DataFrame,
     keys: Sequence[str],
-    pos: str,
-    sums: dict[str, Column],
-    block_rows: int = 4096,
-    peaks: dict[str, tuple[str, float]] | None = None,
+    order: Sequence[str | Column],
+    block: Column,
+    out: str,
+    value: Column,
+    how: str = "sum",
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Running sums over a long series in two levels: inside a block, plus the sum of earlier blocks.
+    """Running sum or maximum over a long series in two levels: inside a block, plus the blocks before.
 
-    ``peaks`` maps an output column to (running sum, floor): the running maximum of that sum, which is
-    again the larger of the block's own maximum and the best earlier block.
+    ``block`` must be monotone in ``order``.  One row per block crosses to the series level.
     """
     keys = list(keys)
-    peaks = peaks or {}
-    local = Window.partitionBy(*keys, "_rb").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("_rb", F.floor(F.col(pos) / F.lit(block_rows)).cast("bigint"))
-    for name, value in sums.items():
-        d = d.withColumn(f"_v_{name}", value).withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(local))
-    for name, (src, _) in peaks.items():
-        d = d.withColumn(f"_m_{name}", F.max(f"_l_{src}").over(local))
-    blocks = d.groupBy(*keys, "_rb").agg(
-        *[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in sums],
-        *[F.max(f"_l_{src}").alias(f"_t_{name}") for name, (src, _) in peaks.items()],
-        F.count(F.lit(1)).alias("_rows"),
-    )
+    fn = F.sum if how == "sum" else F.max
+    last = 0 if inclusive else -1
+    local = Window.partitionBy(*keys, "_rb").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    d = df.withColumn("_rb", block).withColumn("_value", value)
+    blocks = d.groupBy(*keys, "_rb").agg(fn("_value").alias("_whole"))
     earlier = Window.partitionBy(*keys).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
-    for name in sums:
-        blocks = blocks.withColumn(f"_o_{name}", F.coalesce(F.sum(f"_s_{name}").over(earlier), F.lit(0.0)))
-    for name, (src, _) in peaks.items():
-        blocks = blocks.withColumn(f"_p_{name}", F.max(F.col(f"_t_{name}") + F.col(f"_o_{src}")).over(earlier))
-    blocks = blocks.select(*keys, "_rb", *[f"_o_{n}" for n in sums], *[f"_p_{n}" for n in peaks])
-    joined = d.join(blocks, [*keys, "_rb"])
-    for name in sums:
-        joined = joined.withColumn(name, F.col(f"_l_{name}") + F.col(f"_o_{name}"))
-    for name, (src, floor) in peaks.items():
-        joined = joined.withColumn(
-            name,
-            F.greatest(F.lit(floor), F.col(f"_p_{name}"), F.col(f"_m_{name}") + F.col(f"_o_{src}")),
-        )
-    return joined.drop(*[c for c in joined.columns if c[:3] in {"_v_", "_l_", "_m_", "_o_", "_p_"} or c == "_rb"])
+    blocks = blocks.select(*keys, "_rb", fn("_whole").over(earlier).alias("_before"))
+    joined = d.withColumn("_local", fn("_value").over(local)).join(blocks, [*keys, "_rb"])
+    if how == "sum":
+        zero = F.lit(0)
+        combined = F.coalesce(F.col("_local"), zero) + F.coalesce(F.col("_before"), zero)
+    else:
+        combined = F.greatest("_local", "_before")
+    return joined.withColumn(out, combined).drop("_rb", "_value", "_local", "_before")
