@@ -332,10 +332,10 @@ def a1(t: Tables) -> DataFrame:
 
 @query(
     "a1_customer_orders", "custkey:i " + TRADE_SHAPE,
-    f"SELECT o_custkey AS custkey, {TRADE} FROM (SELECT *, (o_totalprice - 250000) / 1000 AS v FROM orders) GROUP BY 1",
+    f"SELECT o_custkey AS custkey, {TRADE} FROM (SELECT *, o_totalprice - 250000 AS v FROM orders) GROUP BY 1",
 )
 def a1b(t: Tables) -> DataFrame:
-    return t.table("orders").groupBy(F.col("o_custkey").alias("custkey")).agg(*st.trade_statistics((F.col("o_totalprice") - 250000) / 1000))
+    return t.table("orders").groupBy(F.col("o_custkey").alias("custkey")).agg(*st.trade_statistics(F.col("o_totalprice") - 250000))
 
 
 _PW = wilson_sql("r", "n")
@@ -684,8 +684,8 @@ def a27(t: Tables) -> DataFrame:
 
 @query(
     "a28_audit_summary", "records:i pairs:i transitions:i bins:i ready:b",
-    """SELECT (SELECT count(*) FROM x_rec) AS records, (SELECT count(DISTINCT pair) FROM x_rec) AS pairs, (SELECT count(*) FROM (SELECT DISTINCT pair, horizon, regime, nxt FROM (SELECT *, lead(regime) OVER (PARTITION BY pair, horizon ORDER BY ts) AS nxt FROM x_rec) WHERE nxt IS NOT NULL)) AS transitions,
-  (SELECT count(*) FROM x_bins) AS bins, records > 0 AND pairs > 1 AND transitions > 0 AND bins > 0 AS ready""",
+    """SELECT *, records > 0 AND pairs > 1 AND transitions > 0 AND bins > 0 AS ready FROM (SELECT (SELECT count(*) FROM x_rec) AS records, (SELECT count(DISTINCT pair) FROM x_rec) AS pairs, (SELECT count(*) FROM (SELECT DISTINCT pair, horizon, regime, nxt FROM (SELECT *, lead(regime) OVER (PARTITION BY pair, horizon ORDER BY ts) AS nxt FROM x_rec) WHERE nxt IS NOT NULL)) AS transitions,
+  (SELECT count(*) FROM x_bins) AS bins)""",
 )
 def a28(t: Tables) -> DataFrame:
     r = t.records().agg(F.count(F.lit(1)).alias("records"), F.count_distinct("pair").alias("pairs"))

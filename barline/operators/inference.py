@@ -19,33 +19,38 @@ STEP = 1103515245
 CHUNK = 10_000
 
 
-def mix(x: Column) -> Column:
-    """Scramble a 31-bit number; every step stays within 62 bits."""
-    for _ in range(2):
-        x = x.bitwiseXOR(F.shiftright(x, 16))
-        x = (x * F.lit(MIX).cast("bigint")).bitwiseAND(F.lit(MASK).cast("bigint"))
-    return x.bitwiseXOR(F.shiftright(x, 16))
-
+def mixed(df: DataFrame, name: str) -> DataFrame:
+    """Scramble a 31-bit column; every product stays within 62 bits.
 
-def draw(seed: Column, rep: Column, step: Column, n: Column) -> Column:
-    """Index in [0, n) drawn for (seed, repetition, step); the same inputs always give the same index."""
-    mask = F.lit(MASK).cast("bigint")
-    start = mix((seed + rep * F.lit(STEP).cast("bigint")).bitwiseAND(mask))
-    low = mix(start.bitwiseXOR((step * F.lit(STEP).cast("bigint")).bitwiseAND(mask)))
-    high = mix(low.bitwiseXOR(F.lit(MIX).cast("bigint")))
-    return F.when(n < 2**20, low % n).otherwise((high * F.lit(2**31).cast("bigint") + low) % n)
+    One projection per step: written as a single expression, its tree would double at every step.
+    """
+    c, mask = F.col(name), F.lit(MASK).cast("bigint")
+    for _ in range(2):
+        df = df.withColumn(name, c.bitwiseXOR(F.shiftright(c, 16)))
+        df = df.withColumn(name, (c * F.lit(MIX).cast("bigint")).bitwiseAND(mask))
+    return df.withColumn(name, c.bitwiseXOR(F.shiftright(c, 16)))
 
 
 def _draws(groups: DataFrame, keys: Sequence[str], reps: int, seed: int, steps: str, size: str) -> DataFrame:
-    """(keys, rep, step, idx) for every repetition; made in chunks on the executors, never as one big array."""
-    d = groups.select(*keys, steps, *([size] if size != steps else []))
-    d = d.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint")))).repartition(*keys, "rep")
-    last = F.floor((F.col(steps) - 1) / CHUNK).cast("bigint")
-    d = d.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    """(keys, rep, step, rn): the index in [0, size) drawn at every step of every repetition.
+
+    The index depends on (seed, rep, step) only, so a lost task draws the same again.  Steps are made in
+    chunks on the executors, never as one big array.
+    """
+    mask, stride, mixer = (F.lit(x).cast("bigint") for x in (MASK, STEP, MIX))
+    d = groups.select(*keys, F.col(steps).cast("bigint").alias("_steps"), F.col(size).cast("bigint").alias("_size"))
+    d = d.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))))
+    d = mixed(d.withColumn("_start", (F.lit(seed).cast("bigint") + F.col("rep") * stride).bitwiseAND(mask)), "_start")
+    last = F.floor((F.col("_steps") - 1) / CHUNK).cast("bigint")
+    d = d.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).repartition(*keys, "rep", "_chunk")
     first = F.col("_chunk") * CHUNK
-    d = d.withColumn("step", F.explode(F.sequence(first, F.least(first + CHUNK, F.col(steps).cast("bigint")) - 1)))
-    idx = draw(F.lit(seed).cast("bigint"), F.col("rep"), F.col("step"), F.col(size).cast("bigint"))
-    return d.select(*keys, "rep", "step", idx.alias("rn"))
+    d = d.withColumn("step", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("_steps")) - 1)))
+    s = F.col("step")
+    counter = (s.bitwiseAND(mask) * stride).bitwiseAND(mask).bitwiseXOR((F.shiftright(s, 31) * mixer).bitwiseAND(mask))
+    d = mixed(d.withColumn("_low", F.col("_start").bitwiseXOR(counter)), "_low")
+    wide = F.when(F.col("_size") < 2**20, 0).otherwise(F.col("_low").bitwiseXOR(mixer))
+    d = mixed(d.withColumn("_high", wide.cast("bigint")), "_high")
+    return d.select(*keys, "rep", "step", ((F.col("_high") * F.lit(2**31).cast("bigint") + F.col("_low")) % F.col("_size")).alias("rn"))
 
 
 def _sizes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
