@@ -37,11 +37,10 @@ def relative_distance(pairs: Sequence[tuple[Column, Column]]) -> Column:
     return F.sqrt(add(terms))
 
 
-def study_states(bars: DataFrame, study: Study) -> DataFrame:
-    """States on gap-free lookbacks, with forward moves, rolling scaler and volatility z-score.
+def study_states(bars: DataFrame, study: Study, gap_free: bool = True) -> DataFrame:
+    """States (on gap-free lookbacks only, unless told otherwise) with their forward moves.
 
-    ``spos`` numbers these states per pair; ``pos`` stays the bar position.  ``scaled`` marks states with
-    a full history.
+    ``spos`` numbers these states per pair; ``pos`` stays the bar position.
     """
 
     def compute(d: DataFrame, window: Callable[..., object]) -> DataFrame:
@@ -54,10 +53,10 @@ def study_states(bars: DataFrame, study: Study) -> DataFrame:
         return d
 
     d = in_blocks(bars, ["pair"], "pos", study.lookback + 1, study.max_horizon, compute, study.block_rows)
-    d = d.filter("back_ok")
+    d = d.filter("back_ok") if gap_free else d.filter(F.col("pos") >= study.lookback)
     moves = [m for h in study.horizons for m in (long_move(h).alias(f"long_{h}"), short_move(h).alias(f"short_{h}"))]
     d = d.select(
-        "pair", "ts", "pos", "ahead_ok", *DISTANCE_FEATURES, "breakout", *moves, *[f"end_{h}" for h in study.horizons]
+        "pair", "ts", "pos", "bars", "ahead_ok", *DISTANCE_FEATURES, "breakout", *moves, *[f"end_{h}" for h in study.horizons]
     )
     block = time_block("ts", study.interval_s * study.block_rows)
     return with_positions(d, ["pair"], ["ts"], block, out="spos")
