@@ -11,6 +11,7 @@ from barline.functions.labels import col
 from barline.functions.statistics import logistic, upper_tail
 from barline.operators.ordering import in_blocks
 from barline.operators.paths import ranked
+from barline.session import spread, written
 
 # 31-bit mask and multipliers of the counter-based generator.
 MASK = 2**31 - 1
@@ -31,38 +32,62 @@ def mixed(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, c.bitwiseXOR(F.shiftright(c, 16)))
 
 
-def _draws(groups: DataFrame, keys: Sequence[str], reps: int, seed: int, steps: str, size: str) -> DataFrame:
-    """(keys, rep, step, rn): the index in [0, size) drawn at every step of every repetition.
+def _draws(groups: DataFrame, reps: int, seed: int, steps: str, size: str, whole: bool = False) -> DataFrame:
+    """(gid, rep, step, key): the row drawn at every step of every repetition, as an index over all groups.
 
-    The index depends on (seed, rep, step) only, so a lost task draws the same again.  Steps are made in
-    chunks on the executors, never as one big array.
+    The draw depends on (seed, rep, step) only, so a lost task draws the same again.  Steps are made in
+    chunks on the executors, never as one big array; ``whole`` keeps a repetition in one task for
+    work that needs its order.
     """
     mask, stride, mixer = (F.lit(x).cast("bigint") for x in (MASK, STEP, MIX))
-    d = groups.select(*keys, F.col(steps).cast("bigint").alias("_steps"), F.col(size).cast("bigint").alias("_size"))
+    d = groups.select("gid", F.col("first").alias("_first"), F.col(steps).cast("bigint").alias("_steps"), F.col(size).cast("bigint").alias("_size"))
+    large = (d.agg(F.max("_size")).first()[0] or 0) >= 2**20
     d = d.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))))
     d = mixed(d.withColumn("_start", (F.lit(seed).cast("bigint") + F.col("rep") * stride).bitwiseAND(mask)), "_start")
     last = F.floor((F.col("_steps") - 1) / CHUNK).cast("bigint")
-    d = d.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).repartition(*keys, "rep", "_chunk")
-    first = F.col("_chunk") * CHUNK
-    d = d.withColumn("step", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("_steps")) - 1)))
+    d = d.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    d = spread(d, "gid", "rep") if whole else spread(d, "gid", "rep", "_chunk")
+    begin = F.col("_chunk") * CHUNK
+    d = d.withColumn("step", F.explode(F.sequence(begin, F.least(begin + CHUNK, F.col("_steps")) - 1)))
     s = F.col("step")
-    counter = (s.bitwiseAND(mask) * stride).bitwiseAND(mask).bitwiseXOR((F.shiftright(s, 31) * mixer).bitwiseAND(mask))
+    counter = (s.bitwiseAND(mask) * stride).bitwiseAND(mask)
+    if large:
+        counter = counter.bitwiseXOR((F.shiftright(s, 31) * mixer).bitwiseAND(mask))
     d = mixed(d.withColumn("_low", F.col("_start").bitwiseXOR(counter)), "_low")
-    wide = F.when(F.col("_size") < 2**20, 0).otherwise(F.col("_low").bitwiseXOR(mixer))
-    d = mixed(d.withColumn("_high", wide.cast("bigint")), "_high")
-    return d.select(*keys, "rep", "step", ((F.col("_high") * F.lit(2**31).cast("bigint") + F.col("_low")) % F.col("_size")).alias("rn"))
+    index = F.col("_low") % F.col("_size")
+    if large:
+        d = mixed(d.withColumn("_high", F.col("_low").bitwiseXOR(mixer)), "_high")
+        index = F.when(F.col("_size") < 2**20, index).otherwise((F.col("_high") * F.lit(2**31).cast("bigint") + F.col("_low")) % F.col("_size"))
+    return d.select("gid", "rep", "step", (F.col("_first") + index).alias("key"))
 
 
 def _sizes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _numbered(groups: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
+    """Give each group a number and the index of its first row; one row per group, so one small sort."""
+    w = Window.orderBy(*keys)
+    d = groups.withColumn("gid", F.row_number().over(w))
+    first = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return written(d.withColumn("first", first.cast("bigint")), "resampling-groups")
+
+
+def _indexed(rows: DataFrame, groups: DataFrame, keys: Sequence[str], *columns: str | Column) -> DataFrame:
+    """Rows under one running index.  Written, so that the join with the draws knows the true size: a small
+    table is broadcast and the draws are not shuffled; a large one is joined by a shuffle.
+    """
+    d = rows.join(groups.select(*keys, "first"), list(keys)).select((F.col("first") + F.col("rn")).alias("key"), *columns)
+    return written(d, "resampling-values")
+
+
 def bootstrap_means(rows: DataFrame, keys: Sequence[str], value: str, reps: int = 2000, seed: int = 0) -> DataFrame:
     """Mean of each of ``reps`` resamples with replacement; ``rows`` carry ``rn`` (0-based, per group)."""
     keys = list(keys)
-    draws = _draws(_sizes(rows, keys).filter("n >= 2"), keys, reps, seed, "n", "n")
-    values = rows.select(*keys, "rn", F.col(value).alias("_v"))
-    return draws.join(values, [*keys, "rn"]).groupBy(*keys, "rep").agg(F.avg("_v").alias("mean"))
+    groups = _numbered(_sizes(rows, keys).filter("n >= 2"), keys, "n")
+    values = _indexed(rows, groups, keys, F.col(value).alias("_v"))
+    means = _draws(groups, reps, seed, "n", "n").join(values, "key").groupBy("gid", "rep").agg(F.avg("_v").alias("mean"))
+    return means.join(groups.select(*keys, "gid"), "gid").drop("gid")
 
 
 def block_bootstrap_means(rows: DataFrame, keys: Sequence[str], value: str, block: int = 5, reps: int = 2000, seed: int = 0) -> DataFrame:
@@ -76,14 +101,17 @@ def block_bootstrap_means(rows: DataFrame, keys: Sequence[str], value: str, bloc
     sums = F.transform(F.sequence(F.lit(1), F.size("_m")), lambda i: F.aggregate(F.slice("_m", F.lit(1), i), F.lit(0.0), lambda a, m: a + m["v"]))
     blocks = d.select(*keys, F.col("_blk").alias("rn"), F.size("_m").cast("bigint").alias("_len"), sums.alias("_sums"))
     tail = F.when(F.col("n") % block == 0, block).otherwise(F.col("n") % block)
-    sizes = _sizes(rows, keys).filter("n >= 2").withColumn("_blocks", F.ceil(F.col("n") / block)).withColumn(
+    groups = _sizes(rows, keys).filter("n >= 2").withColumn("_blocks", F.ceil(F.col("n") / block)).withColumn(
         "_steps", F.when(F.col("n") % block == 0, F.col("_blocks")).otherwise(F.ceil(F.col("n") / tail))
     )
-    draws = _draws(sizes, keys, reps, seed, "_steps", "_blocks").join(blocks, [*keys, "rn"]).join(sizes.select(*keys, "n"), keys)
-    w = Window.partitionBy(*keys, "rep").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    groups = _numbered(groups, keys, "_blocks")
+    values = _indexed(blocks, groups, keys, "_len", "_sums")
+    draws = _draws(groups, reps, seed, "_steps", "_blocks", whole=True).join(values, "key").join(groups.select("gid", "n"), "gid")
+    w = Window.partitionBy("gid", "rep").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     draws = draws.withColumn("_before", F.coalesce(F.sum("_len").over(w), F.lit(0))).filter(F.col("_before") < F.col("n"))
     taken = F.least(F.col("_len"), F.col("n") - F.col("_before")).cast("int")
-    return draws.groupBy(*keys, "rep").agg((F.sum(F.element_at("_sums", taken)) / F.max("n")).alias("mean"))
+    means = draws.groupBy("gid", "rep").agg((F.sum(F.element_at("_sums", taken)) / F.max("n")).alias("mean"))
+    return means.join(groups.select(*keys, "gid"), "gid").drop("gid")
 
 
 def order_statistics(means: DataFrame, keys: Sequence[str], low: int, high: int) -> DataFrame:
@@ -110,12 +138,13 @@ INTERVALS = {
 def ruin_probability(rows: DataFrame, keys: Sequence[str], value: str, capital: float = 20.0, simulations: int = 5000, seed: int = 0, cost: float = 0.0) -> DataFrame:
     """Share of resampled paths (n steps) whose capital reaches 0 at any step."""
     keys = list(keys)
-    draws = _draws(_sizes(rows, keys), keys, simulations, seed, "n", "n")
-    values = rows.select(*keys, "rn", (F.col(value) - F.lit(cost)).alias("_v"))
-    w = Window.partitionBy(*keys, "rep").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    d = draws.join(values, [*keys, "rn"]).withColumn("_capital", capital + F.sum("_v").over(w))
-    paths = d.groupBy(*keys, "rep").agg((F.min("_capital") <= 0).alias("ruined"))
-    return paths.groupBy(*keys).agg(F.avg(F.col("ruined").cast("double")).alias("ruin_probability"))
+    groups = _numbered(_sizes(rows, keys), keys, "n")
+    values = _indexed(rows, groups, keys, (F.col(value) - F.lit(cost)).alias("_v"))
+    w = Window.partitionBy("gid", "rep").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    d = _draws(groups, simulations, seed, "n", "n", whole=True).join(values, "key").withColumn("_capital", capital + F.sum("_v").over(w))
+    walks = d.groupBy("gid", "rep").agg((F.min("_capital") <= 0).alias("ruined"))
+    share = walks.groupBy("gid").agg(F.avg(F.col("ruined").cast("double")).alias("ruin_probability"))
+    return share.join(groups.select(*keys, "gid"), "gid").drop("gid")
 
 
 def hac_pvalue(rows: DataFrame, keys: Sequence[str], value: str, lags: int = 5, order: Sequence[str] = ("ts", "pair"), block: Column | None = None) -> DataFrame:

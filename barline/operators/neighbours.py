@@ -13,7 +13,7 @@ from barline.functions.prices import net_move
 from barline.operators.features import DISTANCE_FEATURES, contiguous, rolling_scaler, state_columns
 from barline.operators.ordering import in_blocks, time_block, with_positions
 from barline.operators.outcomes import forward_columns, long_move, short_move
-from barline.session import Study
+from barline.session import Study, spread
 
 
 def add(cols: Sequence[Column]) -> Column:
@@ -88,13 +88,15 @@ def nearest(
     k: int,
     block: int | None = None,
     carry: Sequence[str] = (),
+    complete: bool = True,
 ) -> DataFrame:
     """The ``k`` closest states among the ``history`` before each target; ties keep time order.
 
     A range join on positions as an equi-join on blocks: a state at ``p`` can only serve targets in
     (p, p+history], so it is copied to the blocks of that span.  Targets stay in their block, and as the
     join, the ranking and later sums per target all use (pair, block, ...), nothing is shuffled again.
-    Smaller blocks mean more copies and more tasks.
+    Smaller blocks mean more copies and more tasks.  ``complete`` states that no feature is null, as for
+    states of valid bars: the distance is then a plain weighted sum, which stays in fast compiled code.
     """
     size = block or study.history
     h = states.select(
@@ -114,8 +116,13 @@ def nearest(
         "pair", "spos", "pos", "ts", *DISTANCE_FEATURES, *[f"std_{f}" for f in DISTANCE_FEATURES]
     ).withColumn("blk", F.floor(F.col("spos") / F.lit(size)).cast("bigint"))
     near = (F.col("n_spos") < F.col("spos")) & (F.col("n_spos") >= F.col("spos") - study.history)
-    joined = t.join(h, ["pair", "blk"]).filter(near)
-    distance = zscore_distance([(F.col(f), F.col(f"n_{f}"), F.col(f"std_{f}")) for f in DISTANCE_FEATURES])
+    if complete:
+        n = float(len(DISTANCE_FEATURES))
+        t = t.withColumns({f"w_{f}": 1.0 / (F.col(f"std_{f}") * F.col(f"std_{f}") * n) for f in DISTANCE_FEATURES})
+        distance = F.sqrt(add([(F.col(f) - F.col(f"n_{f}")) * (F.col(f) - F.col(f"n_{f}")) * F.col(f"w_{f}") for f in DISTANCE_FEATURES]))
+    else:
+        distance = zscore_distance([(F.col(f), F.col(f"n_{f}"), F.col(f"std_{f}")) for f in DISTANCE_FEATURES])
+    joined = spread(t, "pair", "blk").join(h, ["pair", "blk"]).filter(near)
     scored = joined.select(
         "pair", "blk", "spos", "pos", "ts", "n_spos", "n_pos", "n_ts", "n_ok", distance.alias("distance"),
         *[f"n_{c}" for c in carry],

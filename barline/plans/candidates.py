@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.statistics import trade_statistics
@@ -17,6 +17,7 @@ from barline.operators import evidence as ev
 from barline.operators import inference as inf
 from barline.operators import paths
 from barline.operators.ordering import time_block
+from barline.session import written
 
 POINT = ("horizon", "regime", "session", "pairset", "direction", "agreement_min", "distance_max")
 CELL = ["horizon", "regime", "session", "pairset", "direction"]
@@ -86,17 +87,20 @@ def discovery(records: DataFrame, screen: Screen = Screen()) -> DataFrame:
     selectable family.  ``outcome`` tells why a point is not selected.
     """
     found = records.filter(F.col("global_split") == "discovery").withColumn("pairset", F.lit("all"))
-    family = ev.grid_cells(found, CELL).filter(F.col("n") >= screen.samples).withColumn("cand", candidate_id())
-    hits = ev.matching(found.select(*CELL, "agreement", "median_distance", "pair", "ts", "outcome_pips"), family.select(*POINT, "cand"), CELL)
+    family = ev.grid_cells(found, CELL).filter(F.col("n") >= screen.samples)
+    family = family.withColumn("cand", candidate_id()).withColumn("cid", F.row_number().over(Window.orderBy(*POINT)))
+    family = written(family, "discovery-grid")
+    hits = ev.matching(found.select(*CELL, "agreement", "median_distance", "pair", "ts", "outcome_pips"), family.select(*POINT, "cid"), CELL)
+    hits = written(hits.select("cid", "pair", "ts", "outcome_pips"), "discovery-hits")
     tests = inf.hac_pvalue(
-        hits.select("cand", "pair", "ts", "outcome_pips"), ["cand"], "outcome_pips", order=("pair", "ts"), block=F.struct("pair", time_block("ts", paths.WEEK))
+        hits, ["cid"], "outcome_pips", order=("pair", "ts"), block=F.struct("pair", time_block("ts", paths.WEEK))
     )
-    d = inf.adjust(family.join(tests.select("cand", "p_value"), "cand"), "p_value", ["cand"])
-    strong = d.filter((F.col("profit_factor") >= screen.profit_factor) & (F.col("p_value") <= screen.alpha)).select("cand")
-    sample = paths.ranked(hits.join(strong, "cand", "left_semi").select("cand", "pair", "ts", "outcome_pips"), ["cand"])
-    means = inf.bootstrap_means(sample, ["cand"], "outcome_pips", screen.reps, screen.seed)
-    bounds = inf.order_statistics(means, ["cand"], screen.low, screen.reps - 1 - screen.low)
-    d = d.join(bounds.select("cand", "lower", "upper"), "cand", "left")
+    d = written(inf.adjust(family.join(tests.select("cid", "p_value"), "cid"), "p_value", ["cand"]), "discovery-family")
+    strong = d.filter((F.col("profit_factor") >= screen.profit_factor) & (F.col("p_value") <= screen.alpha)).select("cid")
+    sample = written(paths.ranked(hits.join(F.broadcast(strong), "cid", "left_semi"), ["cid"]), "discovery-sample")
+    means = inf.bootstrap_means(sample, ["cid"], "outcome_pips", screen.reps, screen.seed)
+    bounds = inf.order_statistics(means, ["cid"], screen.low, screen.reps - 1 - screen.low)
+    d = d.join(bounds.select("cid", "lower", "upper"), "cid", "left")
     outcome = (
         F.when(~no_worse("profit_factor", screen.profit_factor), "failed profit factor")
         .when(F.col("p_value") > screen.alpha, "failed raw discovery HAC p-value prefilter")
@@ -122,9 +126,9 @@ def two_sided_discovery(records: DataFrame, screen: Screen = Screen(low=49, reps
     pairs = ev.pair_diversity(found, keys, diversity.pair_samples, null_pf_counts=True)
     d = inf.adjust(stats.join(tests.select(*keys, "p_value"), keys), "p_value", keys).join(pairs, keys)
     robust = (F.col("positive_pairs") >= diversity.positive_pairs) & (F.col("largest_share") <= diversity.largest_share)
-    d = d.withColumn("pair_robust", robust)
+    d = written(d.withColumn("pair_robust", robust), "two-sided-family")
     strong = d.filter(F.col("pair_robust") & (F.col("profit_factor") >= screen.profit_factor) & (F.col("p_value") <= screen.alpha)).select(*keys)
-    sample = paths.ranked(found.join(strong, keys, "left_semi").select(*keys, "ts", "pair", "outcome_pips"), keys)
+    sample = written(paths.ranked(found.join(F.broadcast(strong), keys, "left_semi").select(*keys, "ts", "pair", "outcome_pips"), keys), "sample")
     low, high = screen.low, screen.reps - 1 - screen.low
     plain = inf.order_statistics(inf.bootstrap_means(sample, keys, "outcome_pips", screen.reps, screen.seed), keys, low, high)
     block = inf.order_statistics(inf.block_bootstrap_means(sample, keys, "outcome_pips", 5, screen.reps, screen.seed + 1), keys, low, high)
@@ -231,14 +235,14 @@ def survival_promotion(records: DataFrame, finalists: DataFrame, samples: int =
 def confirmation(hits: DataFrame, rules: Confirmation = Confirmation()) -> DataFrame:
     """Robustness verdict per candidate over its confirmation rows (ts, pair order)."""
     keys = ["cand"]
-    rows = hits.select("cand", "ts", "pair", "outcome_pips")
+    rows = written(hits.select("cand", "ts", "pair", "outcome_pips"), "confirmation-rows")
     base = ev.with_path(rows.groupBy(*keys).agg(*trade_statistics("outcome_pips")), rows, keys, "outcome_pips")
     folds = paths.equal_folds(rows, keys, rules.folds).groupBy("cand", "fold").agg(F.avg("outcome_pips").alias("e")).groupBy("cand").agg(
         F.bool_and(F.col("e") > 0).alias("folds_positive")
     )
     stress = ev.cost_curve(rows, keys, rules.stress).groupBy(*keys).agg(F.bool_and(ev.survives()).alias("stress_ok"))
     pairs = ev.pair_diversity(rows, keys, rules.pair_samples)
-    sample = paths.ranked(rows, keys)
+    sample = written(paths.ranked(rows, keys), "sample")
     low, high = rules.low, rules.reps - 1 - rules.low
     plain = inf.order_statistics(inf.bootstrap_means(sample, keys, "outcome_pips", rules.reps, rules.seed), keys, low, high)
     block = inf.order_statistics(inf.block_bootstrap_means(sample, keys, "outcome_pips", 5, rules.reps, rules.seed + 1), keys, low, high)
@@ -278,10 +282,11 @@ def certification_cells(hits: DataFrame, timeline: DataFrame, interval_s: int, r
     costs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(c)).alias("cost")) for m, c in models.items()])
     runs = kept.select("cand", "fold", "ts", "pair", "outcome_pips", F.explode(costs).alias("c"))
     runs = runs.select("cand", "fold", "c.model", "ts", "pair", (F.col("outcome_pips") - F.col("c.cost")).alias("outcome_pips"))
+    runs = written(runs, "certification-runs")
     stats = ev.with_path(runs.groupBy(*RUN).agg(*trade_statistics("outcome_pips")), runs, RUN, "outcome_pips")
     tests = inf.adjust(inf.hac_pvalue(runs, RUN, "outcome_pips").select(*RUN, "p_value"), "p_value", ["fold", "model"], ["cand"])
     pairs = ev.pair_diversity(runs, RUN, rules.series_trades)
-    sample = paths.ranked(runs, RUN)
+    sample = written(paths.ranked(runs, RUN), "sample")
     low, high = rules.low, rules.reps - 1 - rules.low
     plain = inf.order_statistics(inf.bootstrap_means(sample, RUN, "outcome_pips", rules.reps, rules.seed), RUN, low, high)
     block = inf.order_statistics(inf.block_bootstrap_means(sample, RUN, "outcome_pips", 5, rules.reps, rules.seed + 1), RUN, low, high)

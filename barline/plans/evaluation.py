@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barline.operators import evidence as ev
 from barline.operators import inference as inf
 from barline.operators import paths
+from barline.session import written
 
 
 def non_live(rows: DataFrame, keys: Sequence[str], train: int, validation: int, step: int, costs: Sequence[float], reps: int = 2000, low: int = 24, seed: int = 0, capital: float = 20.0) -> DataFrame:
@@ -25,6 +26,7 @@ def non_live(rows: DataFrame, keys: Sequence[str], train: int, validation: int,
     tail = d.filter((F.col("n") >= train + validation) & (F.col("rn") >= train)).withColumn("folds", folds)
     tail = tail.withColumn("rn", F.col("rn") - train).withColumn("v", F.col("outcome_pips") - F.lit(float(costs[0])))
     tail = tail.withColumn("fold", F.least(F.floor(F.col("rn") / F.floor((F.col("n") - train) / F.col("folds"))), F.col("folds") - 1))
+    tail = written(tail, "tail")
     stats = tail.groupBy(*keys, "fold").agg(F.avg("v").alias("e")).join(paths.drawdown(tail, [*keys, "fold"], "v"), [*keys, "fold"])
     stats = stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("folds"), F.bool_and(F.col("e") > 0).alias("folds_positive"), F.max("max_drawdown").alias("worst_drawdown"))
     mean = tail.groupBy(*keys).agg(F.avg("outcome_pips").alias("_m"))

@@ -70,3 +70,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash partition into the session's full number of shuffle partitions.
+
+    For rows that are few bytes but much work: a plain shuffle would be coalesced to a few tasks by size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

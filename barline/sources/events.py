@@ -39,21 +39,16 @@ def bucket(ts: str | Column, seconds: int) -> Column:
 def paired_bars(events: DataFrame, interval_s: int) -> DataFrame:
     """BID/ASK bars: the ask is the bid plus the spread of the last tick in the bucket.
 
-    The tick order (time, then id) is one decimal key, so first and last are fixed-width buffers and
-    the whole bar is one hash aggregate with map-side partials.
+    Ticks are ordered by (time, id); a bar is one aggregate with map-side partials.
     """
     t = ticks(events).withColumn("ts", bucket("tick_ts", interval_s))
-    order = (
-        F.unix_micros("tick_ts").cast("decimal(38,0)") * F.lit(10**18)
-        + F.col("event_id")
-    ).cast("decimal(38,0)")
-    t = t.withColumn("_o", order)
+    order = F.struct("tick_ts", "event_id")
     bid = t.groupBy("pair", "ts").agg(
-        F.min_by("price", "_o").alias("bid_open"),
+        F.min_by("price", order).alias("bid_open"),
         F.max("price").alias("bid_high"),
         F.min("price").alias("bid_low"),
-        F.max_by("price", "_o").alias("bid_close"),
-        F.max_by("k", "_o").alias("_k"),
+        F.max_by("price", order).alias("bid_close"),
+        F.max_by("k", order).alias("_k"),
         F.count(F.lit(1)).alias("volume"),
     )
     tenths = (1 + F.col("_k") % 10).cast("double")
