@@ -87,6 +87,7 @@ def trade_statistics(value: str | Column, cost: float | Column = 0.0) -> list[Co
 
 
 def pearson(a: str | Column, b: str | Column) -> Column:
-    """Correlation, 0 where a side is constant."""
-    r = F.corr(col(a), col(b))
-    return F.when(F.isnan(r) | r.isNull(), 0.0).otherwise(r)
+    """Correlation of the rows with both values, 0 where a side is constant."""
+    x, y = F.when(col(b).isNotNull(), col(a)), F.when(col(a).isNotNull(), col(b))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.coalesce(F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)), F.lit(0.0))

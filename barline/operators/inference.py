@@ -58,7 +58,19 @@ def _draws(groups: DataFrame, reps: int, seed: int, steps: str, size: str, whole
     if large:
         d = mixed(d.withColumn("_high", F.col("_low").bitwiseXOR(mixer)), "_high")
         index = F.when(F.col("_size") < 2**20, index).otherwise((F.col("_high") * F.lit(2**31).cast("bigint") + F.col("_low")) % F.col("_size"))
-    return d.select("gid", "rep", "step", (F.col("_first") + index).alias("key"))
+    return d.select("gid", "rep", "step", F.coalesce(F.col("_first") + index, F.lit(-1).cast("bigint")).alias("key"))
+
+
+# Values up to this many rows are sent to every task; more are joined by a shuffle of both sides.
+BROADCAST_ROWS = 2_000_000
+
+
+def _drawn(draws: DataFrame, values: DataFrame) -> DataFrame:
+    """Join draws to their values.  The planner cannot see how many draws there are, so the side is chosen here
+    by the counted number of values: draws are never broadcast.
+    """
+    small = values.count() <= BROADCAST_ROWS
+    return draws.join(F.broadcast(values), "key") if small else draws.hint("merge").join(values, "key")
 
 
 def _sizes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,9 +86,7 @@ def _numbered(groups: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
 
 
 def _indexed(rows: DataFrame, groups: DataFrame, keys: Sequence[str], *columns: str | Column) -> DataFrame:
-    """Rows under one running index.  Written, so that the join with the draws knows the true size: a small
-    table is broadcast and the draws are not shuffled; a large one is joined by a shuffle.
-    """
+    """Rows under one running index, written once because they are counted and then joined."""
     d = rows.join(groups.select(*keys, "first"), list(keys)).select((F.col("first") + F.col("rn")).alias("key"), *columns)
     return written(d, "resampling-values")
 
@@ -86,7 +96,7 @@ def bootstrap_means(rows: DataFrame, keys: Sequence[str], value: str, reps: int
     keys = list(keys)
     groups = _numbered(_sizes(rows, keys).filter("n >= 2"), keys, "n")
     values = _indexed(rows, groups, keys, F.col(value).alias("_v"))
-    means = _draws(groups, reps, seed, "n", "n").join(values, "key").groupBy("gid", "rep").agg(F.avg("_v").alias("mean"))
+    means = _drawn(_draws(groups, reps, seed, "n", "n"), values).groupBy("gid", "rep").agg(F.avg("_v").alias("mean"))
     return means.join(groups.select(*keys, "gid"), "gid").drop("gid")
 
 
@@ -106,7 +116,7 @@ def block_bootstrap_means(rows: DataFrame, keys: Sequence[str], value: str, bloc
     )
     groups = _numbered(groups, keys, "_blocks")
     values = _indexed(blocks, groups, keys, "_len", "_sums")
-    draws = _draws(groups, reps, seed, "_steps", "_blocks", whole=True).join(values, "key").join(groups.select("gid", "n"), "gid")
+    draws = _drawn(_draws(groups, reps, seed, "_steps", "_blocks", whole=True), values).join(F.broadcast(groups.select("gid", "n")), "gid")
     w = Window.partitionBy("gid", "rep").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     draws = draws.withColumn("_before", F.coalesce(F.sum("_len").over(w), F.lit(0))).filter(F.col("_before") < F.col("n"))
     taken = F.least(F.col("_len"), F.col("n") - F.col("_before")).cast("int")
@@ -141,7 +151,7 @@ def ruin_probability(rows: DataFrame, keys: Sequence[str], value: str, capital:
     groups = _numbered(_sizes(rows, keys), keys, "n")
     values = _indexed(rows, groups, keys, (F.col(value) - F.lit(cost)).alias("_v"))
     w = Window.partitionBy("gid", "rep").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    d = _draws(groups, simulations, seed, "n", "n", whole=True).join(values, "key").withColumn("_capital", capital + F.sum("_v").over(w))
+    d = _drawn(_draws(groups, simulations, seed, "n", "n", whole=True), values).withColumn("_capital", capital + F.sum("_v").over(w))
     walks = d.groupBy("gid", "rep").agg((F.min("_capital") <= 0).alias("ruined"))
     share = walks.groupBy("gid").agg(F.avg(F.col("ruined").cast("double")).alias("ruin_probability"))
     return share.join(groups.select(*keys, "gid"), "gid").drop("gid")
