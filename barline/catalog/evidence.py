@@ -347,7 +347,9 @@ SUMMARY = "n:i probability:d ci_low:d ci_high:d mean:d median:d"
     f"SELECT *, r AS probability, {_PW[0]} AS ci_low, {_PW[1]} AS ci_high FROM (SELECT pair, horizon, count(*) AS n, {WIN} AS r, avg(v) AS mean, median(v) AS median FROM {REC} GROUP BY 1, 2)",
 )
 def a2(t: Tables) -> DataFrame:
-    return t.records().groupBy("pair", "horizon").agg(*ev.probability_summary("outcome_pips"))
+    keys = ["pair", "horizon"]
+    stats = t.records().groupBy(*keys).agg(*ev.probability_summary("outcome_pips"))
+    return ev.with_median(stats, t.records(), keys, "outcome_pips")
 
 
 @query(
@@ -372,7 +374,7 @@ EVAL_SHAPE = "n:i expectancy:d profit_factor:d win_rate:d ci_low:d ci_high:d med
     f"SELECT *, {_EW[0]} AS ci_low, {_EW[1]} AS ci_high FROM (SELECT horizon, {EVAL} FROM {REC} WHERE split = 'discovery' AND agreement >= 0.5 AND median_distance <= 1.5 GROUP BY 1)",
 )
 def a4(t: Tables) -> DataFrame:
-    return ev.filtered(t.records(), "discovery", 1.5, 0.5).groupBy("horizon").agg(*ev.evaluation("outcome_pips"))
+    return ev.evaluation(ev.filtered(t.records(), "discovery", 1.5, 0.5), ["horizon"], "outcome_pips")
 
 
 @query(
@@ -424,11 +426,11 @@ def atlas_cells(t: Tables) -> DataFrame:
 
 
 @query(
-    "a8_context_atlas", "pair horizon:i regime session weekday agreement_band distance_band direction split n:i expectancy:d profit_factor:d win_rate:d positive_years:i observed_years:i max_drawdown:d status",
-    "SELECT * FROM x_cells",
+    "a8_context_atlas", "pair horizon:i regime session weekday agreement_band distance_band direction split n:i expectancy:d profit_factor:d win_rate:d positive_years:i observed_years:i max_drawdown:d median:d status",
+    f"SELECT * FROM x_cells JOIN (SELECT {ATLAS}, median(v) AS median FROM x_rich GROUP BY ALL) USING ({ATLAS})",
 )
 def a8(t: Tables) -> DataFrame:
-    return atlas_cells(t)
+    return ev.with_median(atlas_cells(t), ev.enriched(t.records()), ev.ATLAS_CELL, "outcome_pips")
 
 
 @query(

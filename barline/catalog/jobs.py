@@ -125,7 +125,7 @@ def search_hits(t: Tables) -> DataFrame:
     f"SELECT s.*, c.n AS c_n, c.expectancy AS c_expectancy, c.median AS c_median FROM x_search s LEFT JOIN (SELECT cand, {EVAL} FROM x_search_hits GROUP BY 1) c USING (cand)",
 )
 def q4(t: Tables) -> DataFrame:
-    c = search_hits(t).groupBy("cand").agg(*ev.evaluation("outcome_pips"))
+    c = ev.evaluation(search_hits(t), ["cand"], "outcome_pips")
     return search(t).join(c.select("cand", F.col("n").alias("c_n"), F.col("expectancy").alias("c_expectancy"), F.col("median").alias("c_median")), "cand", "left")
 
 
@@ -212,7 +212,7 @@ def q8(t: Tables) -> DataFrame:
 
 @query("q8_frozen_drift", "cand n:i unchanged:b", "SELECT cand, n, n % 2 = 0 AS unchanged FROM x_search")
 def q8b(t: Tables) -> DataFrame:
-    again = cd.hits_of(t.records(), search(t), "discovery").groupBy("cand").agg(*ev.evaluation("outcome_pips"))
+    again = ev.evaluation(cd.hits_of(t.records(), search(t), "discovery"), ["cand"], "outcome_pips")
     stored = search(t).withColumn("expectancy", F.col("expectancy") + F.when(F.col("n") % 2 == 0, 0.0).otherwise(0.5))
     return cd.frozen_drift(again, stored)
 
@@ -290,7 +290,7 @@ fragment("x_cert_cells", cells_sql("x_cert_runs"))
 def points(t: Tables) -> DataFrame:
     r = t.records().filter(F.col("global_split") == "discovery").withColumn("pairset", F.lit("all"))
     g = ev.grid_cells(r, cd.CELL).filter((F.col("agreement_min") == 0.5) & F.col("distance_max").isNull() & (F.col("n") >= 15))
-    return g.withColumn("cand", cd.candidate_id())
+    return t._keep("points", lambda: g.withColumn("cand", cd.candidate_id()))
 
 
 def timeline(t: Tables) -> DataFrame:

@@ -128,7 +128,7 @@ def v8(t: Tables) -> DataFrame:
 )
 def v9(t: Tables) -> DataFrame:
     d = t.table("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return quality.sequence_check(d, ["user_id"], time_block("ts", DAYS))
+    return quality.sequence_check(d, ["user_id"], time_block("ts", 3600))
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barline.functions.labels import agreement_band, col, distance_band, hour_block, outcome_sign, pairsets, weekday_name
 from barline.functions.statistics import pearson, profit_factor, ratio, trade_statistics, wilson, win_rate
 from barline.operators.paths import aligned_pairs, drawdown, recovery
+from barline.session import small_side
 
 # The search grids.
 AGREEMENT_GRID = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75)
@@ -33,24 +34,46 @@ def explode_values(df: DataFrame, name: str, values: Sequence[object], kind: str
     return df.withColumn(name, F.explode(F.array(*[F.lit(v).cast(kind) for v in values])))
 
 
+def exact_quantile(rows: DataFrame, keys: Sequence[str], value: str, p: float = 0.5, out: str = "median", margin: float = 0.0005) -> DataFrame:
+    """Exact quantile (linear interpolation) per group without holding a group in one task.
+
+    An approximate sketch brackets the quantile; rows below the bracket are only counted, and the few values
+    inside are counted per value and summed in order.
+    """
+    keys = list(keys)
+    v = F.col(value)
+    sketch = F.percentile_approx(v, F.array(F.lit(max(p - margin, 0.0)), F.lit(min(p + margin, 1.0))), F.lit(10_000))
+    bracket = rows.groupBy(*keys).agg(sketch.alias("_q"), F.count(v).alias("_n")).filter(F.col("_n") > 0)
+    d = rows.join(bracket, keys)
+    below = d.groupBy(*keys).agg(F.count_if(v < F.col("_q")[0]).alias("_below"), F.max("_n").alias("_n"))
+    inside = d.filter((v >= F.col("_q")[0]) & (v <= F.col("_q")[1])).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.join(below, keys).withColumn("_cum", F.col("_below") + F.sum("_c").over(w))
+    place = (F.col("_n") - 1) * F.lit(p)
+    at = lambda i: F.min(F.when(F.col("_cum") > i, F.col("_v")))
+    d = inside.groupBy(*keys).agg(at(F.floor(place)).alias("_lo"), at(F.ceil(place)).alias("_hi"), F.max(place - F.floor(place)).alias("_f"))
+    return d.select(*keys, (F.col("_lo") + (F.coalesce("_hi", "_lo") - F.col("_lo")) * F.col("_f")).alias(out))
+
+
 def probability_summary(value: str | Column, threshold: float = 0.0) -> list[Column]:
     v = col(value)
     rate, n = F.avg((v > threshold).cast("double")), F.count(v)
     low, high = wilson(rate, n)
-    return [
-        n.alias("n"), rate.alias("probability"), low.alias("ci_low"), high.alias("ci_high"),
-        F.avg(v).alias("mean"), F.median(v).alias("median"),
-    ]
+    return [n.alias("n"), rate.alias("probability"), low.alias("ci_low"), high.alias("ci_high"), F.avg(v).alias("mean")]
 
 
-def evaluation(value: str | Column) -> list[Column]:
+def with_median(stats: DataFrame, rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    return stats.join(exact_quantile(rows, keys, value), list(keys), "left")
+
+
+def evaluation(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The record evaluation of the search: n, expectancy, profit factor, win rate with interval, median."""
-    v = col(value)
+    v = F.col(value)
     low, high = wilson(win_rate(v), F.count(v), clamp=False)
-    return [
-        F.count(v).alias("n"), F.avg(v).alias("expectancy"), profit_factor(v).alias("profit_factor"),
-        win_rate(v).alias("win_rate"), low.alias("ci_low"), high.alias("ci_high"), F.median(v).alias("median"),
-    ]
+    stats = rows.groupBy(*keys).agg(
+        F.count(v).alias("n"), F.avg(v).alias("expectancy"), profit_factor(v).alias("profit_factor"), win_rate(v).alias("win_rate"), low.alias("ci_low"), high.alias("ci_high")
+    )
+    return with_median(stats, rows, keys, value)
 
 
 def filtered(records: DataFrame, split: str | None = None, distance_max: float | None = None, agreement_min: float = 0.0, split_column: str = "split") -> DataFrame:
@@ -214,10 +237,10 @@ def grid_cells(
 def matching(records: DataFrame, candidates: DataFrame, on: Sequence[str]) -> DataFrame:
     """Records of each candidate: equal keys, agreement at least and distance at most the candidate's.
 
-    Records already carry ``pairset``.  Candidates are a bounded grid or a selection from it.
+    Records already carry ``pairset``.  Candidates are a grid or a selection from it; their number is checked.
     """
     hit = (F.col("agreement") >= F.col("agreement_min")) & (F.col("distance_max").isNull() | (F.col("median_distance") <= F.col("distance_max")))
-    return records.join(F.broadcast(candidates), list(on)).filter(hit)
+    return records.join(small_side(candidates), list(on)).filter(hit)
 
 
 def calibration_bins(rows: DataFrame, keys: Sequence[str], probability: str, label: str, bins: int = 10) -> DataFrame:

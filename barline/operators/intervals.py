@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.operators.ordering import prefix
+from barline.session import small_side
 
 
 def evidence_ok() -> Column:
@@ -92,4 +93,4 @@ def contained(points: DataFrame, intervals: DataFrame, ts: str, start: str, end:
     block = lambda c: F.floor(F.unix_seconds(c) / F.lit(block_s)).cast("bigint")
     p = points.withColumn("_blk", block(F.col(ts)))
     i = intervals.withColumn("_blk", F.explode(F.sequence(block(F.col(start)), block(F.col(end)))))
-    return p.join(i, "_blk").filter((F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(end))).drop("_blk")
+    return p.join(small_side(i), "_blk").filter((F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(end))).drop("_blk")

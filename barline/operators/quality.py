@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions.prices import geometry_ok
@@ -66,14 +66,14 @@ def integrity(bars: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
 def contract_violations(bars: DataFrame, requests: DataFrame) -> DataFrame:
     """Bars that break the request of their feed, with the reasons; ``feed`` names the request."""
     r = requests.select("feed", *[F.col(c).alias(f"want_{c}") for c in ("pair", "timeframe", "offer_side", "start", "end")])
-    d = bars.join(r, "feed")
-    n = F.count(F.lit(1)).over(Window.partitionBy("feed", "ts"))
+    twice = bars.groupBy("feed", "ts").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    d = bars.join(r, "feed").join(twice, ["feed", "ts"], "left")
     reasons = F.array(
         F.when(F.col("pair") != F.col("want_pair"), "unexpected instrument"),
         F.when(F.col("timeframe") != F.col("want_timeframe"), "unexpected timeframe"),
         F.when(F.col("offer_side") != F.col("want_offer_side"), "unexpected offer side"),
         F.when((F.col("ts") < F.col("want_start")) | (F.col("ts") >= F.col("want_end")), "outside the requested interval"),
-        F.when(n > 1, "duplicate timestamps"),
+        F.when(F.col("_n") > 1, "duplicate timestamps"),
     )
     return d.withColumn("reasons", F.array_compact(reasons)).filter(F.size("reasons") > 0)
 

@@ -18,7 +18,7 @@ def context_atlas(records: DataFrame, reps: int = 500, low: int = 12, high: int
     large = cells.filter((F.col("split") == "confirmation") & (F.col("n") >= strong)).select(*keys)
     sample = paths.ranked(rich.join(large, keys, "left_semi").select(*keys, "ts", "outcome_pips"), keys, ("ts",))
     bounds = inf.order_statistics(inf.bootstrap_means(sample, keys, "outcome_pips", reps, seed), keys, low, high)
-    d = cells.join(bounds, keys, "left")
+    d = ev.with_median(cells.join(bounds, keys, "left"), rich, keys, "outcome_pips")
     return d.withColumn("status", ev.atlas_status(F.col("lower"), strong=strong))
 
 

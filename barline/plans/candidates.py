@@ -193,7 +193,7 @@ def survival_search(records: DataFrame, samples: int = 150, half_samples: int =
     point = [*keys, "agreement_min", "distance_max"]
     found = records.filter(F.col("split") == "discovery")
     cells = ev.grid_cells(found, keys, ev.SURVIVAL_AGREEMENT_GRID).filter((F.col("n") >= samples) & ev.survives())
-    cells = cells.withColumn("cand", candidate_id(point))
+    cells = written(cells.withColumn("cand", candidate_id(point)), "survival-grid")
     hits = ev.matching(found, cells.select(*point, "cand"), keys)
     stable = hits.groupBy("cand", "year").agg(F.count(F.lit(1)).alias("n"), F.avg("outcome_pips").alias("e")).groupBy("cand").agg(
         F.count_if((F.col("n") >= year_samples) & (F.col("e") > 0)).alias("positive_years")

@@ -7,6 +7,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -78,3 +79,8 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     For rows that are few bytes but much work: a plain shuffle would be coalesced to a few tasks by size.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Mark a join side for broadcast only if it has at most ``rows`` rows; else leave the join to the planner."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

@@ -29,9 +29,11 @@ def scan_windows(requests: DataFrame, days: int, start: str = "start", end: str
 
 def new_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], first: Sequence[str | Column] = ()) -> DataFrame:
     """Incoming rows whose key is not stored yet, one per key (the first writer wins)."""
-    order = list(first) or [F.lit(0)]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    one = incoming.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    if first:
+        w = Window.partitionBy(*keys).orderBy(*first)
+        one = incoming.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    else:
+        one = incoming.dropDuplicates(list(keys))
     return one.join(existing.select(*keys), list(keys), "left_anti")
 
 

@@ -121,3 +121,13 @@ def test_grid_cells_equal_matching_every_record(spark):
     for (a, c), (n, e, w) in got.items():
         vs = [r[2] for r in rows if r[0] >= a and (c is None or r[1] <= c)]
         assert n == len(vs) and e == pytest.approx(sum(vs) / n) and w == pytest.approx(sum(v > 0 for v in vs) / n)
+
+
+def test_exact_quantile_with_ties_and_small_groups(spark):
+    import statistics
+
+    rng = random.Random(4)
+    groups = {0: [rng.gauss(0, 1) for _ in range(501)], 1: [1.0] * 300 + [2.0] * 300 + [rng.random() for _ in range(200)], 2: [3.0], 3: [1.0, 2.0], 4: [5.0, 1.0, 4.0]}
+    d = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], ["g", "v"])
+    got = {r.g: r.median for r in ev.exact_quantile(d, ["g"], "v").collect()}
+    assert got == pytest.approx({g: statistics.median(vs) for g, vs in groups.items()})
