@@ -77,6 +77,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, folder: str, study: Study = DEFAULT) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         return shaped(self.plan(Tables(spark, folder, study)), self.shape)
 
 
