@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -52,9 +53,14 @@ _FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees; a temporary one only for sessions that name none (tests)."""
+    """The folder every executor sees, from ``spark.checkpoint.dir``.
+
+    Without the setting a cluster session fails; a local one, whose threads share the machine, gets a folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _FOLDERS:
             _FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
