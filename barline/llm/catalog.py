@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import counts, pieces
+from barline.llm import counts, golay, pieces
 from barline.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,9 +17,14 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.token_counts(table(spark, folder, "documents"), PIECES)
 
 
+def op8_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
+    found = golay.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", golay.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def op9_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"), PIECES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_token_counts, op9_piece_encoding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_token_counts, op8_simhash_golay, op9_piece_encoding)}
 ORACLES: dict[str, str] = {}
