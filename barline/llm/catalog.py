@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barline.llm import counts, golay, pieces
+from barline.llm import counts, golay, lines, pieces, urls
 from barline.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.deduplicated(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", F.aggregate("deleted", F.lit(0).cast("long"), lambda n, d: n + d["lines"]).alias("n_deleted"), "deleted", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.token_counts(table(spark, folder, "documents"), PIECES)
 
 
+def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(table(spark, folder, "pages"))
+
+
 def op8_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
     found = golay.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", golay.hexadecimal().alias("fingerprint"), "component_id")
@@ -26,5 +36,5 @@ def op9_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"), PIECES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_token_counts, op8_simhash_golay, op9_piece_encoding)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_line_dedup, op5_token_counts, op7_url_rules, op8_simhash_golay, op9_piece_encoding)}
+ORACLES: dict[str, str] = {"op7_url_rules": urls.oracle_sql()}
