@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import counts, golay, lines, pieces, urls
+from barline.llm import counts, golay, lines, pieces, quotes, tiling, urls
 from barline.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    return tiling.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = lines.deduplicated(table(spark, folder, "documents"))
     return found.select("doc_id", "n_lines", F.aggregate("deleted", F.lit(0).cast("long"), lambda n, d: n + d["lines"]).alias("n_deleted"), "deleted", F.sha2("text", 256).alias("kept_sha256"))
@@ -36,5 +40,9 @@ def op9_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"), PIECES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_line_dedup, op5_token_counts, op7_url_rules, op8_simhash_golay, op9_piece_encoding)}
-ORACLES: dict[str, str] = {"op7_url_rules": urls.oracle_sql()}
+def op10_quote_links(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.linked(table(spark, folder, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_string_tiling, op3_line_dedup, op5_token_counts, op7_url_rules, op8_simhash_golay, op9_piece_encoding, op10_quote_links)}
+ORACLES: dict[str, str] = {"op7_url_rules": urls.oracle_sql(), "op10_quote_links": quotes.oracle_sql()}
