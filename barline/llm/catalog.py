@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import counts, golay, lines, pieces, quotes, tiling, urls
+from barline.llm import counts, golay, lines, pieces, quotes, tiling, toxicity, tree, urls
 from barline.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,10 +23,18 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.aggregate("deleted", F.lit(0).cast("long"), lambda n, d: n + d["lines"]).alias("n_deleted"), "deleted", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.token_counts(table(spark, folder, "documents"), PIECES)
 
 
+def op6_kmeans_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return tree.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged(table(spark, folder, "pages"))
 
@@ -44,5 +52,5 @@ def op10_quote_links(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.linked(table(spark, folder, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_string_tiling, op3_line_dedup, op5_token_counts, op7_url_rules, op8_simhash_golay, op9_piece_encoding, op10_quote_links)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_string_tiling, op3_line_dedup, op4_toxicity, op5_token_counts, op6_kmeans_tree, op7_url_rules, op8_simhash_golay, op9_piece_encoding, op10_quote_links)}
 ORACLES: dict[str, str] = {"op7_url_rules": urls.oracle_sql(), "op10_quote_links": quotes.oracle_sql()}
