@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import counts, golay, lines, pieces, quotes, tiling, toxicity, tree, urls
+from barline.llm import counts, golay, language, lines, pieces, quotes, tiling, toxicity, tree, urls
 from barline.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_recurrent_score(spark: SparkSession, folder: str) -> DataFrame:
+    return language.scored(table(spark, folder, "documents"))
+
+
 def op2_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
     return tiling.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -52,5 +56,5 @@ def op10_quote_links(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.linked(table(spark, folder, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_string_tiling, op3_line_dedup, op4_toxicity, op5_token_counts, op6_kmeans_tree, op7_url_rules, op8_simhash_golay, op9_piece_encoding, op10_quote_links)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_recurrent_score, op2_string_tiling, op3_line_dedup, op4_toxicity, op5_token_counts, op6_kmeans_tree, op7_url_rules, op8_simhash_golay, op9_piece_encoding, op10_quote_links)}
 ORACLES: dict[str, str] = {"op7_url_rules": urls.oracle_sql(), "op10_quote_links": quotes.oracle_sql()}
