@@ -24,7 +24,7 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes of text, or one row where a single text is longer."""
     for batch in batches:
-        sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = total = 0
         for i, size in enumerate(sizes):
             if i > start and total + size > limit:

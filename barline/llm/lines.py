@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from barline.llm.common import blocks, texts
 from barline.session import written
@@ -105,25 +106,22 @@ def repeated_runs(source: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out
 
 
-def deduplicated(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row, doc_id, text, n_lines, deleted``: the text without repeated runs, and the deleted maximal runs as (start, lines)."""
-    source = written(texts(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "line_documents")
-    marks = repeated_runs(source.select("row", "doc_id", "text"), min_words)
-    of_row = marks.groupBy("row").agg(F.collect_set(F.struct("start", "lines")).alias("runs"))  # at most two a line
-    kind = source.schema["doc_id"].dataType.simpleString()
+def without(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """``row, rest, text, n_lines, deleted`` of ``row, rest, text``: the texts without the runs; ``rest`` is carried along."""
+    of_row = runs.groupBy("row").agg(F.collect_set(F.struct("start", "lines")).alias("runs"))  # at most two a line
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             kept, sizes, deleted = [], [], []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                size = text.count("\n") + 1
+            for text, gone_runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                size = text.count("\n") + 1 if text else 1
                 sizes.append(size)
-                if not runs:
+                if not gone_runs:
                     kept.append(text)
                     deleted.append([])
                     continue
                 gone = np.zeros(size + 2, dtype=np.int64)
-                for r in runs:
+                for r in gone_runs:
                     gone[r["start"] + 1] += 1
                     gone[r["start"] + r["lines"] + 1] -= 1
                 gone = np.minimum(np.cumsum(gone), 1)
@@ -132,9 +130,17 @@ def deduplicated(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
                 deleted.append([{"start": s, "lines": e - s} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
                 kept.append("\n".join([x for x, g in zip(text.split("\n"), gone[1:], strict=False) if not g]))
             yield pa.record_batch(
-                [batch.column("row"), batch.column("doc_id"), pa.array(kept, pa.string()), pa.array(sizes, pa.int64()), pa.array(deleted, pa.list_(pa.struct([("start", pa.int64()), ("lines", pa.int64())])))],
-                names=["row", "doc_id", "text", "n_lines", "deleted"],
+                [batch.column("row"), batch.column("rest"), pa.array(kept, pa.string()), pa.array(sizes, pa.int64()), pa.array(deleted, pa.list_(pa.struct([("start", pa.int64()), ("lines", pa.int64())])))],
+                names=["row", "rest", "text", "n_lines", "deleted"],
             )
 
-    joined = source.join(of_row.hint("shuffle_hash"), "row", "left").select("row", "doc_id", "text", "runs")
-    return joined.mapInArrow(run, f"row long, doc_id {kind}, text string, n_lines long, deleted array<struct<start: long, lines: long>>")
+    joined = rows.join(of_row.hint("shuffle_hash"), "row", "left").select("row", "rest", "text", "runs")
+    fields = [StructField("row", LongType()), StructField("rest", rows.schema["rest"].dataType), *StructType.fromDDL("text string, n_lines long, deleted array<struct<start: long, lines: long>>").fields]
+    return joined.mapInArrow(run, StructType(fields))
+
+
+def deduplicated(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row, doc_id, text, n_lines, deleted``: the text without repeated runs, and the deleted maximal runs as (start, lines)."""
+    source = written(texts(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "line_documents")
+    runs = repeated_runs(source.select("row", "doc_id", "text"), min_words)
+    return without(source.select("row", F.struct("doc_id").alias("rest"), "text"), runs).select("row", "rest.doc_id", "text", "n_lines", "deleted")

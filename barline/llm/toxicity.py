@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barline.llm.common import blocks, texts
 from barline.llm.kernel import Kernel
@@ -206,18 +207,22 @@ def training_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return rows
 
 
-def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of each row; narrow."""
-    source = texts(df, id_col, text_col)
-    kind = source.schema["doc_id"].dataType.simpleString()
+def flagged(df: DataFrame, model: Model, text_col: str = "text", score: str = "score") -> DataFrame:
+    """``df`` with the column ``score``; narrow. ``text_col`` is a string; a null counts as empty and stays null."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # some hundred numbers and strings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in blocks(batches, limit=4 << 20):
-            yield pa.record_batch([batch.column("doc_id"), pa.array(model.scores(batch.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
+        for batch in blocks(batches, column=text_col, limit=4 << 20):
+            found = model.scores([t or "" for t in batch.column(text_col).to_pylist()])
+            yield pa.record_batch([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, score])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(score, DoubleType())]))
 
-    out = source.mapInArrow(run, f"doc_id {kind}, score double")
+
+def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of each row."""
+    out = flagged(texts(df, id_col, text_col), model)
     return out.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
