@@ -24,7 +24,9 @@ def op2_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = lines.deduplicated(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_lines", F.aggregate("deleted", F.lit(0).cast("long"), lambda n, d: n + d["lines"]).alias("n_deleted"), "deleted", F.sha2("text", 256).alias("kept_sha256"))
+    spans = F.array_join(F.transform("deleted", lambda d: F.concat(d["start"].cast("string"), F.lit("+"), d["lines"].cast("string"))), " ")
+    n = F.aggregate("deleted", F.lit(0).cast("long"), lambda total, d: total + d["lines"])
+    return found.select("doc_id", "n_lines", n.alias("n_deleted"), spans.alias("deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,4 +59,4 @@ def op10_quote_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_recurrent_score, op2_string_tiling, op3_line_dedup, op4_toxicity, op5_token_counts, op6_kmeans_tree, op7_url_rules, op8_simhash_golay, op9_piece_encoding, op10_quote_links)}
-ORACLES: dict[str, str] = {"op7_url_rules": urls.oracle_sql(), "op10_quote_links": quotes.oracle_sql()}
+ORACLES: dict[str, str] = {"op3_line_dedup": lines.oracle_sql(), "op7_url_rules": urls.oracle_sql(), "op10_quote_links": quotes.oracle_sql()}

@@ -144,3 +144,22 @@ def deduplicated(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     source = written(texts(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "line_documents")
     runs = repeated_runs(source.select("row", "doc_id", "text"), min_words)
     return without(source.select("row", F.struct("doc_id").alias("rest"), "text"), runs).select("row", "rest.doc_id", "text", "n_lines", "deleted")
+
+
+def oracle_sql(min_words: int = MIN_WORDS) -> str:
+    """The digest columns of the registered query, by comparing the texts of all runs (ids are taken to be distinct)."""
+    return f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+w AS (SELECT *, trim(raw) AS line, len(regexp_extract_all(raw, '\\S+')) AS n FROM l),
+c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM w),
+pairs AS (SELECT a.doc_id, a.i AS s, b.i AS e FROM c AS a JOIN c AS b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.total - a.total + a.n >= {min_words}),
+runs AS (SELECT doc_id, s, min(e) AS e FROM pairs GROUP BY doc_id, s UNION SELECT doc_id, max(s) AS s, e FROM pairs GROUP BY doc_id, e),
+texts AS (SELECT r.doc_id, r.s, r.e, string_agg(w.line, chr(10) ORDER BY w.i) AS content FROM runs AS r JOIN w ON w.doc_id = r.doc_id AND w.i BETWEEN r.s AND r.e GROUP BY r.doc_id, r.s, r.e),
+later AS (SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY content, e - s ORDER BY doc_id, s) AS k FROM texts) AS t WHERE k > 1),
+gone AS (SELECT DISTINCT w.doc_id, w.i FROM later AS t JOIN w ON w.doc_id = t.doc_id AND w.i BETWEEN t.s AND t.e),
+islands AS (SELECT doc_id, min(i) AS start, count(*) AS lines FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM gone) AS t GROUP BY doc_id, g),
+spans AS (SELECT doc_id, string_agg((start - 1) || '+' || lines, ' ' ORDER BY start) AS deleted, CAST(sum(lines) AS BIGINT) AS n_deleted FROM islands GROUP BY doc_id)
+SELECT l.doc_id, count(*) AS n_lines, coalesce(any_value(n_deleted), 0) AS n_deleted, coalesce(any_value(deleted), '') AS deleted,
+       sha256(coalesce(string_agg(raw, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i LEFT JOIN spans ON spans.doc_id = l.doc_id GROUP BY l.doc_id
+"""

@@ -80,9 +80,9 @@ class Model:
         self.step = 0
         self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
-    def _windows(self, codes: list[np.ndarray]) -> Iterator[tuple]:
+    def _windows(self, codes: list[np.ndarray], most: int = LANES) -> Iterator[tuple]:
         """Windows over all lanes: inputs, resets, targets and their places in the joined texts, and which places are real."""
-        order, start, length = lanes([len(c) for c in codes])
+        order, start, length = lanes([len(c) for c in codes], most)
         flat = np.concatenate([codes[t] for t in order]) if len(order) else np.zeros(0, dtype=np.int32)
         begin = np.zeros(len(flat), dtype=bool)
         sizes = np.array([len(codes[t]) for t in order], dtype=np.int64)
@@ -173,9 +173,10 @@ class Model:
         return sums
 
     def train(self, codes: list[np.ndarray], rate: float = 0.01) -> int:
-        """One pass over the texts; the number of tokens seen."""
+        """One pass over the texts; the number of tokens seen. Few texts take fewer lanes, for more steps."""
         seen, h, k = 0, None, self.shape.hidden
-        for x, reset, target, _, real, active in self._windows(codes):
+        most = max(64, min(LANES, sum(map(len, codes)) // (64 * STEPS)))
+        for x, reset, target, _, real, active in self._windows(codes, most):
             h = np.zeros((active, k), dtype=np.float32) if h is None else h[:active]
             s = self._forward(x, reset, h)
             h = s["last"]
@@ -196,7 +197,7 @@ class Model:
             self.first += 0.1 * (grad - self.first)
             self.second += 0.01 * (grad * grad - self.second)
             m, v = self.first / (1 - 0.9**self.step), self.second / (1 - 0.99**self.step)
-            self.flat -= rate * min(1.0, n / 2000) * m / (np.sqrt(v) + 1e-6)
+            self.flat -= rate * min(1.0, n / 3000) * m / (np.sqrt(v) + 1e-6)
         return seen
 
     def _backward(self, x: np.ndarray, s: dict, into: np.ndarray, g: dict) -> None:
