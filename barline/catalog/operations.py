@@ -310,15 +310,48 @@ def r1(t: Tables) -> DataFrame:
     return sq.run_to_table(sq.guard(q, 55.0, 1.5), "guard").select("event_id", "status", "reason")
 
 
+# Arrivals: four micro-batches by time, rows that come three batches late, rows that come twice.
+def arrivals(t: Tables) -> DataFrame:
+    at = F.col("ts").cast("timestamp")
+    day = F.unix_seconds(at) - F.unix_seconds(ts("2024-01-01"))
+    own = F.when(F.col("event_id") % 23 == 5, 3).otherwise(F.least(F.greatest(F.floor(day / (8 * 86400)), F.lit(0)), F.lit(3))).cast("int")
+    e = t.table("events").withColumn("ts", at).withColumn("batch", own)
+    return e.unionByName(e.filter("event_id % 17 = 2 AND batch < 3").withColumn("batch", F.col("batch") + 1))
+
+
+fragment("x_own_batch", "SELECT *, CASE WHEN event_id % 23 = 5 THEN 3 ELSE least(greatest((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000000 // (8 * 86400), 0), 3) END AS batch FROM events")
+fragment("x_arrivals", "SELECT * FROM x_own_batch UNION ALL SELECT * EXCLUDE (batch), batch + 1 AS batch FROM x_own_batch WHERE event_id % 17 = 2 AND batch < 3")
+fragment("x_arrived", """SELECT u.user_id, b.batch, coalesce(n, 0) AS received, coalesce(bad, false) AS bad FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(range(0, 4)) AS batch) b
+ LEFT JOIN (SELECT user_id, batch, count(*) AS n, bool_or(value > 300) AS bad FROM x_arrivals GROUP BY 1, 2) a ON a.user_id = u.user_id AND a.batch = b.batch""")
+fragment("x_stored", """SELECT user_id, event_id, ts, store FROM (SELECT a.user_id, a.event_id, a.ts, (SELECT min(x.batch) FROM x_arrived x WHERE x.user_id = a.user_id AND x.batch >= a.batch AND NOT x.bad) AS store
+ FROM (SELECT user_id, event_id, min(ts) AS ts, min(batch) AS batch FROM x_arrivals WHERE value <= 300 GROUP BY 1, 2) a) WHERE store IS NOT NULL""")
+
+
+def ingested(t: Tables) -> dict[str, DataFrame]:
+    rows = arrivals(t).select("user_id", "event_id", "ts", "value", "batch")
+    s = sq.replayed(rows, F.col("batch"), 4, "ingest").drop("batch")
+    return sq.ingest(s, ["user_id", "event_id"], ["user_id"], "ts", F.col("value") <= 300, "ingest", rows.select("user_id"))
+
+
 @query(
-    "r2_ingest_cycle", "user_id:i received:i stored:i status checkpoint:t",
-    """SELECT user_id, count(*) AS received, CASE WHEN bad THEN 0 ELSE count(*) END AS stored, CASE WHEN bad THEN 'FAILED' ELSE 'UPDATED' END AS status, CASE WHEN bad THEN NULL ELSE max(ts) END AS checkpoint
-FROM (SELECT *, count(*) FILTER (value > 300) OVER (PARTITION BY user_id) > 0 AS bad FROM events) GROUP BY user_id, bad""",
+    "r2_ingest_cycle", "user_id:i epoch:i received:i stored:i status checkpoint:t",
+    """SELECT x.user_id, x.batch AS epoch, received, coalesce(s.n, 0) AS stored,
+ CASE WHEN bad THEN 'FAILED' WHEN s.n > 0 THEN 'UPDATED' WHEN received = 0 AND NOT waits THEN 'NO_DATA' ELSE 'CURRENT' END AS status, max(s.latest) OVER (PARTITION BY x.user_id ORDER BY x.batch) AS checkpoint
+FROM (SELECT *, coalesce(lag(bad) OVER (PARTITION BY user_id ORDER BY batch), false) AS waits FROM x_arrived) x LEFT JOIN (SELECT user_id, store, count(*) AS n, max(ts) AS latest FROM x_stored GROUP BY 1, 2) s ON s.user_id = x.user_id AND s.store = x.batch""",
 )
 def r2(t: Tables) -> DataFrame:
-    s = event_stream(t).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    _, outcomes = sq.ingest(s, ["user_id", "event_id"], ["user_id"], "ts", F.col("value") <= 300, "ingest")
-    return outcomes
+    return ingested(t)["outcomes"]
+
+
+@query(
+    "r2_ingest_places", "user_id:i event_id:i place",
+    """SELECT user_id, event_id, 'stored' AS place FROM x_stored UNION ALL SELECT user_id, event_id, 'rejected' FROM x_arrivals WHERE value > 300
+UNION ALL SELECT a.user_id, a.event_id, 'waiting' FROM x_arrivals a WHERE value <= 300 AND NOT EXISTS (SELECT 1 FROM x_arrived x WHERE x.user_id = a.user_id AND x.batch >= a.batch AND NOT x.bad)""",
+)
+def r2b(t: Tables) -> DataFrame:
+    out = ingested(t)
+    named = lambda part, place: out[part].select("user_id", "event_id", F.lit(place).alias("place"))
+    return named("data", "stored").unionByName(named("rejects", "rejected")).unionByName(named("retry", "waiting"))
 
 
 @query("r3_late_and_duplicate_rows", "user_id:i n:i", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
@@ -336,21 +369,40 @@ def r4(t: Tables) -> DataFrame:
     return sq.run_to_table(sq.candles(ticks(event_stream(t)), "1 hour", "10 minutes"), "candles")
 
 
-@query("r5_session_chain", "session_id:i sequence:i entry:i kind at:i previous_hash record_hash", f"SELECT *, ts AS at FROM ({_CHAIN})")
+# Entries as they arrive: accepted if not before the latest accepted one and not after a final one.
+fragment("x_arriving", """SELECT user_id AS session_id, batch, epoch_us(ts) // 1000000 AS ts, event_id AS entry, CASE WHEN event_id % 50 = 7 THEN 'FINALIZED' WHEN event_type = 'purchase' THEN 'ORDER' ELSE 'QUOTE' END AS final_kind,
+ CASE WHEN event_type = 'purchase' THEN 'ORDER' ELSE 'QUOTE' END AS kind FROM x_own_batch""")
+fragment("x_in_order", "SELECT *, row_number() OVER w AS nth, ts >= coalesce(max(ts) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ts) AS timely FROM x_arriving WINDOW w AS (PARTITION BY session_id ORDER BY batch, ts, entry)")
+fragment("x_numbered", "SELECT session_id, ts, entry, kind, row_number() OVER (PARTITION BY session_id ORDER BY nth) AS sequence FROM x_in_order WHERE timely")
+
+
+def arriving(t: Tables, final: bool) -> DataFrame:
+    rows = entries(t.table("events")).join(arrivals(t).groupBy(F.col("event_id").alias("entry")).agg(F.min("batch").alias("batch")), "entry")
+    if final:
+        rows = rows.withColumn("kind", F.when(F.col("entry") % 50 == 7, "FINALIZED").otherwise(F.col("kind")))
+    return sq.replayed(rows, F.col("batch"), 4, "entries")
+
+
+@query(
+    "r5_session_chain", "session_id:i sequence:i entry:i kind at:i previous_hash record_hash accepted:b reason",
+    f"""SELECT session_id, sequence, entry, kind, ts AS at, previous_hash, record_hash, true AS accepted, NULL AS reason FROM ({_CHAIN.replace("x_entries", "x_numbered")})
+UNION ALL SELECT session_id, NULL, entry, kind, ts, NULL, NULL, false, 'out_of_order' FROM x_in_order WHERE NOT timely""",
+)
 def r5(t: Tables) -> DataFrame:
-    return sq.run_to_table(sq.chained(entries(event_stream(t))), "chain").withColumn("at", F.col("ts"))
+    return sq.run_to_table(sq.chained(arriving(t, False)), "chain").withColumn("at", F.col("ts"))
 
 
 @query(
     "r6_daily_loss_latch", "account:i entry:i daily_pnl:d stopped:b",
-    """SELECT user_id AS account, event_id AS entry, run AS daily_pnl, min(run) OVER (PARTITION BY user_id, d ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) <= -60 AS stopped
-FROM (SELECT *, sum(value - 50) OVER (PARTITION BY user_id, d ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 86400000000 AS d FROM events))""",
+    """SELECT account, entry, run AS daily_pnl, NOT reset AND coalesce(min(CASE WHEN NOT reset THEN run END) OVER (PARTITION BY account, since ORDER BY batch, s, entry ROWS UNBOUNDED PRECEDING), 0) <= -60 AS stopped
+FROM (SELECT *, sum(CASE WHEN reset THEN 0 ELSE delta END) OVER (PARTITION BY account, since, d ORDER BY batch, s, entry ROWS UNBOUNDED PRECEDING) AS run
+ FROM (SELECT *, count(*) FILTER (reset) OVER (PARTITION BY account ORDER BY batch, s, entry ROWS UNBOUNDED PRECEDING) AS since
+  FROM (SELECT user_id AS account, event_id AS entry, batch, value - 50 AS delta, event_id % 41 = 3 AS reset, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 86400000000 AS d FROM x_own_batch)))""",
 )
 def r6(t: Tables) -> DataFrame:
-    d = event_stream(t).select(
-        F.col("user_id").alias("account"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("entry"), (F.col("value") - 50).alias("delta")
-    )
-    return sq.run_to_table(sq.loss_latch(d, -60.0), "latch")
+    rows = arrivals(t).groupBy("event_id").agg(F.min_by(F.struct("user_id", "ts", "value"), "batch").alias("e"), F.min("batch").alias("batch"))
+    d = rows.select(F.col("e.user_id").alias("account"), F.unix_seconds("e.ts").alias("ts"), F.col("event_id").alias("entry"), (F.col("e.value") - 50).alias("delta"), (F.col("event_id") % 41 == 3).alias("reset"), "batch")
+    return sq.run_to_table(sq.loss_latch(sq.replayed(d, F.col("batch"), 4, "deltas"), -60.0), "latch")
 
 
 @query(
@@ -376,11 +428,10 @@ def r8(t: Tables) -> DataFrame:
 
 
 @query(
-    "r8_streamed_lifecycle", "session_id:i sequence:i entry:i",
-    """SELECT l.session_id, sequence, entry FROM x_life l LEFT JOIN (SELECT session_id, min(sequence) AS f FROM x_life WHERE k2 = 'FINALIZED' GROUP BY 1) USING (session_id) WHERE coalesce(sequence <= f, true)""",
+    "r8_streamed_lifecycle", "session_id:i sequence:i entry:i accepted:b reason",
+    """SELECT o.session_id, CASE WHEN timely AND nth <= coalesce(f, nth) THEN row_number() OVER (PARTITION BY o.session_id, timely ORDER BY nth) END AS sequence, entry, timely AND nth <= coalesce(f, nth) AS accepted,
+ CASE WHEN nth > f THEN 'after_final' WHEN NOT timely THEN 'out_of_order' END AS reason
+FROM x_in_order o LEFT JOIN (SELECT session_id, min(nth) AS f FROM x_in_order WHERE timely AND final_kind = 'FINALIZED' GROUP BY 1) USING (session_id)""",
 )
 def r8b(t: Tables) -> DataFrame:
-    e = entries(event_stream(t))
-    return sq.run_to_table(sq.chained(e.withColumn("kind", F.when(F.col("entry") % 50 == 7, "FINALIZED").otherwise(F.col("kind")))), "lifecycle")
-
-
+    return sq.run_to_table(sq.chained(arriving(t, True)), "lifecycle")

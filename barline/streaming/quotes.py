@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barline.plans.paper import JOURNAL, NO_HASH, entry_hash
@@ -18,10 +19,22 @@ from barline.session import shared_folder
 from barline.sources.store import new_rows
 
 
+FILES_PER_BATCH = 64  # so that a backlog is worked off in bounded micro-batches
+
+
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A folder's Parquet files of one name as a stream."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(folder)
+
+
+def replayed(rows: DataFrame, batch: Column, batches: int, name: str) -> DataFrame:
+    """Rows as a stream of micro-batches 0, 1, ... by ``batch``, for replaying arrivals in a given order."""
+    spark = rows.sparkSession
+    base = f"{shared_folder(spark)}/{name}-arrivals-{uuid.uuid4().hex}"
+    for b in range(batches):
+        rows.filter(batch == b).coalesce(1).write.parquet(f"{base}/{b}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/*")
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
@@ -92,87 +105,122 @@ def run_complete(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
-def ingest(stream: DataFrame, keys: list[str], series: list[str], ts: str, valid: Column, name: str) -> tuple[DataFrame, DataFrame]:
+def ingest(stream: DataFrame, keys: list[str], series: list[str], ts: str, valid: Column, name: str, plans: DataFrame | None = None) -> dict[str, DataFrame]:
     """Incremental ingest: store rows not stored yet, move checkpoints, report per series and batch.
 
-    A series with an invalid row in the batch is FAILED and stored not at all; others go on.  A batch is
-    stored under its epoch number, so a repeated batch replaces itself.
-    Returns the stored rows and the outcomes.
+    A series with an invalid row in a batch is FAILED there: its checkpoint stays, the invalid rows go to the rejects, and its
+    other rows wait in a retry table that the next batch reads first, so a failure loses nothing. Others go on. Of rows with one
+    key the earliest by ``ts`` is stored. A series of ``plans`` without rows is NO_DATA; one whose rows were all stored before is
+    CURRENT. A batch is stored under its epoch and day, so a repeated batch replaces itself and only the days of its rows are
+    read again.
+
+    Returns ``data``, ``outcomes``, ``rejects`` and ``retry`` (what still waits after the last batch).
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    columns = stream.columns
+    columns, schema = stream.columns, stream.schema
+    day = F.date_format(ts, "yyyyMMdd")
+    read = lambda part, epoch, form: spark.read.schema(form).parquet(f"{base}/{part}/{epoch}")
 
     def step(batch: DataFrame, epoch: int) -> None:
-        marked = batch.withColumn("_ok", F.coalesce(valid, F.lit(False)))
-        counts = marked.groupBy(*series).agg(F.bool_and("_ok").alias("_ok"), F.count(F.lit(1)).alias("received"))
-        good = marked.drop("_ok").join(counts.filter("_ok").select(*series), series, "left_semi")
-        earlier = spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(*[f"{base}/data/{e}" for e in range(epoch)]) if epoch else good.limit(0)
-        new_rows(earlier.select(*columns), good, keys).write.mode("overwrite").parquet(f"{base}/data/{epoch}")
-        stored = spark.read.schema(stream.schema).parquet(f"{base}/data/{epoch}")
-        added = stored.groupBy(*series).agg(F.count(F.lit(1)).alias("stored"), F.max(ts).alias("checkpoint"))
-        out = counts.join(added, series, "left").withColumn("stored", F.coalesce("stored", F.lit(0)))
-        status = F.when(~F.col("_ok"), "FAILED").when(F.col("stored") > 0, "UPDATED").otherwise("CURRENT")
-        out.withColumn("status", status).withColumn("epoch", F.lit(epoch)).drop("_ok").write.mode("overwrite").parquet(f"{base}/outcomes/{epoch}")
+        put = lambda df, part: df.write.mode("overwrite").parquet(f"{base}/{part}/{epoch}")
+        arrived = batch.withColumn("_new", F.lit(True))
+        if epoch:
+            arrived = arrived.unionByName(read("retry", epoch - 1, schema).withColumn("_new", F.lit(False)))
+        put(arrived.withColumn("_ok", F.coalesce(valid, F.lit(False))), "marked")
+        marked = spark.read.parquet(f"{base}/marked/{epoch}")
+        counts = marked.groupBy(*series).agg(F.bool_and("_ok").alias("_ok"), F.count_if("_new").alias("received"), F.count(F.lit(1)).alias("_rows"))
+        put(marked.filter(~F.col("_ok")).select(*columns, F.lit("invalid").alias("reason"), F.lit(epoch).alias("epoch")), "rejects")
+        held = marked.filter("_ok").drop("_ok").join(counts.select(*series, "_ok"), series)
+        put(held.filter(~F.col("_ok")).select(*columns), "retry")
+        good = held.filter("_ok").select(*columns)
+        if epoch:
+            days = [r[0] for r in good.select(day).distinct().collect()]  # the days of one batch
+            earlier = spark.read.schema(f"{', '.join(f'{k} {schema[k].dataType.simpleString()}' for k in keys)}, epoch int, day string").parquet(f"{base}/data")
+            earlier = earlier.filter((F.col("epoch") < epoch) & F.col("day").isin(days))
+        else:
+            earlier = good.limit(0)
+        fresh = new_rows(earlier.select(*keys), good, keys, [ts])
+        fresh.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{base}/data/epoch={epoch}")
+        stored = spark.read.schema(schema).parquet(f"{base}/data/epoch={epoch}")
+        added = stored.groupBy(*series).agg(F.count(F.lit(1)).alias("stored"), F.max(ts).alias("_latest"))
+        out = counts.join(added, series, "left")
+        if plans is not None:
+            out = plans.select(*series).distinct().join(out, series, "full_outer")
+        form = f"{', '.join(f'{k} {schema[k].dataType.simpleString()}' for k in series)}, checkpoint {schema[ts].dataType.simpleString()}"
+        before = read("outcomes", epoch - 1, form) if epoch else spark.createDataFrame([], form)
+        out = out.join(before, series, "left")
+        status = F.when(~F.col("_ok"), "FAILED").when(F.col("stored") > 0, "UPDATED").when(F.coalesce("_rows", F.lit(0)) == 0, "NO_DATA").otherwise("CURRENT")
+        put(out.select(*series, F.coalesce("received", F.lit(0)).alias("received"), F.coalesce("stored", F.lit(0)).alias("stored"), status.alias("status"), F.greatest("checkpoint", "_latest").alias("checkpoint"), F.lit(epoch).alias("epoch")), "outcomes")
 
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    read = lambda part: spark.read.option("recursiveFileLookup", True).parquet(f"{base}/{part}")
-    return read("data"), read("outcomes")
+    last = query.lastProgress["batchId"] if query.lastProgress else 0
+    every = lambda part: spark.read.option("recursiveFileLookup", True).parquet(f"{base}/{part}")
+    return {"data": spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/data"), "outcomes": every("outcomes"), "rejects": every("rejects"), "retry": read("retry", last, schema)}
 
 
 CHAIN_STATE = "sequence long, head string, last_ts long, finalized boolean"
+CHAIN_OUT = T.StructType([*JOURNAL.fields, T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType())])
 
 
 def _append(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     sequence, head, last, done = state.get if state.exists else (0, NO_HASH, -(2**62), False)
     rows = pd.concat(list(batches)).sort_values(["ts", "entry"], kind="stable")
     out = []
-    for r in rows.itertuples(index=False):
+    for r in rows.itertuples(index=False):  # each hash needs the one before it
         if done or r.ts < last:
+            out.append((key[0], r.ts, r.entry, r.kind, None, None, None, False, "after_final" if done else "out_of_order"))
             continue
         sequence, previous, last = sequence + 1, head, int(r.ts)
         head = entry_hash(r.entry, r.kind, previous, sequence, key[0], r.ts)
         done = r.kind == "FINALIZED"
-        out.append((key[0], r.ts, r.entry, r.kind, sequence, previous, head))
+        out.append((key[0], r.ts, r.entry, r.kind, sequence, previous, head, True, None))
     state.update((sequence, head, last, done))
-    yield pd.DataFrame(out, columns=[f.name for f in JOURNAL])
+    yield pd.DataFrame(out, columns=[f.name for f in CHAIN_OUT]).astype({"sequence": "Int64"})
 
 
 def chained(entries: DataFrame) -> DataFrame:
     """Append entries to the hash chain of their session; state is the chain head, its time and whether it is final.
 
-    Entries older than the head and entries after the final one are not appended.  The rows of one
-    micro-batch bound what a session holds at a time.
+    Entries older than the head and entries after the final one are not appended: they come out with ``accepted`` false and a
+    ``reason``, without sequence and hashes. The rows of one micro-batch bound what a session holds at a time.
     """
     d = entries.select("session_id", "ts", "entry", "kind")
-    return d.groupBy("session_id").applyInPandasWithState(_append, JOURNAL, CHAIN_STATE, "append", GroupStateTimeout.NoTimeout)
+    return d.groupBy("session_id").applyInPandasWithState(_append, CHAIN_OUT, CHAIN_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 LATCH = "account long, ts long, entry long, delta double, daily_pnl double, stopped boolean"
-LATCH_STATE = "day long, total double, stopped boolean"
+LATCH_STATE = "days array<long>, totals array<double>, stopped boolean"
 
 
 def _latch(limit: float):  # noqa: ANN202
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, total, stopped = state.get if state.exists else (-1, 0.0, False)
-        rows = pd.concat(list(batches)).sort_values(["ts", "entry"], kind="stable")
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.ts // 86400 != day:
-                day, total, stopped = int(r.ts // 86400), 0.0, False
-            total += r.delta
-            stopped = bool(stopped or total <= limit)
-            out.append((key[0], r.ts, r.entry, r.delta, total, stopped))
-        state.update((day, total, stopped))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in LATCH.split(", ")])
+        days, totals, stopped = state.get if state.exists else ([], [], False)
+        held = dict(zip(days, totals, strict=True))
+        d = pd.concat(list(batches)).sort_values(["ts", "entry"], kind="stable").reset_index(drop=True)
+        d["day"], d["delta"] = d["ts"] // 86400, d["delta"].where(~d["reset"], 0.0)
+        since = d["reset"].cumsum()
+        carried = d["day"].map(held).fillna(0.0).where(since == 0, 0.0)
+        d["daily_pnl"] = d.groupby([since, "day"])["delta"].cumsum() + carried
+        hit = (d["daily_pnl"] <= limit) & ~d["reset"]
+        d["stopped"] = hit.groupby(since).cummax() | ((since == 0) & stopped)
+        tail = d[since == since.iloc[-1]]
+        held = (held if since.iloc[-1] == 0 else {}) | tail.groupby("day")["daily_pnl"].last().to_dict()
+        state.update(([int(k) for k in held], [float(v) for v in held.values()], bool(d["stopped"].iloc[-1])))
+        yield d.assign(account=key[0])[[c.split()[0] for c in LATCH.split(", ")]]
 
     return step
 
 
 def loss_latch(deltas: DataFrame, limit: float) -> DataFrame:
-    """Running daily profit per account; once at or below the limit the stop holds for the day."""
-    return deltas.groupBy("account").applyInPandasWithState(_latch(limit), LATCH, LATCH_STATE, "append", GroupStateTimeout.NoTimeout)
+    """Running profit per account and day; once at or below the limit the stop holds until a row with ``reset``.
+
+    A late row counts for its own day and never releases the stop. A reset clears the totals and the stop; its delta is ignored.
+    State is a number a day since the last reset.
+    """
+    d = deltas.select("account", "ts", "entry", "delta", "reset")
+    return d.groupBy("account").applyInPandasWithState(_latch(limit), LATCH, LATCH_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def after_final(events: DataFrame, final_kind: str = "FINALIZED") -> DataFrame:
