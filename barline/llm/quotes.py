@@ -92,7 +92,7 @@ def linked(df: DataFrame) -> DataFrame:
     """``conv_id, turn, role, thread_id, position, depth, up_conv, up_turn, n_quoted, body, chat`` of each row of ``df``."""
     picked = df.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     messages = written(picked, "messages")
-    links = written(answers(passages(messages)), "answers")
+    links = written(answers(written(passages(messages), "passages")), "answers")
     body = F.trim(F.array_join(_own_lines(), "\n"), F.lit(" \n\t\r"))
     quoted = F.size(F.filter(_lines(), lambda x: x.rlike(PREFIX)))
     told = messages.select("conv_id", "turn", "role", body.alias("body"), quoted.cast("long").alias("n_quoted"), F.md5(F.coalesce("text", F.lit(""))).alias("of_text"))
