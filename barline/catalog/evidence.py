@@ -839,13 +839,13 @@ def k6(t: Tables) -> DataFrame:
 
 
 @query(
-    "k7_time_sets", "ts:t side",
-    "SELECT ts, 'missing' AS side FROM (SELECT DISTINCT ts FROM x_hbars WHERE pair = 'CLICK/USD' EXCEPT SELECT ts FROM x_hbars WHERE pair = 'VIEW/USD') UNION ALL SELECT ts, 'common' FROM (SELECT ts FROM x_hbars WHERE pair = 'CLICK/USD' INTERSECT SELECT ts FROM x_hbars WHERE pair = 'VIEW/USD')",
+    "k7_time_sets", "pair ts:t side",
+    "SELECT DISTINCT pair, ts, CASE WHEN ts IN (SELECT ts FROM x_hbars WHERE pair = 'VIEW/USD') THEN 'common' ELSE 'missing' END AS side FROM x_hbars WHERE pair <> 'VIEW/USD'",
 )
 def k7(t: Tables) -> DataFrame:
-    a = t.hourly().filter(F.col("pair") == "CLICK/USD").select("ts")
-    b = t.hourly().filter(F.col("pair") == "VIEW/USD").select("ts")
-    return a.subtract(b).withColumn("side", F.lit("missing")).unionByName(a.intersect(b).withColumn("side", F.lit("common")))
+    a = t.hourly().filter(F.col("pair") != "VIEW/USD").select("pair", "ts").distinct()
+    b = t.hourly().filter(F.col("pair") == "VIEW/USD").select("ts").distinct().withColumn("_in", F.lit(True))
+    return a.join(b, "ts", "left").select("pair", "ts", F.when(F.col("_in"), "common").otherwise("missing").alias("side"))
 
 
 @query("k8_union_of_pairs", "pair n:i", "SELECT pair, count(*) AS n FROM x_rec GROUP BY 1 UNION ALL SELECT 'two-sided ' || pair, count(*) FROM x_two GROUP BY 1")

@@ -12,7 +12,7 @@ from barline.operators import inference as inf
 from barline.operators import paths
 
 KEYS = ["horizon", "direction"]
-REPS, SIMULATIONS = 200, 200
+REPS, SIMULATIONS = 1000, 5000
 
 
 def mixed_sql(body: str, name: str) -> str:
@@ -26,7 +26,8 @@ def draws_sql(source: str, keys: str, reps: int, seed: int, steps: str, size: st
     body = f"SELECT {keys}, rep, CAST({steps} AS BIGINT) AS steps, CAST({size} AS BIGINT) AS size, CAST(({seed} + rep * {inf.STEP}) & {inf.MASK} AS BIGINT) AS a FROM {source}, (SELECT unnest(generate_series(0, {reps - 1})) AS rep)"
     body = mixed_sql(body, "a")
     body = f"SELECT {keys}, rep, size, step, CAST(xor(a, (step * {inf.STEP}) & {inf.MASK}) AS BIGINT) AS low FROM (SELECT *, unnest(generate_series(0, steps - 1)) AS step FROM ({body}))"
-    return f"SELECT {keys}, rep, step, low % size AS rn FROM ({mixed_sql(body, 'low')})"
+    words = f"SELECT *, CAST(xor(low, {inf.MIX}) AS BIGINT) AS high FROM ({mixed_sql(body, 'low')})"
+    return f"SELECT {keys}, rep, step, (high * 2147483648 + low) % size AS rn FROM ({mixed_sql(words, 'high')})"
 
 
 fragment("x_sample", f"SELECT *, row_number() OVER (PARTITION BY horizon, direction ORDER BY ts, pair) - 1 AS rn FROM {REC} WHERE split = 'confirmation'")
@@ -62,7 +63,7 @@ def sample(t: Tables) -> DataFrame:
     return paths.ranked(c, KEYS)
 
 
-LOW, HIGH = 4, REPS - 5
+LOW, HIGH = REPS // 40 - 1, REPS - REPS // 40
 BOUNDS = "horizon:i direction lower:d upper:d probability_positive:d"
 
 

@@ -135,7 +135,10 @@ def s8(t: Tables) -> DataFrame:
     start, end = F.lit("2024-01-02").cast("timestamp"), F.lit("2024-01-31").cast("timestamp")
     requests = t.sided().select("pair").distinct().select("pair", start.alias("start"), end.alias("end"))
     w = store.scan_windows(requests, 7)
-    hit = t.sided().join(w, "pair").filter((F.col("ts") >= F.col("window_start")) & (F.col("ts") < F.col("window_end")))
+    # both sides get the days they touch, so a row meets the windows of its day and not all of its pair
+    day = F.floor(F.unix_seconds("ts") / 86400)
+    days = F.sequence(F.floor(F.unix_seconds("window_start") / 86400), F.floor((F.unix_seconds("window_end") - 1) / 86400))
+    hit = t.sided().withColumn("_day", day).join(w.withColumn("_day", F.explode(days)), ["pair", "_day"]).filter((F.col("ts") >= F.col("window_start")) & (F.col("ts") < F.col("window_end")))
     return hit.groupBy("pair", "window_start", "window_end").agg(
         F.count_if(F.col("offer_side") == "B").alias("bid_rows"), F.count_if(F.col("offer_side") == "A").alias("ask_rows")
     )

@@ -41,7 +41,6 @@ def _draws(groups: DataFrame, reps: int, seed: int, steps: str, size: str, whole
     """
     mask, stride, mixer = (F.lit(x).cast("bigint") for x in (MASK, STEP, MIX))
     d = groups.select("gid", F.col("first").alias("_first"), F.col(steps).cast("bigint").alias("_steps"), F.col(size).cast("bigint").alias("_size"))
-    large = (d.agg(F.max("_size")).first()[0] or 0) >= 2**20
     d = d.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))))
     d = mixed(d.withColumn("_start", (F.lit(seed).cast("bigint") + F.col("rep") * stride).bitwiseAND(mask)), "_start")
     last = F.floor((F.col("_steps") - 1) / CHUNK).cast("bigint")
@@ -50,14 +49,11 @@ def _draws(groups: DataFrame, reps: int, seed: int, steps: str, size: str, whole
     begin = F.col("_chunk") * CHUNK
     d = d.withColumn("step", F.explode(F.sequence(begin, F.least(begin + CHUNK, F.col("_steps")) - 1)))
     s = F.col("step")
-    counter = (s.bitwiseAND(mask) * stride).bitwiseAND(mask)
-    if large:
-        counter = counter.bitwiseXOR((F.shiftright(s, 31) * mixer).bitwiseAND(mask))
+    # the part above 31 bits is 0 for short repetitions
+    counter = (s.bitwiseAND(mask) * stride).bitwiseAND(mask).bitwiseXOR((F.shiftright(s, 31) * mixer).bitwiseAND(mask))
     d = mixed(d.withColumn("_low", F.col("_start").bitwiseXOR(counter)), "_low")
-    index = F.col("_low") % F.col("_size")
-    if large:
-        d = mixed(d.withColumn("_high", F.col("_low").bitwiseXOR(mixer)), "_high")
-        index = F.when(F.col("_size") < 2**20, index).otherwise((F.col("_high") * F.lit(2**31).cast("bigint") + F.col("_low")) % F.col("_size"))
+    d = mixed(d.withColumn("_high", F.col("_low").bitwiseXOR(mixer)), "_high")
+    index = (F.col("_high") * F.lit(2**31).cast("bigint") + F.col("_low")) % F.col("_size")
     return d.select("gid", "rep", "step", F.coalesce(F.col("_first") + index, F.lit(-1).cast("bigint")).alias("key"))
 
 

@@ -91,9 +91,9 @@ def leakage_free(feature_time: Column, observation: Column, outcome_end: Column)
 
 
 def series_audit(
-    bars: DataFrame, keys: Sequence[str], step_s: Column, asset_class: Column, min_rows: Column, block: Column, newest: int | None = 5000
+    bars: DataFrame, keys: Sequence[str], step_s: Column, asset_class: Column, min_rows: Column, block: Column, newest: int | None = None
 ) -> DataFrame:
-    """Quality verdict per series over its newest rows; gaps are taken before the cut."""
+    """Quality verdict per series over all its rows, or its ``newest`` ones where a caller asks; gaps are taken before the cut."""
     d = gaps(bars, keys, block)
     if newest is not None:
         total = d.groupBy(*keys).agg(F.max("pos").alias("_last"))

@@ -88,5 +88,9 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Mark a join side for broadcast only if it has at most ``rows`` rows; else leave the join to the planner."""
+    """Write a join side, and mark it for broadcast only if it has at most ``rows`` rows; else it is merged.
+
+    Counting what is written runs the side's own plan once.
+    """
+    df = written(df, "side")
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

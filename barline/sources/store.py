@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.functions.labels import col
+from barline.session import written
 
 BAR_KEY = ("pair", "timeframe", "offer_side", "ts")
 
@@ -28,26 +30,30 @@ def scan_windows(requests: DataFrame, days: int, start: str = "start", end: str
 
 
 def new_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], first: Sequence[str | Column] = ()) -> DataFrame:
-    """Incoming rows whose key is not stored yet, one per key (the first writer wins)."""
-    if first:
-        w = Window.partitionBy(*keys).orderBy(*first)
-        one = incoming.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
-    else:
-        one = incoming.dropDuplicates(list(keys))
+    """Incoming rows whose key is not stored yet, one per key: the first by ``first``, then by all columns."""
+    order = [*first, *[c for c in incoming.columns if c not in keys]]
+    w = Window.partitionBy(*keys).orderBy(*order) if order else None
+    one = incoming.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn") if order else incoming.distinct()
     return one.join(existing.select(*keys), list(keys), "left_anti")
 
 
-def append_bars(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str] = BAR_KEY) -> int:
-    """Idempotent append to a Parquet table; returns the number of rows stored."""
+def append_bars(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str] = BAR_KEY, ts: str = "ts", first: Sequence[str | Column] = ()) -> int:
+    """Idempotent append to a Parquet table; returns the number of rows stored.
+
+    Of the stored side only the incoming rows' time range is read, by the files' statistics.
+    """
     try:
         existing = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         existing = incoming.limit(0)
-    before = existing.count()
-    new_rows(existing, incoming, keys).write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    low, high = incoming.agg(F.min(ts), F.max(ts)).first()
+    if low is None:
+        return 0
+    fresh = written(new_rows(existing.filter(F.col(ts).between(low, high)), incoming, keys, first), "append")
+    fresh.write.mode("append").parquet(path)
+    return fresh.count()
 
 
 JSON_ROWS = (
@@ -121,14 +127,16 @@ def series_hash(rows: DataFrame, keys: Sequence[str], ts: str, line: Column, blo
 def refresh_derived(spark: SparkSession, path: str, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Replace the rows of the given keys in a small derived table; other rows stay.
 
-    Parquet has no MERGE, so the new state goes to a fresh folder and is returned.
+    Parquet has no MERGE, so each state is a new version beside the last one, and the newest is the table.
     """
+    version = 0
     try:
-        old = spark.read.parquet(path)
-        table = table.unionByName(old.join(table.select(*keys), list(keys), "left_anti"))
-    except Exception as e:  # noqa: BLE001
+        versions = spark.read.parquet(path)
+        version = versions.agg(F.max("version")).first()[0]
+        old = versions.filter(F.col("version") == version).drop("version")
+        table = table.unionByName(old.join(table.select(*keys).distinct(), list(keys), "left_anti"))
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    target = f"{path}-next"
-    table.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    table.write.parquet(f"{path}/version={version + 1}")
+    return spark.read.parquet(path).filter(F.col("version") == version + 1).drop("version")
