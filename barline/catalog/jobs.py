@@ -14,10 +14,10 @@ from barline.operators import paths
 from barline.plans import candidates as cd
 from barline.session import written
 
-SCREEN = cd.Screen(samples=10, alpha=0.5, reps=200, low=5)
-TWO_SCREEN = cd.Screen(samples=30, alpha=0.9, reps=200, low=5, profit_factor=0.5)
-CONFIRM = cd.Confirmation(samples=20, reps=200, low=5, simulations=200, pair_samples=5, positive_pairs=2)
-CERTIFY = cd.Certification(folds=4, trades=5, series=2, positive_series=1, series_trades=2, reps=200, low=5)
+SCREEN = cd.Screen(samples=10, alpha=0.5, reps=1000, low=25)
+TWO_SCREEN = cd.Screen(samples=30, alpha=0.9, reps=1000, low=25, profit_factor=0.5)
+CONFIRM = cd.Confirmation(samples=20, reps=2000, low=50, simulations=5000, pair_samples=5, positive_pairs=2)
+CERTIFY = cd.Certification(folds=12, trades=5, series=2, positive_series=1, series_trades=2, reps=2000, low=50)
 
 ID7 = "concat_ws('|', horizon, regime, session, pairset, direction, agreement_min, coalesce(CAST(distance_max AS VARCHAR), 'none'))"
 ID6 = "concat_ws('|', horizon, regime, session, pairset, agreement_min, coalesce(CAST(distance_max AS VARCHAR), 'none'))"
@@ -202,7 +202,7 @@ JOIN ({diversity(hits, 'cand', r.pair_samples)}) USING (cand) LEFT JOIN ({boot(h
 LEFT JOIN ({ruin(hits, 'cand', r.simulations, r.seed + 2, r.ruin_cost)}) USING (cand))"""
 
 
-FROZEN = cd.Confirmation(samples=20, stress=(0.0, 0.2, 0.5, 1.0), reps=200, low=5, simulations=200, pair_samples=1, positive_pairs=2, ruin_cost=0.2, largest_share=1.0)
+FROZEN = cd.Confirmation(samples=20, stress=(0.0, 0.2, 0.5, 1.0), reps=2000, low=50, simulations=5000, pair_samples=1, positive_pairs=2, ruin_cost=0.2, largest_share=1.0)
 
 
 @query("q8_frozen_evaluation", CONF, confirm_sql("x_search_hits", FROZEN))
@@ -227,7 +227,7 @@ def first_hits(t: Tables) -> DataFrame:
     return ev.matching(r, best.select("cand", *cd.POINT), cd.CELL)
 
 
-FRESH = cd.Confirmation(samples=5, reps=200, low=5, simulations=200, pair_samples=2, positive_pairs=2)
+FRESH = cd.Confirmation(samples=5, reps=2000, low=50, simulations=5000, pair_samples=2, positive_pairs=2)
 
 
 @query("q10_fresh_confirmation", CONF, confirm_sql("x_first_hits", FRESH))
@@ -406,12 +406,12 @@ fragment("x_hier_rows", """SELECT spec, key, split, ts, pair, horizon, v FROM (S
 @query(
     "q16_hierarchical_validation", HIER,
     f"""SELECT c.*, b.lower, CASE WHEN n >= 5 AND profit_factor IS NOT NULL AND coalesce(lower > 0, false) AND stability >= 2/3 THEN 'STRONG_CONTEXT' WHEN n >= 5 AND (expectancy > 0 OR coalesce(profit_factor > 1, false)) THEN 'WATCH_CONTEXT' ELSE 'NO_TRADE' END AS status
-FROM x_hier c JOIN x_hier_pick USING (spec, key) JOIN ({boot('x_hier_rows', 'spec, key', 200, 7, 4)}) b USING (spec, key) WHERE c.split = 'confirmation' AND c.n >= 5""",
+FROM x_hier c JOIN x_hier_pick USING (spec, key) JOIN ({boot('x_hier_rows', 'spec, key', 1000, 7, 25)}) b USING (spec, key) WHERE c.split = 'confirmation' AND c.n >= 5""",
 )
 def q16(t: Tables) -> DataFrame:
     from barline.plans.atlas import hierarchical_validation
 
-    return hierarchical_validation(t.records(), discovery_n=10, confirmation_n=5, reps=200, low=4, seed=7)
+    return hierarchical_validation(t.records(), discovery_n=10, confirmation_n=5, reps=1000, low=25, seed=7)
 
 
 @query(
