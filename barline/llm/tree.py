@@ -1,7 +1,8 @@
 """Nearest vectors by cosine, from a hierarchical k-means tree with best-bin-first traversal.
 
 The tree is fitted on at most ``SAMPLE`` of the vectors, those with the smallest hash of their id, by splitting each node into
-``BRANCHES`` clusters until a leaf stands for about ``LEAF_ROWS`` vectors of the whole table. Every vector is then put into a
+``BRANCHES`` clusters until a leaf stands for about ``LEAF_ROWS`` vectors of the whole table, or four times the root of their
+number if that is more: a query sends on a few candidates from each leaf it visits, so these grow more slowly than the table. Every vector is then put into a
 leaf. A query takes nodes from a priority queue, nearest centre first, and visits the leaves it meets. How many is calibrated:
 at most ``TRIALS`` queries are also answered by scanning all vectors, and the visits are widened until these answers are found
 with a recall of ``RECALL``; a query goes on besides until its leaves hold enough candidates.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from barline.session import written
 
-SAMPLE, BRANCHES, LEAF_ROWS, TRIALS, RECALL, CELL = 20_000, 8, 256, 128, 0.97, 1024
+SAMPLE, BRANCHES, LEAF_ROWS, TRIALS, RECALL, CELL = 20_000, 8, 256, 128, 0.95, 1024
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -213,7 +214,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE, l
     share = lambda size: F.pmod(h, F.lit(1_000_003)) <= int(min(1.0, 1.5 * size / max(1, n)) * 1_000_003)
     chosen = distinct.where(share(sample)).orderBy(h, "key").limit(sample).select("key").toPandas()["key"]
     x = _unit(np.array([np.frombuffer(b) for b in chosen])) if len(chosen) else np.zeros((0, 1))
-    tree = fit(x, max(16, round(leaf_rows * len(x) / max(1, n))))
+    per_leaf = max(leaf_rows, 4 * n**0.5)
+    tree = fit(x, max(16, round(per_leaf * len(x) / max(1, n))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
