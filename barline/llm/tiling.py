@@ -25,6 +25,7 @@ from barline.llm.common import blocks, texts
 from barline.session import written
 
 SEED_WORDS, COVERAGE = 5, 0.5
+SLICE = 100_000  # words whose running sums are held at a time
 FILTER_BITS = 24  # the filter is 2 MiB at any size of the benchmark
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -79,8 +80,14 @@ def seed_hashes(cut: list[list[bytes]], roller: Roller, n: int = SEED_WORDS) ->
     first = np.cumsum(sizes) - sizes
     place = np.arange(len(flat)) - first[text]
     full = np.flatnonzero(place + n <= sizes[text])
-    sums = roller.sums(np.frombuffer(b" ".join(flat), dtype=np.uint8))
-    return roller.slices(sums, starts[full], ends[full + n - 1] - 1), text[full], place[full]
+    found = np.empty(len(full), dtype=np.uint64)
+    for begin in range(0, len(flat), SLICE):  # the sums of a slice of words, which reaches into the next
+        a, b = np.searchsorted(full, (begin, begin + SLICE))
+        if a < b:
+            own, zero = full[a:b], starts[begin]
+            sums = roller.sums(np.frombuffer(b" ".join(flat[begin : begin + SLICE + n]), dtype=np.uint8))
+            found[a:b] = roller.slices(sums, starts[own] - zero, ends[own + n - 1] - 1 - zero)
+    return found, text[full], place[full]
 
 
 def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +133,7 @@ def seeded(source: DataFrame, bits: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, bits = Roller(), np.unpackbits(known.value)
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=2 << 20):
             cut = [words_of(t) for t in batch.column("text").to_pylist()]
             h, text, _ = seed_hashes(cut, roller)
             one, two = _slots(h)
