@@ -150,31 +150,35 @@ def b9(t: Tables) -> DataFrame:
     return inf.adjust(hac(t), "p_value", FAMILY)
 
 
-def _gradient_sql(steps: int) -> str:
-    """The descent unrolled: one CTE per step over the score counts."""
-    ctes = [
-        "s AS (SELECT horizon, agreement AS x, CAST(outcome_pips > 0 AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS n FROM x_rec WHERE split = 'discovery' GROUP BY 1, 2, 3)",
-        "m0 AS (SELECT horizon, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, sum(n) AS n FROM s GROUP BY 1)",
-    ]
-    for i in range(steps):
-        ctes.append(
-            f"m{i + 1} AS MATERIALIZED (SELECT horizon, any_value(a) - 0.05::DOUBLE * sum(e) / any_value(m) AS a, any_value(b) - 0.05::DOUBLE * sum(e * x) / any_value(m) AS b, any_value(m) AS n FROM (SELECT s.horizon, s.x, m.a, m.b, m.n AS m, (1 / (1 + exp(-(m.a + m.b * s.x))) - s.y) * s.n AS e FROM s JOIN m{i} m USING (horizon)) GROUP BY 1)"
-        )
-    return "WITH " + ", ".join(ctes) + f" SELECT * FROM m{steps}"
-
-
-@query("b10_logistic_fit", "horizon:i intercept:d slope:d n:i", f"SELECT horizon, a AS intercept, b AS slope, n FROM ({_gradient_sql(60)})")
+# The descent as a recursion over one list of score counts per cohort.
+_STEP = "list_sum(list_transform(rows, lambda r: (1 / (1 + exp(-(a + b * r.x))) - r.y) * r.n{0})) / n"
+fragment("x_fit", f"""
+WITH RECURSIVE c AS (SELECT horizon, agreement AS x, CAST(outcome_pips > 0 AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS n FROM x_rec WHERE split = 'discovery' GROUP BY 1, 2, 3),
+l AS (SELECT horizon, list({{'x': x, 'y': y, 'n': n}} ORDER BY x, y) AS rows, sum(n) AS n FROM c GROUP BY 1 HAVING sum(n) >= 20),
+d AS (SELECT horizon, 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM l UNION ALL
+ SELECT horizon, i + 1, a - 0.05::DOUBLE * {_STEP.format("")}, b - 0.05::DOUBLE * {_STEP.format(" * r.x")} FROM d JOIN l USING (horizon) WHERE i < 1200)
+SELECT horizon, a AS intercept, b AS slope, n FROM d JOIN l USING (horizon) WHERE i = 1200""")
+
+
+@query("b10_logistic_fit", "horizon:i intercept:d slope:d n:i", "SELECT * FROM x_fit")
 def b10(t: Tables) -> DataFrame:
+    return fitted(t)
+
+
+def fitted(t: Tables) -> DataFrame:
     d = t.records().filter(F.col("split") == "discovery").withColumn("won", (F.col("outcome_pips") > 0).cast("int"))
-    return inf.fit_logistic(d, ["horizon"], "agreement", "won", steps=60)
+    return t._keep("logistic", lambda: inf.fit_logistic(d, ["horizon"], "agreement", "won"))
 
 
-@query("b10_logistic_validation", "horizon:i n:i brier:d ece:d", None)
+@query(
+    "b10_logistic_validation", "split horizon:i n:i brier:d ece:d",
+    """SELECT split, horizon, sum(k) AS n, sum(se) / sum(k) AS brier, sum(k * abs(mp - rate)) / sum(k) AS ece FROM (SELECT split, horizon, least(floor(p * 10), 9) AS bin, count(*) AS k, avg(p) AS mp, avg(y) AS rate, sum((p - y) ** 2) AS se
+ FROM (SELECT split, horizon, 1 / (1 + exp(-(intercept + slope * agreement))) AS p, CAST(outcome_pips > 0 AS DOUBLE) AS y FROM x_rec JOIN x_fit USING (horizon) WHERE split IN ('discovery', 'confirmation')) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+)
 def b10v(t: Tables) -> DataFrame:
+    """The report on the training rows next to the one on the held-out rows."""
     from barline.functions.statistics import logistic
 
-    rows = t.records().withColumn("won", (F.col("outcome_pips") > 0).cast("int"))
-    model = inf.fit_logistic(rows.filter(F.col("split") == "discovery"), ["horizon"], "agreement", "won").drop("n")
-    held = rows.filter(F.col("split") == "confirmation").join(model, "horizon")
-    held = held.withColumn("p", logistic(F.col("intercept") + F.col("slope") * F.col("agreement")))
-    return ev.calibration(ev.calibration_bins(held, ["horizon"], "p", "won"), ["horizon"])
+    rows = t.records().filter(F.col("split").isin("discovery", "confirmation")).withColumn("won", (F.col("outcome_pips") > 0).cast("int"))
+    judged = rows.join(fitted(t).drop("n"), "horizon").withColumn("p", logistic(F.col("intercept") + F.col("slope") * F.col("agreement")))
+    return ev.calibration(ev.calibration_bins(judged, ["split", "horizon"], "p", "won"), ["split", "horizon"])

@@ -9,8 +9,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barline import session
 from barline.operators import features, neighbours, outcomes, splits
-from barline.session import Study, written
+from barline.session import Study, source_version, written
 from barline.sources import events as adapter
 
 
@@ -26,7 +27,7 @@ class Tables:
         return adapter.read_table(self.spark, self.folder, name)
 
     def _keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.folder, self.study, name)
+        key = (self.spark.sparkContext.applicationId, self.folder, source_version(self.spark, self.folder), self.study, name)
         if key not in _PRODUCTS:
             _PRODUCTS[key] = written(make(), name)
         return _PRODUCTS[key]
@@ -66,6 +67,15 @@ class Tables:
 
 
 _PRODUCTS: dict[tuple, DataFrame] = {}
+
+
+def close(spark: SparkSession) -> int:
+    """Forget and delete the products of a session."""
+    for key in [k for k in _PRODUCTS if k[0] == spark.sparkContext.applicationId]:
+        del _PRODUCTS[key]
+    return session.close(spark)
+
+
 DEFAULT = Study()
 
 

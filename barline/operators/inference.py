@@ -226,15 +226,17 @@ def score_counts(rows: DataFrame, keys: Sequence[str], score: str, label: str) -
     )
 
 
-def fit_logistic(rows: DataFrame, keys: Sequence[str], score: str, label: str, steps: int = 1200, rate: float = 0.05) -> DataFrame:
-    """Two-parameter logistic fit per cohort by full-batch gradient descent from 0.
+def fit_logistic(rows: DataFrame, keys: Sequence[str], score: str, label: str, steps: int = 1200, rate: float = 0.05, least: int = 20) -> DataFrame:
+    """Two-parameter logistic fit per cohort of ``least`` rows or more, by full-batch gradient descent from 0.
 
     Rows are first counted per (cohort, score, label).  Where every cohort has few distinct scores
     (checked), the descent runs inside one row per cohort; else each step is one aggregate over the
     counts and one gradient pair per cohort.
     """
     keys = list(keys)
-    counts = score_counts(rows, keys, score, label).persist()
+    counts = written(score_counts(rows, keys, score, label), "score_counts")
+    enough = counts.groupBy(*keys).agg(F.sum("_n").alias("_all")).filter(F.col("_all") >= least).drop("_all")
+    counts = counts.join(enough, keys, "left_semi")
     widest = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if widest > SCORES_PER_ROW:
         return _fit_stepwise(counts, keys, steps, rate)

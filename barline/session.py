@@ -50,6 +50,7 @@ def get_session(app: str = "barline", master: str | None = None, **conf: str) ->
 
 
 _FOLDERS: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -75,10 +76,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def close(spark: SparkSession) -> int:
+    """Delete the data products this session has written; returns their number."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
+def source_version(spark: SparkSession, folder: str) -> tuple[tuple[str, int], ...]:
+    """Names and modification times of a folder's tables: a changed table is another version."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.parquet")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return tuple((f.getPath().getName(), f.getModificationTime()) for f in found)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash partition into the session's full number of shuffle partitions.
 
