@@ -117,6 +117,34 @@ class Model:
         s["keep"], s["last"] = keep, h
         return s
 
+    def _states(self, x: np.ndarray, reset: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The states alone, in arrays that are used again from step to step."""
+        n, a = x.shape
+        k, p = self.shape.hidden, self.p
+        ax = p["input"][x]
+        ax[:, :, : 2 * k] *= 0.5  # the gates are logistic: half a hyperbolic tangent of half the sum
+        state = p["state"].copy()
+        state[:, : 2 * k] *= 0.5
+        out = np.empty((n, a, k), dtype=np.float32)
+        g, zr = np.empty((a, 3 * k), dtype=np.float32), np.empty((a, 2 * k), dtype=np.float32)
+        for t in range(n):
+            if reset[t].any():
+                h = np.where(reset[t][:, None], np.float32(0), h)
+            np.matmul(h, state, out=g)
+            np.add(ax[t, :, : 2 * k], g[:, : 2 * k], out=zr)
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            c = zr[:, k:] * g[:, 2 * k :]
+            c += ax[t, :, 2 * k :]
+            np.tanh(c, out=c)
+            d = out[t]
+            np.subtract(h, c, out=d)
+            d *= zr[:, :k]
+            d += c
+            h = d
+        return out
+
     def _output(self, h: np.ndarray, target: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each target code, and the gradient at the states of their negative sum."""
         shape, p = self.shape, self.p
@@ -165,10 +193,10 @@ class Model:
         h = None
         for x, reset, target, text, real, active in self._windows(codes):
             h = np.zeros((active, self.shape.hidden), dtype=np.float32) if h is None else h[:active]
-            s = self._forward(x, reset, h)
-            h = s["last"]
+            states = self._states(x, reset, h)
+            h = states[-1]
             flat = real.ravel()
-            out, _ = self._output(s["h"].reshape(-1, self.shape.hidden)[flat], target.ravel()[flat], None)
+            out, _ = self._output(states.reshape(-1, self.shape.hidden)[flat], target.ravel()[flat], None)
             sums += np.bincount(text.ravel()[flat], weights=out, minlength=len(codes))
         return sums
 
