@@ -195,15 +195,18 @@ def training_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """At most ``sample`` texts of either label outside the held-out fold."""
     known = labels.select(F.col("doc_id").alias("of"), F.col("toxic").cast("int").alias("toxic")).where("of IS NOT NULL AND toxic IN (0, 1)")
     known = known.where(fold("of") != HELD_OUT).groupBy("of").agg(F.max("toxic").alias("toxic"))
-    source = texts(df, id_col, text_col).where(F.octet_length("text") <= LONGEST)
-    joined = source.join(known, F.col("doc_id") == F.col("of")).select("doc_id", "text", "toxic", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    # a hash below its own sampled share first, so that few texts are sent on; then the exact bound
+    h = F.xxhash64(F.col("of").cast("string"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    # of a label with many ids, only those with a hash below half as much again as the sample's share are looked up
+    near = F.lit(False)
+    for label, n in counts.items():
+        near |= (F.col("toxic") == label) & (F.pmod(h, F.lit(1_000_003)) <= int(min(1.0, 1.5 * sample / n) * 1_000_003))
+    few = F.broadcast(known.where(near).withColumn("h", h))  # 1.5 * sample rows of either label, give or take their spread
+    source = texts(df, id_col, text_col).where(F.octet_length("text") <= LONGEST)
+    joined = source.join(few, F.col("doc_id") == F.col("of")).select("doc_id", "text", "toxic", "h")
     rows = []
-    for label, n in sorted(counts.items()):
-        share = min(1.0, 1.5 * sample / n)
-        near = joined.where((F.col("toxic") == label) & (F.pmod(F.col("h"), F.lit(1_000_003)) < int(share * 1_000_003) + 1))
-        rows += [(r.text, r.toxic) for r in near.orderBy("h", "doc_id", "text").limit(sample).collect()]
+    for label in sorted(counts):
+        rows += [(r.text, r.toxic) for r in joined.where(F.col("toxic") == label).orderBy("h", "doc_id", "text").limit(sample).collect()]
     return rows
 
 
