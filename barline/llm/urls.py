@@ -49,7 +49,7 @@ def tokens() -> Column:
     named = lambda kind, value: F.when(value != "", F.concat(F.lit(f"{kind}="), value))
     segment = lambda i: F.regexp_replace(F.get(segments, F.lit(i)), "^[0-9]+$", "#")
     n = F.size(labels)
-    return F.array_compact(
+    found = F.array_compact(
         F.array(
             named("scheme", F.col("scheme")),
             named("tld", F.get(labels, n - 1)),
@@ -61,6 +61,7 @@ def tokens() -> Column:
             named("key", F.regexp_extract("query", "^([^=&]+)", 1)),
         )
     )
+    return F.transform(found, lambda t: F.replace(t, F.lit(" "), F.lit("%20")))  # sets of tokens are written with spaces
 
 
 def listed(rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -118,7 +119,7 @@ parsed AS (SELECT page_id, n, {lower.format("scheme")} AS scheme, {lower.format(
                   regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1) AS query FROM cut),
 parts AS (SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments, regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1) AS kind,
                  regexp_extract(query, '^([^=&]+)', 1) AS key FROM parsed),
-urls AS (SELECT page_id, n, host, path, list_sort(list_filter([
+urls AS (SELECT page_id, n, host, path, list_sort(list_transform(list_filter([
             CASE WHEN scheme <> '' THEN 'scheme=' || scheme END,
             CASE WHEN labels[-1] <> '' THEN 'tld=' || labels[-1] END,
             CASE WHEN len(labels) >= 2 THEN 'domain=' || labels[-2] || '.' || labels[-1] END,
@@ -126,7 +127,7 @@ urls AS (SELECT page_id, n, host, path, list_sort(list_filter([
             CASE WHEN {segment.format(1)} <> '' THEN 'first=' || {segment.format(1)} END,
             CASE WHEN {segment.format(2)} <> '' THEN 'second=' || {segment.format(2)} END,
             CASE WHEN kind <> '' THEN 'type=' || kind END,
-            CASE WHEN key <> '' THEN 'key=' || key END], lambda t: t IS NOT NULL)) AS tokens FROM parts),
+            CASE WHEN key <> '' THEN 'key=' || key END], lambda t: t IS NOT NULL), lambda t: replace(t, ' ', '%20'))) AS tokens FROM parts),
 fits AS (SELECT n, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict FROM urls JOIN listed_rules ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p) GROUP BY n),
 labelled AS (SELECT tokens, verdict FROM urls JOIN fits USING (n)),
 total AS (SELECT count(*) AS n FROM labelled),
