@@ -100,13 +100,12 @@ def b5(t: Tables) -> DataFrame:
 
 
 def erfc_sql(x: str) -> str:
-    from barline.functions.statistics import ERFC_FIT
-
-    t = f"(1 / (1 + 0.5 * abs({x})))"
-    poly = str(ERFC_FIT[-1])
-    for c in reversed(ERFC_FIT[:-1]):
-        poly = f"({poly} * {t} + {c})"
-    return f"CASE WHEN {x} >= 0 THEN {t} * exp(-({x}) * ({x}) + {poly}) ELSE 2 - {t} * exp(-({x}) * ({x}) + {poly}) END"
+    """Near 0 by the alternating series of erf, else by trapezoids of Craig's integral of exp(-(x / sin t)^2) over a quarter turn."""
+    n = 200
+    points = f"list_transform(range(1, {n}), lambda i: exp(-pow({x} / sin(i * pi() / {2 * n}), 2)))"
+    half = f"((2 * list_sum({points}) + exp(-pow({x}, 2))) / {2 * n})"
+    near = f"list_sum(list_transform(range(0, 40), lambda i: pow(-1, i) * pow({x}, 2 * i + 1) / (gamma(i + 1) * (2 * i + 1))))"
+    return f"CASE WHEN abs({x}) < 1.5 THEN 1 - 2 / sqrt(pi()) * {near} WHEN {x} > 0 THEN {half} ELSE 2 - {half} END"
 
 
 def hac_sql(source: str, keys: str, order: str = "ts, pair") -> str:

@@ -53,7 +53,7 @@ def test_multiple_testing(spark):
 
 
 def test_erfc_is_close(spark):
-    d = spark.range(-40, 41).select((F.col("id") / 10.0).alias("x")).withColumn("e", st.erfc(F.col("x")))
+    d = spark.range(-40, 41).select((F.col("id") / 10.0).alias("x")).withColumn("e", st.st.erfc(F.col("x")))
     assert max(abs(r.e - math.erfc(r.x)) for r in d.collect()) < 2e-7
 
 
@@ -131,3 +131,9 @@ def test_exact_quantile_with_ties_and_small_groups(spark):
     d = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], ["g", "v"])
     got = {r.g: r.median for r in ev.exact_quantile(d, ["g"], "v").collect()}
     assert got == pytest.approx({g: statistics.median(vs) for g, vs in groups.items()})
+
+
+def test_erfc_is_exact_in_the_tails(spark):
+    xs = [i / 20 for i in range(-120, 400)]
+    got = {r.x: r.y for r in spark.createDataFrame([(x,) for x in xs], "x double").select("x", st.erfc(F.col("x")).alias("y")).collect()}
+    assert max(abs(got[x] / math.erfc(x) - 1) for x in xs) < 1e-12
