@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,10 +68,10 @@ def f5(t: Tables) -> DataFrame:
 
 @query(
     "f6_sampled_targets", "pair ts:t spos:i session regime direction",
-    f"SELECT * FROM x_tgt WHERE (spos - {H}) % 1 = 0",
+    f"SELECT * FROM x_tgt WHERE (spos - {H}) % 5 = 0",
 )
 def f6(t: Tables) -> DataFrame:
-    return neighbours.targets(t.states(), t.study)
+    return neighbours.targets(t.states(), replace(t.study, stride=5))
 
 
 @query("o1_forward_outcomes", "pair ts:t horizon:i direction entry:d exit:d move:d mfe:d mae:d", "SELECT * FROM x_out")

@@ -217,12 +217,12 @@ def q8b(t: Tables) -> DataFrame:
     return cd.frozen_drift(again, stored)
 
 
-fragment("x_first", "SELECT * FROM x_discovery WHERE outcome <> 'failed profit factor' ORDER BY round(lower, 6) DESC NULLS LAST, round(profit_factor, 6) DESC NULLS LAST, round(expectancy, 6) DESC, n DESC, cand LIMIT 5")
+fragment("x_first", "SELECT * FROM x_discovery WHERE outcome <> 'failed profit factor' ORDER BY round(lower, 6) DESC NULLS LAST, round(profit_factor, 6) DESC NULLS LAST, round(expectancy, 6) DESC, n DESC, cand LIMIT 25")
 fragment("x_first_hits", f"SELECT * FROM (SELECT *, {ID7} AS cand FROM x_grid_hits WHERE global_split = 'confirmation' AND pairset = 'all') WHERE cand IN (SELECT cand FROM x_first)")
 
 
 def first_hits(t: Tables) -> DataFrame:
-    best = ev.top(found(t).filter(F.col("outcome") != "failed profit factor"), cd.discovery_order(), 5)
+    best = ev.top(found(t).filter(F.col("outcome") != "failed profit factor"), cd.discovery_order(), 25)
     r = t.records().filter(F.col("global_split") == "confirmation").withColumn("pairset", F.lit("all"))
     return ev.matching(r, best.select("cand", *cd.POINT), cd.CELL)
 
