@@ -101,8 +101,9 @@ class Kernel:
             if len(s) >= 3:
                 by_size.setdefault(len(s), []).append(i)
         for members in by_size.values():
-            for start in range(0, len(members), 1024):
-                at = members[start : start + 1024]
+            rows = 1024 if width == 1 else 64  # a row of features for each subsequence is held
+            for start in range(0, len(members), rows):
+                at = members[start : start + rows]
                 part = [strings[i] for i in at]
                 ids, w = self._subsequences(part)
                 found = self.table[ids]

@@ -152,7 +152,9 @@ def fit(labelled: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     toxic = np.array([y == 1 for _, y in labelled], dtype=bool)
     if not toxic.any() or toxic.all():
         return Model(constant=float(toxic.mean()) if len(toxic) else 0.0)
-    sentences = [[s for s in map(units, SENTENCE.split(t)) if s] or [set()] for t, _ in labelled]
+    one: dict[str, str] = {}  # equal units share one string
+    held = lambda s: frozenset(one.setdefault(u, u) for u in s)
+    sentences = [[held(s) for s in map(units, SENTENCE.split(t)) if s] or [frozenset()] for t, _ in labelled]
     picked, common, telling = _landmarks([set().union(*s) for s in sentences], toxic, landmarks)
     marks = picked + common
     if not marks:
