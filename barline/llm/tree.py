@@ -90,7 +90,8 @@ def fit(x: np.ndarray, leaf_rows: int, branches: int = BRANCHES, rounds: int = 1
     open_, leaves = [(0, np.arange(len(x)))], 0
     while open_:
         v, rows = open_.pop()
-        parts = _split(x[rows], branches, rounds, rng) if len(rows) > leaf_rows else []
+        wanted = min(branches, -(-len(rows) // leaf_rows))  # no more clusters than full leaves
+        parts = _split(x[rows], wanted, rounds, rng) if wanted > 1 else []
         if len(parts) < 2:
             leaf[v], leaves = leaves, leaves + 1
             continue
