@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -95,12 +96,35 @@ def read_record_document(spark: SparkSession, path: str, schema: str, multi_line
     return raw.select(F.inline("target_records"))
 
 
+WHOLE_BYTES = 64 << 20  # of a file that one row may hold
+
+
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 and size of every input file."""
+    """SHA-256 and size of every input file.
+
+    Files of at most ``WHOLE_BYTES`` are hashed in tasks, one row each. A longer one passes through the driver's JVM as a stream
+    with a small buffer, as Python tasks have no access to Hadoop's file systems: a file of any length takes no more memory.
+    """
+    longest = min(WHOLE_BYTES, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    hashed = files.where(F.col("length") <= longest).select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > longest).select("path", name, "length").collect()  # one row a file, without content
+    if not large:
+        return hashed
+    with ThreadPoolExecutor(8) as pool:
+        digests = pool.map(lambda r: _streamed_sha256(spark, r.path), large)
+        rows = [(r.file, r.length, d) for r, d in zip(large, digests, strict=True)]
+    return hashed.union(spark.createDataFrame(rows, hashed.schema))
+
+
+def _streamed_sha256(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def canonical_json(columns: Sequence[str]) -> Column:
