@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import counts, golay, language, lines, pieces, quotes, tiling, toxicity, tree, urls
+from barline.llm import audit, counts, golay, language, lines, packing, pieces, quotes, resampling, tiling, toxicity, tree, urls
 from barline.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_recurrent_score(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,5 +59,26 @@ def op10_quote_links(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.linked(table(spark, folder, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_recurrent_score, op2_string_tiling, op3_line_dedup, op4_toxicity, op5_token_counts, op6_kmeans_tree, op7_url_rules, op8_simhash_golay, op9_piece_encoding, op10_quote_links)}
-ORACLES: dict[str, str] = {"op3_line_dedup": lines.oracle_sql(), "op7_url_rules": urls.oracle_sql(), "op10_quote_links": quotes.oracle_sql()}
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), WORDS)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_recurrent_score, op2_string_tiling, op3_line_dedup, op4_toxicity, op5_token_counts, op6_kmeans_tree, op7_url_rules, op8_simhash_golay, op9_piece_encoding, op10_quote_links,
+        op11_importance_resampling, op12_filter_audit, op13_best_fit_packing,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": lines.oracle_sql(), "op7_url_rules": urls.oracle_sql(), "op10_quote_links": quotes.oracle_sql(),
+    "op11_importance_resampling": resampling.oracle_sql(), "op12_filter_audit": audit.oracle_sql(),
+}
