@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barline.catalog.evidence import REC, drawdown_sql
 from barline.catalog.registry import Tables, fragment, query
+from barline.operators import draws
 from barline.operators import evidence as ev
 from barline.operators import inference as inf
 from barline.operators import paths
@@ -18,15 +19,15 @@ REPS, SIMULATIONS = 1000, 5000
 def mixed_sql(body: str, name: str) -> str:
     for _ in range(2):
         body = f"SELECT * REPLACE (xor({name}, {name} >> 16) AS {name}) FROM ({body})"
-        body = f"SELECT * REPLACE (({name} * {inf.MIX}) & {inf.MASK} AS {name}) FROM ({body})"
+        body = f"SELECT * REPLACE (({name} * {draws.MIX}) & {draws.MASK} AS {name}) FROM ({body})"
     return f"SELECT * REPLACE (xor({name}, {name} >> 16) AS {name}) FROM ({body})"
 
 
 def draws_sql(source: str, keys: str, reps: int, seed: int, steps: str, size: str) -> str:
-    body = f"SELECT {keys}, rep, CAST({steps} AS BIGINT) AS steps, CAST({size} AS BIGINT) AS size, CAST(({seed} + rep * {inf.STEP}) & {inf.MASK} AS BIGINT) AS a FROM {source}, (SELECT unnest(generate_series(0, {reps - 1})) AS rep)"
+    body = f"SELECT {keys}, rep, CAST({steps} AS BIGINT) AS steps, CAST({size} AS BIGINT) AS size, CAST(({seed} + rep * {draws.STEP}) & {draws.MASK} AS BIGINT) AS a FROM {source}, (SELECT unnest(generate_series(0, {reps - 1})) AS rep)"
     body = mixed_sql(body, "a")
-    body = f"SELECT {keys}, rep, size, step, CAST(xor(a, (step * {inf.STEP}) & {inf.MASK}) AS BIGINT) AS low FROM (SELECT *, unnest(generate_series(0, steps - 1)) AS step FROM ({body}))"
-    words = f"SELECT *, CAST(xor(low, {inf.MIX}) AS BIGINT) AS high FROM ({mixed_sql(body, 'low')})"
+    body = f"SELECT {keys}, rep, size, step, CAST(xor(a, (step * {draws.STEP}) & {draws.MASK}) AS BIGINT) AS low FROM (SELECT *, unnest(generate_series(0, steps - 1)) AS step FROM ({body}))"
+    words = f"SELECT *, CAST(xor(low, {draws.MIX}) AS BIGINT) AS high FROM ({mixed_sql(body, 'low')})"
     return f"SELECT {keys}, rep, step, (high * 2147483648 + low) % size AS rn FROM ({mixed_sql(words, 'high')})"
 
 
@@ -91,7 +92,7 @@ def b4(t: Tables) -> DataFrame:
 @query(
     "b5_distribution_audit", "horizon:i direction mean:d lower:d upper:d probability_positive:d max_drawdown:d ruin_probability:d",
     f"""SELECT a.horizon, a.direction, m.mean, least(a.lower, b.lower) AS lower, greatest(a.upper, b.upper) AS upper, a.probability_positive, d.max_drawdown, r.ruin_probability
-FROM ({stats_sql(boot_sql(21), LOW, HIGH)}) a JOIN ({stats_sql(block_sql(22), LOW, HIGH)}) b USING (horizon, direction) JOIN ({ruin_sql(23, 2 * REPS, 0.0)}) r USING (horizon, direction)
+FROM ({stats_sql(boot_sql(21), LOW, HIGH)}) a JOIN ({stats_sql(block_sql(22), LOW, HIGH)}) b USING (horizon, direction) JOIN ({ruin_sql(23, SIMULATIONS, 0.0)}) r USING (horizon, direction)
 JOIN (SELECT horizon, direction, avg(v) AS mean FROM x_sample GROUP BY 1, 2) m USING (horizon, direction) JOIN ({drawdown_sql('x_sample', 'horizon, direction')}) d USING (horizon, direction)""",
 )
 def b5(t: Tables) -> DataFrame:

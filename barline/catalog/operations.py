@@ -78,7 +78,7 @@ fragment("x_tail", "SELECT horizon, ts, pair, outcome_pips, outcome_pips - 0.4::
     f"""SELECT *, CASE WHEN failed = '' THEN 'PASS' ELSE 'FAIL' END AS state FROM (SELECT *, concat_ws(',', CASE WHEN NOT folds_positive THEN 'folds_positive' END, CASE WHEN NOT m - 1.5 > 0 THEN 'stress_resilient' END,
  CASE WHEN NOT (lower > 0 AND probability_positive >= 0.95 AND ruin_probability < 0.05) THEN 'uncertainty_supportive' END) AS failed
 FROM (SELECT horizon, any_value(n) AS n, avg(outcome_pips) AS m FROM x_tail GROUP BY 1) JOIN (SELECT horizon, count(*) AS folds, bool_and(e > 0) AS folds_positive, max(max_drawdown) AS worst_drawdown FROM (SELECT horizon, fold, avg(v) AS e FROM x_tailf GROUP BY 1, 2) JOIN ({drawdown_sql('x_tailf', 'horizon, fold')}) USING (horizon, fold) GROUP BY 1) USING (horizon)
-JOIN (SELECT horizon, least(a.lower, b.block_lower) AS lower, a.probability_positive FROM ({boot('x_tail', 'horizon', 1000, 31, 25)}) a JOIN ({block_boot('x_tail', 'horizon', 1000, 32, 25)}) b USING (horizon)) USING (horizon) JOIN ({ruin('x_tail', 'horizon', 2000, 33, 0.0)}) USING (horizon))""",
+JOIN (SELECT horizon, least(a.lower, b.block_lower) AS lower, a.probability_positive FROM ({boot('x_tail', 'horizon', 1000, 31, 25)}) a JOIN ({block_boot('x_tail', 'horizon', 1000, 32, 25)}) b USING (horizon)) USING (horizon) JOIN ({ruin('x_tail', 'horizon', 5000, 33, 0.0)}) USING (horizon))""",
 )
 def q18(t: Tables) -> DataFrame:
     return evaluation.non_live(t.records(), ["horizon"], 400, 200, 200, (0.4, 0.8, 1.5), 1000, 25, 31).withColumn("failed", F.array_join("failed", ","))

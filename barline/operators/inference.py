@@ -9,115 +9,10 @@ from pyspark.sql import functions as F
 
 from barline.functions.labels import col
 from barline.functions.statistics import logistic, upper_tail
+from barline.operators.draws import block_bootstrap_means, bootstrap_means, ruin_probability
 from barline.operators.ordering import in_blocks
 from barline.operators.paths import ranked
-from barline.session import spread, written
-
-# 31-bit mask and multipliers of the counter-based generator.
-MASK = 2**31 - 1
-MIX = 73244475
-STEP = 1103515245
-CHUNK = 10_000
-
-
-def mixed(df: DataFrame, name: str) -> DataFrame:
-    """Scramble a 31-bit column; every product stays within 62 bits.
-
-    One projection per step: written as a single expression, its tree would double at every step.
-    """
-    c, mask = F.col(name), F.lit(MASK).cast("bigint")
-    for _ in range(2):
-        df = df.withColumn(name, c.bitwiseXOR(F.shiftright(c, 16)))
-        df = df.withColumn(name, (c * F.lit(MIX).cast("bigint")).bitwiseAND(mask))
-    return df.withColumn(name, c.bitwiseXOR(F.shiftright(c, 16)))
-
-
-def _draws(groups: DataFrame, reps: int, seed: int, steps: str, size: str, whole: bool = False) -> DataFrame:
-    """(gid, rep, step, key): the row drawn at every step of every repetition, as an index over all groups.
-
-    The draw depends on (seed, rep, step) only, so a lost task draws the same again.  Steps are made in
-    chunks on the executors, never as one big array; ``whole`` keeps a repetition in one task for
-    work that needs its order.
-    """
-    mask, stride, mixer = (F.lit(x).cast("bigint") for x in (MASK, STEP, MIX))
-    d = groups.select("gid", F.col("first").alias("_first"), F.col(steps).cast("bigint").alias("_steps"), F.col(size).cast("bigint").alias("_size"))
-    d = d.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))))
-    d = mixed(d.withColumn("_start", (F.lit(seed).cast("bigint") + F.col("rep") * stride).bitwiseAND(mask)), "_start")
-    last = F.floor((F.col("_steps") - 1) / CHUNK).cast("bigint")
-    d = d.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    d = spread(d, "gid", "rep") if whole else spread(d, "gid", "rep", "_chunk")
-    begin = F.col("_chunk") * CHUNK
-    d = d.withColumn("step", F.explode(F.sequence(begin, F.least(begin + CHUNK, F.col("_steps")) - 1)))
-    s = F.col("step")
-    # the part above 31 bits is 0 for short repetitions
-    counter = (s.bitwiseAND(mask) * stride).bitwiseAND(mask).bitwiseXOR((F.shiftright(s, 31) * mixer).bitwiseAND(mask))
-    d = mixed(d.withColumn("_low", F.col("_start").bitwiseXOR(counter)), "_low")
-    d = mixed(d.withColumn("_high", F.col("_low").bitwiseXOR(mixer)), "_high")
-    index = (F.col("_high") * F.lit(2**31).cast("bigint") + F.col("_low")) % F.col("_size")
-    return d.select("gid", "rep", "step", F.coalesce(F.col("_first") + index, F.lit(-1).cast("bigint")).alias("key"))
-
-
-# Values up to this many rows are sent to every task; more are joined by a shuffle of both sides.
-BROADCAST_ROWS = 2_000_000
-
-
-def _drawn(draws: DataFrame, values: DataFrame) -> DataFrame:
-    """Join draws to their values.  The planner cannot see how many draws there are, so the side is chosen here
-    by the counted number of values: draws are never broadcast.
-    """
-    small = values.count() <= BROADCAST_ROWS
-    return draws.join(F.broadcast(values), "key") if small else draws.hint("merge").join(values, "key")
-
-
-def _sizes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _numbered(groups: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
-    """Give each group a number and the index of its first row; one row per group, so one small sort."""
-    w = Window.orderBy(*keys)
-    d = groups.withColumn("gid", F.row_number().over(w))
-    first = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return written(d.withColumn("first", first.cast("bigint")), "resampling-groups")
-
-
-def _indexed(rows: DataFrame, groups: DataFrame, keys: Sequence[str], *columns: str | Column) -> DataFrame:
-    """Rows under one running index, written once because they are counted and then joined."""
-    d = rows.join(groups.select(*keys, "first"), list(keys)).select((F.col("first") + F.col("rn")).alias("key"), *columns)
-    return written(d, "resampling-values")
-
-
-def bootstrap_means(rows: DataFrame, keys: Sequence[str], value: str, reps: int = 2000, seed: int = 0) -> DataFrame:
-    """Mean of each of ``reps`` resamples with replacement; ``rows`` carry ``rn`` (0-based, per group)."""
-    keys = list(keys)
-    groups = _numbered(_sizes(rows, keys).filter("n >= 2"), keys, "n")
-    values = _indexed(rows, groups, keys, F.col(value).alias("_v"))
-    means = _drawn(_draws(groups, reps, seed, "n", "n"), values).groupBy("gid", "rep").agg(F.avg("_v").alias("mean"))
-    return means.join(groups.select(*keys, "gid"), "gid").drop("gid")
-
-
-def block_bootstrap_means(rows: DataFrame, keys: Sequence[str], value: str, block: int = 5, reps: int = 2000, seed: int = 0) -> DataFrame:
-    """As ``bootstrap_means`` with consecutive blocks (the last may be short), drawn until n values, then cut to n.
-
-    A block is one row with the sums of its first 1, 2, ... values, so cutting needs no single values.
-    """
-    keys = list(keys)
-    d = rows.withColumn("_blk", F.floor(F.col("rn") / block).cast("bigint"))
-    d = d.groupBy(*keys, "_blk").agg(F.array_sort(F.collect_list(F.struct("rn", F.col(value).alias("v")))).alias("_m"))
-    sums = F.transform(F.sequence(F.lit(1), F.size("_m")), lambda i: F.aggregate(F.slice("_m", F.lit(1), i), F.lit(0.0), lambda a, m: a + m["v"]))
-    blocks = d.select(*keys, F.col("_blk").alias("rn"), F.size("_m").cast("bigint").alias("_len"), sums.alias("_sums"))
-    tail = F.when(F.col("n") % block == 0, block).otherwise(F.col("n") % block)
-    groups = _sizes(rows, keys).filter("n >= 2").withColumn("_blocks", F.ceil(F.col("n") / block)).withColumn(
-        "_steps", F.when(F.col("n") % block == 0, F.col("_blocks")).otherwise(F.ceil(F.col("n") / tail))
-    )
-    groups = _numbered(groups, keys, "_blocks")
-    values = _indexed(blocks, groups, keys, "_len", "_sums")
-    draws = _drawn(_draws(groups, reps, seed, "_steps", "_blocks", whole=True), values).join(F.broadcast(groups.select("gid", "n")), "gid")
-    w = Window.partitionBy("gid", "rep").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    draws = draws.withColumn("_before", F.coalesce(F.sum("_len").over(w), F.lit(0))).filter(F.col("_before") < F.col("n"))
-    taken = F.least(F.col("_len"), F.col("n") - F.col("_before")).cast("int")
-    means = draws.groupBy("gid", "rep").agg((F.sum(F.element_at("_sums", taken)) / F.max("n")).alias("mean"))
-    return means.join(groups.select(*keys, "gid"), "gid").drop("gid")
+from barline.session import written
 
 
 def order_statistics(means: DataFrame, keys: Sequence[str], low: int, high: int) -> DataFrame:
@@ -141,18 +36,6 @@ INTERVALS = {
 }
 
 
-def ruin_probability(rows: DataFrame, keys: Sequence[str], value: str, capital: float = 20.0, simulations: int = 5000, seed: int = 0, cost: float = 0.0) -> DataFrame:
-    """Share of resampled paths (n steps) whose capital reaches 0 at any step."""
-    keys = list(keys)
-    groups = _numbered(_sizes(rows, keys), keys, "n")
-    values = _indexed(rows, groups, keys, (F.col(value) - F.lit(cost)).alias("_v"))
-    w = Window.partitionBy("gid", "rep").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    d = _drawn(_draws(groups, simulations, seed, "n", "n", whole=True), values).withColumn("_capital", capital + F.sum("_v").over(w))
-    walks = d.groupBy("gid", "rep").agg((F.min("_capital") <= 0).alias("ruined"))
-    share = walks.groupBy("gid").agg(F.avg(F.col("ruined").cast("double")).alias("ruin_probability"))
-    return share.join(groups.select(*keys, "gid"), "gid").drop("gid")
-
-
 def hac_pvalue(rows: DataFrame, keys: Sequence[str], value: str, lags: int = 5, order: Sequence[str] = ("ts", "pair"), block: Column | None = None) -> DataFrame:
     """One-sided p-value of a positive mean under serial dependence (Bartlett weights).
 
@@ -200,13 +83,13 @@ def adjust(tests: DataFrame, p: str, tie: Sequence[str], keys: Sequence[str] = (
     ).drop("_m", "_rn")
 
 
-def distribution_audit(rows: DataFrame, keys: Sequence[str], value: str, drawdowns: DataFrame, capital: float = 20.0, reps: int = 2000, seed: int = 0, low: int = 24, cost: float = 0.0) -> DataFrame:
+def distribution_audit(rows: DataFrame, keys: Sequence[str], value: str, drawdowns: DataFrame, capital: float = 20.0, reps: int = 2000, seed: int = 0, low: int = 24, cost: float = 0.0, simulations: int = 5000) -> DataFrame:
     """Bounds of the mean by both bootstraps, probability of a positive mean, drawdown and ruin, per group."""
     keys = list(keys)
     high = reps - 1 - low
     plain = order_statistics(bootstrap_means(rows, keys, value, reps, seed), keys, low, high)
     block = order_statistics(block_bootstrap_means(rows, keys, value, 5, reps, seed + 1), keys, low, high)
-    ruin = ruin_probability(rows, keys, value, capital, min(5000, 2 * reps), seed + 2, cost)
+    ruin = ruin_probability(rows, keys, value, capital, simulations, seed + 2, cost)
     means = rows.groupBy(*keys).agg(F.avg(value).alias("mean"))
     b = block.select(*keys, F.col("lower").alias("block_lower"), F.col("upper").alias("block_upper"))
     return (

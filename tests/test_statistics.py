@@ -53,8 +53,8 @@ def test_multiple_testing(spark):
 
 
 def test_erfc_is_close(spark):
-    d = spark.range(-40, 41).select((F.col("id") / 10.0).alias("x")).withColumn("e", st.st.erfc(F.col("x")))
-    assert max(abs(r.e - math.erfc(r.x)) for r in d.collect()) < 2e-7
+    d = spark.range(-40, 41).select((F.col("id") / 10.0).alias("x")).withColumn("e", st.erfc(F.col("x")))
+    assert max(abs(r.e - math.erfc(r.x)) for r in d.collect()) < 1e-12
 
 
 def test_calibration_and_drift_literals(spark):
@@ -95,14 +95,6 @@ def test_resampling_is_reproducible_and_centred(spark):
     assert ruin == {"x": 1.0, "y": 0.0}
 
 
-def test_large_draws_are_joined_by_a_shuffle_with_the_same_result(spark, monkeypatch):
-    d = spark.createDataFrame([("x", i, float(i)) for i in range(50)], ["g", "rn", "v"])
-    a = sorted(r["mean"] for r in inf.bootstrap_means(d, ["g"], "v", 100, 1).collect())
-    monkeypatch.setattr(inf, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(inf, "CHUNK", 7)
-    assert a == pytest.approx(sorted(r["mean"] for r in inf.bootstrap_means(d, ["g"], "v", 100, 1).collect()))
-
-
 def test_logistic_fit_both_ways(spark, monkeypatch):
     rows = [("x", s, int(s > 0.25)) for s in (0.1, 0.2, 0.3, 0.4, 0.5) for _ in range(8)]
     d = spark.createDataFrame(rows, ["g", "s", "y"])
