@@ -14,8 +14,8 @@ from barline.operators import paths
 from barline.plans import candidates as cd
 from barline.session import written
 
-SCREEN = cd.Screen(samples=10, alpha=0.5, reps=1000, low=25)
-TWO_SCREEN = cd.Screen(samples=30, alpha=0.9, reps=1000, low=25, profit_factor=0.5)
+SCREEN = cd.Screen(samples=10, alpha=0.05, profit_factor=1.10, reps=1000, low=25)
+TWO_SCREEN = cd.Screen(samples=30, alpha=0.05, profit_factor=1.10, reps=1000, low=25)
 CONFIRM = cd.Confirmation(samples=20, reps=2000, low=50, simulations=5000, pair_samples=5, positive_pairs=2)
 CERTIFY = cd.Certification(folds=12, trades=5, series=2, positive_series=1, series_trades=2, reps=2000, low=50)
 
@@ -280,7 +280,7 @@ FROM (SELECT {k}, {TRADE} FROM {runs} GROUP BY {k}) JOIN ({drawdown_sql(runs, k)
 JOIN ({diversity(runs, k, CC.series_trades)}) USING ({k}) LEFT JOIN ({boot(runs, k, CC.reps, CC.seed, CC.low)}) USING ({k}) LEFT JOIN ({block_boot(runs, k, CC.reps, CC.seed + 1, CC.low)}) USING ({k})))"""
 
 
-fragment("x_cert_points", f"SELECT *, {ID7} AS cand FROM x_grid WHERE pairset = 'all' AND agreement_min = 0.5 AND distance_max IS NULL AND n >= 15")
+fragment("x_cert_points", f"SELECT *, {ID7} AS cand FROM x_grid WHERE pairset = 'all' AND n >= 15")
 fragment("x_cert_hits", f"SELECT * FROM (SELECT *, {ID7} AS cand FROM x_grid_hits WHERE global_split = 'confirmation' AND pairset = 'all') WHERE cand IN (SELECT cand FROM x_cert_points)")
 fragment("x_cert_bounds", bounds_sql("(SELECT * FROM x_rec WHERE global_split = 'confirmation')"))
 fragment("x_cert_runs", f"SELECT cand, fold, model, ts, pair, outcome_pips - cost AS v FROM ({kept_sql('x_cert_hits', 'x_cert_bounds')}), {_MODELS}")
@@ -289,7 +289,7 @@ fragment("x_cert_cells", cells_sql("x_cert_runs"))
 
 def points(t: Tables) -> DataFrame:
     r = t.records().filter(F.col("global_split") == "discovery").withColumn("pairset", F.lit("all"))
-    g = ev.grid_cells(r, cd.CELL).filter((F.col("agreement_min") == 0.5) & F.col("distance_max").isNull() & (F.col("n") >= 15))
+    g = ev.grid_cells(r, cd.CELL).filter(F.col("n") >= 15)
     return t._keep("points", lambda: g.withColumn("cand", cd.candidate_id()))
 
 
@@ -330,9 +330,13 @@ def stable_sql(hits: str, bounds: str) -> str:
 LEFT JOIN (SELECT base, cand, bool_and(g) AS r, count(*) AS runs FROM (SELECT base, cand, fold, {good} AS g FROM ({kept_sql(hits, bounds)}) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (base, cand) GROUP BY 1"""
 
 
-fragment("x_variant_hits", f"""
-SELECT r.*, v.cand AS base, v.cand || d AS cand FROM (SELECT *, outcome_pips AS v FROM x_rec WHERE global_split = 'confirmation') r, x_cert_points v, (VALUES (-0.10::DOUBLE), (-0.05::DOUBLE), (0.05::DOUBLE), (0.10::DOUBLE)) x(d)
-WHERE r.horizon = v.horizon AND r.regime = v.regime AND r.session = v.session AND r.direction = v.direction AND r.agreement >= least(0.99, greatest(0.01, v.agreement_min * (1 + d)))""")
+fragment("x_variants", """
+SELECT v.* REPLACE (least(0.99, greatest(0.01, agreement_min * (1 + d))) AS agreement_min), cand || '~a' || d AS variant FROM x_cert_points v, x_shifts UNION ALL
+SELECT v.* REPLACE (greatest(0.01, distance_max * (1 + d)) AS distance_max), cand || '~d' || d FROM x_cert_points v, x_shifts WHERE distance_max IS NOT NULL""")
+fragment("x_shifts", "SELECT unnest([-0.10, -0.05, 0.05, 0.10])::DOUBLE AS d")
+fragment("x_variant_hits", """
+SELECT r.*, v.cand AS base, v.variant AS cand FROM (SELECT *, outcome_pips AS v FROM x_rec WHERE global_split = 'confirmation') r JOIN x_variants v USING (horizon, regime, session, direction)
+WHERE r.agreement >= v.agreement_min AND (v.distance_max IS NULL OR r.median_distance <= v.distance_max)""")
 
 
 @query("q13_purged_certification", VERDICT, final_sql("x_cert_cells", stable_sql("x_variant_hits", "x_cert_bounds")))

@@ -14,6 +14,7 @@ A draw depends on (seed, repetition, step) only, so a lost task draws the same a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ STEP = 1103515245
 BLOCK = 1 << 16  # values in one row: 512 kB
 SEGMENT = 4096  # steps folded together where draws are joined
 TOGETHER = 1 << 16  # draws made in one numpy step, small enough for a processor's cache
-CHUNKS = 16  # tasks' worth of repetitions for each block
+WORK = 1 << 20  # draws of a block that one row of work holds
 
 
 def mixed(df: DataFrame, name: str) -> DataFrame:
@@ -67,6 +68,14 @@ def places(seed: int, rep: np.ndarray, step: np.ndarray, size: np.ndarray | int)
     return high
 
 
+@lru_cache(maxsize=64)
+def matrix(seed: int, first: int, last: int, begin: int, end: int, size: int) -> np.ndarray:
+    """``places`` of repetitions first to last, steps begin to end; groups of one size share it.  At most 64 times ``TOGETHER`` are held."""
+    found = places(seed, np.arange(first, last, dtype=np.int64)[:, None], np.arange(begin, end, dtype=np.int64)[None, :], size)
+    found.flags.writeable = False
+    return found
+
+
 def _steps(groups: DataFrame, keys: Sequence[str], reps: int, seed: int, steps: str, size: str) -> DataFrame:
     """(keys, rep, step, rn): the row drawn at every step of every repetition, made in segments on the executors."""
     mask, stride, mixer = (F.lit(x).cast("bigint") for x in (MASK, STEP, MIX))
@@ -94,29 +103,33 @@ def _blocks(rows: DataFrame, sizes: DataFrame, keys: Sequence[str], value: Colum
     return d.join(sizes, list(keys))
 
 
-def _in_tasks(blocks: DataFrame, keys: Sequence[str], reps: int, out: str, draw: Callable[[np.ndarray, int, int, np.ndarray], np.ndarray]) -> DataFrame:
-    """(keys, _block, rep, out): ``draw(values, n, block, reps)`` for every block, with its repetitions dealt over ``CHUNKS`` tasks."""
+def _in_tasks(blocks: DataFrame, keys: Sequence[str], reps: int, out: str, draw: Callable[[np.ndarray, int, int, int, int], np.ndarray]) -> DataFrame:
+    """(keys, _block, rep, out): ``draw(values, n, block, first, last)`` for every block, its repetitions dealt out in rows of ``WORK`` draws."""
     keys = list(keys)
-    size = -(-reps // CHUNKS)
-    d = blocks.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // size) - 1))))
-    d = spread(d, *keys, "_block", "_chunk").select(*keys, "n", "_block", "_chunk", "_values")
+    at_once = F.greatest(F.lit(1), F.least(F.lit(reps), F.floor(F.lit(WORK) / F.size("_values")))).cast("int")
+    d = blocks.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), at_once))).withColumn("_last", F.least(F.lit(reps), F.col("_first") + at_once))
+    d = spread(d, *keys, "_block", "_first").select(*keys, "n", "_block", "_first", "_last", "_values")
     kinds = [f"`{k}` {d.schema[k].dataType.simpleString()}" for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                n, block, chunk = (row.column(c)[0].as_py() for c in ("n", "_block", "_chunk"))
-                values = row.column("_values").flatten().to_numpy(zero_copy_only=False)
-                rep = np.arange(chunk * size, min(reps, (chunk + 1) * size), dtype=np.int64)
-                found = draw(values, n, block, rep)
-                again = pa.array(np.zeros(len(rep), dtype=np.int64))
-                held = [row.column(k).take(again) for k in keys]
-                yield pa.RecordBatch.from_arrays([*held, pa.array(np.full(len(rep), block)), pa.array(rep), pa.array(found)], names=[*keys, "_block", "rep", out])
+            work = zip(*(batch.column(c).to_pylist() for c in ("n", "_block", "_first", "_last")), strict=True)
+            for i, (n, block, first, last) in enumerate(work):
+                found = draw(batch.column("_values").slice(i, 1).flatten().to_numpy(zero_copy_only=False), n, block, first, last)
+                again = pa.array(np.full(last - first, i))
+                held = [batch.column(k).take(again) for k in keys]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(np.full(last - first, block)), pa.array(np.arange(first, last)), pa.array(found)], names=[*keys, "_block", "rep", out])
 
     return d.mapInArrow(run, ", ".join([*kinds, "_block long", "rep long", f"{out} double"]))
 
 
+def _together(first: int, last: int, steps: int) -> Iterator[tuple[int, int]]:
+    """Ranges of repetitions with about ``TOGETHER`` draws, one at least."""
+    size = max(1, TOGETHER // steps)
+    for a in range(first, last, size):
+        yield a, min(last, a + size)
+
+
 def _share(seed: int, reps: int, n: int, block: int, width: int) -> np.ndarray:
     """How many of the n draws of each repetition fall into a block of the group: down the tree of binomials to its leaf."""
     count, low, high, node = np.full(reps, n, dtype=np.int64), 0, -(-n // width), 1
@@ -148,9 +161,14 @@ def bootstrap_means(rows: DataFrame, keys: Sequence[str], value: str, reps: int
     keys = list(keys)
     values = _blocks(rows, _sizes(rows, keys, 2), keys, F.col(value), block)
 
-    def draw(v: np.ndarray, n: int, at: int, rep: np.ndarray) -> np.ndarray:
-        share = _share(seed, reps, n, at, block)[rep]
-        sums = np.zeros(len(rep))
+    def draw(v: np.ndarray, n: int, at: int, first: int, last: int) -> np.ndarray:
+        sums = np.zeros(last - first)
+        if n == len(v):
+            for a, b in _together(first, last, n):
+                sums[a - first : b - first] = v[matrix(seed, a, b, 0, n, n)].sum(axis=1)
+            return sums / n
+        share = _share(seed, reps, n, at, block)[first:last]
+        rep = np.arange(first, last, dtype=np.int64)
         for a, b in _ragged(share):
             counts = share[a:b]
             ends = np.cumsum(counts)
@@ -179,24 +197,22 @@ def block_bootstrap_means(rows: DataFrame, keys: Sequence[str], value: str, leng
     keys = list(keys)
     sizes = _sizes(rows, keys, 2)
 
-    def draw(v: np.ndarray, n: int, _: int, rep: np.ndarray) -> np.ndarray:
+    def draw(v: np.ndarray, n: int, _: int, first: int, last: int) -> np.ndarray:
         pieces = -(-n // length)
         padded = np.zeros(pieces * length)
         padded[:n] = v
         sums = np.hstack([np.zeros((pieces, 1)), np.cumsum(padded.reshape(pieces, length), axis=1)])
         lengths = np.full(pieces, length)
         lengths[-1] = n - (pieces - 1) * length
-        out = np.zeros(len(rep))
-        at_once = max(1, TOGETHER // pieces)
-        for a in range(0, len(rep), at_once):
-            r = rep[a : a + at_once]
-            taken, first = np.zeros(len(r), dtype=np.int64), 0
+        out = np.zeros(last - first)
+        for a, b in _together(first, last, pieces):
+            taken, begin = np.zeros(b - a, dtype=np.int64), 0
             while taken.min() < n:  # another round of draws only where short blocks have left a gap
-                drawn = places(seed, r[:, None], np.arange(first, first + pieces, dtype=np.int64)[None, :], pieces)
+                drawn = matrix(seed, a, b, begin, begin + pieces, pieces)
                 size = lengths[drawn]
                 before = taken[:, None] + np.cumsum(size, axis=1) - size
-                out[a : a + len(r)] += sums[drawn, np.clip(n - before, 0, size)].sum(axis=1)
-                taken, first = taken + size.sum(axis=1), first + pieces
+                out[a - first : b - first] += sums[drawn, np.clip(n - before, 0, size)].sum(axis=1)
+                taken, begin = taken + size.sum(axis=1), begin + pieces
         return out / n
 
     short = _in_tasks(_blocks(rows, sizes.filter(F.col("n") <= block), keys, F.col(value), block), keys, reps, "mean", draw).drop("_block")
@@ -233,13 +249,10 @@ def ruin_probability(rows: DataFrame, keys: Sequence[str], value: str, capital:
     sizes = _sizes(rows, keys, 1)
     paid = F.col(value) - F.lit(cost)
 
-    def draw(v: np.ndarray, n: int, _: int, rep: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(rep))
-        at_once = max(1, TOGETHER // n)
-        step = np.arange(n, dtype=np.int64)[None, :]
-        for a in range(0, len(rep), at_once):
-            r = rep[a : a + at_once]
-            out[a : a + len(r)] = capital + np.cumsum(v[places(seed, r[:, None], step, n)], axis=1).min(axis=1)
+    def draw(v: np.ndarray, n: int, _: int, first: int, last: int) -> np.ndarray:
+        out = np.zeros(last - first)
+        for a, b in _together(first, last, n):
+            out[a - first : b - first] = capital + np.cumsum(v[matrix(seed, a, b, 0, n, n)], axis=1).min(axis=1)
         return out
 
     short = _in_tasks(_blocks(rows, sizes.filter(F.col("n") <= block), keys, paid, block), keys, simulations, "low", draw).drop("_block")

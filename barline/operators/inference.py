@@ -26,6 +26,20 @@ def order_statistics(means: DataFrame, keys: Sequence[str], low: int, high: int)
     )
 
 
+def order_statistics_at_costs(means: DataFrame, keys: Sequence[str], low: int, high: int, costs: dict[str, float], out: str = "model") -> DataFrame:
+    """``order_statistics`` after each of several costs a value: they move every mean alike, so one resample serves all."""
+    w = Window.partitionBy(*keys).orderBy("mean", "rep")
+    d = means.withColumn("_rn", F.row_number().over(w) - 1).groupBy(*keys).agg(
+        F.max(F.when(F.col("_rn") == low, F.col("mean"))).alias("_lower"), F.max(F.when(F.col("_rn") == high, F.col("mean"))).alias("_upper"),
+        F.array(*[
+            F.struct(F.lit(m).alias(out), F.lit(float(c)).alias("_cost"), F.avg((F.col("mean") > c).cast("double")).alias("probability_positive"))
+            for m, c in costs.items()
+        ]).alias("_at"),
+    )
+    d = d.select(*keys, "_lower", "_upper", F.inline("_at"))
+    return d.select(*keys, out, (F.col("_lower") - F.col("_cost")).alias("lower"), (F.col("_upper") - F.col("_cost")).alias("upper"), "probability_positive")
+
+
 # Places of the lower and upper bound among the sorted means, with the number of means.
 INTERVALS = {
     "enriched": (1000, 25, 974),

@@ -286,10 +286,10 @@ def certification_cells(hits: DataFrame, timeline: DataFrame, interval_s: int, r
     stats = ev.with_path(runs.groupBy(*RUN).agg(*trade_statistics("outcome_pips")), runs, RUN, "outcome_pips")
     tests = inf.adjust(inf.hac_pvalue(runs, RUN, "outcome_pips").select(*RUN, "p_value"), "p_value", ["fold", "model"], ["cand"])
     pairs = ev.pair_diversity(runs, RUN, rules.series_trades)
-    sample = written(paths.ranked(runs, RUN), "sample")
+    sample = written(paths.ranked(kept.select(*RUN[:2], "ts", "pair", "outcome_pips"), RUN[:2]), "sample")
     low, high = rules.low, rules.reps - 1 - rules.low
-    plain = inf.order_statistics(inf.bootstrap_means(sample, RUN, "outcome_pips", rules.reps, rules.seed), RUN, low, high)
-    block = inf.order_statistics(inf.block_bootstrap_means(sample, RUN, "outcome_pips", 5, rules.reps, rules.seed + 1), RUN, low, high)
+    plain = inf.order_statistics_at_costs(inf.bootstrap_means(sample, RUN[:2], "outcome_pips", rules.reps, rules.seed), RUN[:2], low, high, models)
+    block = inf.order_statistics_at_costs(inf.block_bootstrap_means(sample, RUN[:2], "outcome_pips", 5, rules.reps, rules.seed + 1), RUN[:2], low, high, models)
     d = (
         stats.join(tests.select(*RUN, "p_value", "p_holm"), RUN, "left").join(pairs, RUN).join(plain.drop("upper"), RUN, "left")
         .join(block.select(*RUN, F.col("lower").alias("block_lower")), RUN, "left")
