@@ -11,7 +11,7 @@ A sequence never leaves its task: a task that runs again after a lost executor g
 again. Their ids hold the number of the partition above bit 33.
 
 Ids are the library's: a text is cut at spaces, tabs and line ends, which no pre-token and no special string crosses, and each
-distinct word is encoded once a task. A null or empty text is the end id alone; repeated rows are packed as often as they
+distinct word is remembered by the task. A null or empty text is the end id alone; repeated rows are packed as often as they
 occur; an empty table gives an empty result; a text of any length is taken whole.
 """
 
@@ -33,47 +33,79 @@ from barline.llm.common import blocks, texts
 WINDOW = 4096
 END = 2
 POOL = 1 << 22  # tokens packed at a time: 16 MB of ids
-KEPT = 32 << 20  # bytes of words and ids that either generation of remembered words may take
-BREAK = re.compile(r"[ \t\r\n]+")
+KEPT = 96 << 20  # bytes of words and ids that either generation of remembered words may take
+# How the vocabulary's pre-tokenizer cuts lower-case text, for printable ASCII; the longest special string's beginning.
+CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+SPECIAL = "<|"
+APART = "<|startoftext|>"
 
 
 class Words:
-    """Ids of texts as little-endian unsigned 32-bit integers, by their distinct words."""
+    """Ids of texts as little-endian unsigned 32-bit integers, by their distinct words.
+
+    Words of printable ASCII are made of pre-tokens that are remembered in turn; other words go to the library as they are.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.apart = self.library.token_to_id(APART)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
 
     def learn(self, words: set[str]) -> None:
         """Encode words not met yet; what has not been used since the last but one generation is forgotten."""
-        if self.held > KEPT:
-            self.older, self.known, self.held = self.known, {}, 0
-        new = []
-        for w in words - self.known.keys():
+        known = self.known
+        plain, other = {}, []
+        for w in words:
             ids = self.older.get(w)
-            if ids is None:
-                new.append(w)
-            else:
+            if ids is not None:
                 self._hold(w, ids)
-        for start in range(0, len(new), 1000):
-            part = new[start : start + 1000]
-            for w, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self._hold(w, np.array(found.ids, dtype="<u4").tobytes())
+            elif w.isascii() and w.isprintable() and SPECIAL not in w:
+                plain[w] = CUT.findall(w.lower())
+            else:
+                other.append(w)
+        parts = {p for cut in plain.values() for p in cut if p not in known}
+        for p in parts & self.older.keys():
+            self._hold(p, self.older[p])
+        self._encode([*other, *(p for p in parts if p not in known)])
+        for w, cut in plain.items():
+            if w not in known:
+                self._hold(w, b"".join([known[p] for p in cut]))
+
+    def _encode(self, words: list[str]) -> None:
+        """By the library: many at once, kept apart by a special string, which no word holds; the others one by one."""
+        whole = [w for w in words if SPECIAL not in w]
+        for start in range(0, len(whole), 500):
+            part = whole[start : start + 500]
+            ids = np.array(self.library.encode(APART.join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = [*np.flatnonzero(ids == self.apart).tolist(), len(ids)] if self.apart is not None else []
+            if len(ends) != len(part):
+                raise ValueError(f"the vocabulary does not keep words apart by {APART}")
+            begin = 0
+            for w, end in zip(part, ends, strict=True):
+                self._hold(w, ids[begin:end].tobytes())
+                begin = end + 1
+        for w in words:
+            if SPECIAL in w:
+                self._hold(w, np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes())
 
     def _hold(self, word: str, ids: bytes) -> None:
         self.known[word] = ids
         self.held += 2 * len(word) + len(ids) + 150
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [BREAK.split(t) for t in texts]
-        self.learn(set().union(*cut))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        if self.held > KEPT:
+            self.older, self.known, self.held = self.known, {}, 0
+        get = self.known.get
+        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        found = [list(map(get, words)) for words in cut]
+        self.learn({w for words, ids in zip(cut, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None})
+        known = self.known
+        return [b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(cut, found, strict=True)]
 
 
 @lru_cache(maxsize=2)

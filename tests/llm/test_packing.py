@@ -95,6 +95,16 @@ def test_best_fit_decreasing():
         assert got == Counter((i, k) for i, n in enumerate(lengths) for k in range(n))
 
 
+def test_words_equal_the_library_in_any_mixture():
+    rng = random.Random(12)
+    letters = ["a", "B", "s", "'", "'s", "'ll", "'RE", "1", "23", "!", "#", "_", "<|", "<|endoftext|>", "<|startoftext|>", "|>", "é", "e\u0301", "\u0301", "İ", "Σ", "ς", "ﬁ", "½", "²", "٣", "日本", "\x0b", "\x1c", "\x85", "\xa0", "\u2028", "\u200b", "\x00", "\x7f", " ", "\n", "\t", "\r", "😀"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    words = packing.Words(PATH)
+    for start in range(0, len(texts), 500):
+        part = texts[start : start + 500]
+        assert words.encode(part) == [np.array(ids_of(t)[:-1], dtype="<u4").tobytes() for t in part]
+
+
 def test_words_are_forgotten_and_learnt_again():
     words = packing.Words(PATH)
     first = words.encode(["one two", "three"])
