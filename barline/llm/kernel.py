@@ -2,8 +2,9 @@
 
 Two strings are compared by all their subsequences of three characters, each weighed by ``DECAY`` to the power of the length it
 spans, so that gaps and inserted characters weaken a match and don't undo it. Strings of one length are rows of an array; a
-subsequence is a number, and its weight in any fixed combination of strings a table entry. The kernel is normalised to 1 for
-equal strings; strings of one or two characters are 0.
+subsequence is a number, and its weight in any fixed combination of strings a table entry. Strings are compared between two
+boundary marks, so that one of a single character has a subsequence too. The kernel is normalised to 1 for equal strings; an
+empty string is 0.
 """
 
 from __future__ import annotations
@@ -13,55 +14,55 @@ from itertools import combinations
 import numpy as np
 
 DECAY = 0.6
-LETTERS = 96  # numbers of characters; all beyond the known ones share 0
+BEGIN, END = "\x02", "\x03"
 
 
 class Kernel:
-    """Kernel against fixed strings; ``letters`` numbers the characters that occur in them, from 1."""
-
-    def __init__(self, fixed: list[str], letters: str | None = None):
-        if letters is None:
-            seen: dict[str, int] = {}
-            for c in "".join(fixed):
-                seen[c] = seen.get(c, 0) + 1
-            letters = "".join(sorted(seen, key=lambda c: (-seen[c], c))[: LETTERS - 1])
-        self.letters = letters
+    """Kernel against fixed strings. Their characters are numbered from 1, whatever their script; all others share 0 and match nothing."""
+
+    def __init__(self, fixed: list[str]):
+        letters = sorted(set("".join(fixed)) | {BEGIN, END})
+        self.base = len(letters) + 1
         self.code = np.zeros(0x110000, dtype=np.int32)
-        for i, c in enumerate(letters):
-            self.code[ord(c)] = i + 1
-        self.table = np.full(LETTERS**3, -1, dtype=np.int32)
+        self.code[[ord(c) for c in letters]] = np.arange(1, self.base)
         self.size = len(fixed)
-        weights: list[np.ndarray] = []
+        # the first two characters of a subsequence lead to a row of places for the third; place 0 is no weight
+        self.pair = np.zeros(self.base * self.base, dtype=np.int32)
+        third = [np.zeros(self.base, dtype=np.int32)]
+        weights = [np.zeros(len(fixed))]
         for i, s in enumerate(fixed):
             own = self._subsequences([s])
             if own is None:
                 continue
-            ids, w = own
+            first, last, w = own
             norm = self.norms([s])[0]
-            for k, x in zip(ids[0].tolist(), w.tolist(), strict=True):
-                if self.table[k] < 0:
-                    self.table[k] = len(weights)
+            for p, k, x in zip(first[0].tolist(), last[0].tolist(), w.tolist(), strict=True):
+                if not self.pair[p]:
+                    self.pair[p] = len(third)
+                    third.append(np.zeros(self.base, dtype=np.int32))
+                row = third[self.pair[p]]
+                if not row[k]:
+                    row[k] = len(weights)
                     weights.append(np.zeros(len(fixed)))
-                weights[self.table[k]][i] += x / norm
-        self.weights = np.array(weights) if weights else np.zeros((1, len(fixed)))
-        # characters outside the alphabet match nothing
-        zero = np.arange(LETTERS)
-        grid = np.ix_(zero, zero, zero)
-        known = np.zeros((LETTERS,) * 3, dtype=bool)
-        known[grid] = (zero[:, None, None] > 0) & (zero[None, :, None] > 0) & (zero[None, None, :] > 0)
-        self.table[~known.reshape(-1)] = -1
+                weights[row[k]][i] += x / norm
+        self.third, self.weights = np.concatenate(third), np.array(weights)
+        self.held: dict[str, float] | None = None  # norms of strings that come again, where there are few enough to keep
 
     def _codes(self, strings: list[str]) -> np.ndarray:
-        return np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(strings), -1)
+        text = "".join(f"{BEGIN}{s}{END}" for s in strings)
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(strings), -1)
 
-    def _subsequences(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Numbers of the subsequences of strings of one length, and the weights of their places."""
-        n = len(strings[0])
+    def _subsequences(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """First two and third characters of the subsequences of strings of one length, and the weights of their places."""
+        n = len(strings[0]) + 2
         if n < 3:
             return None
         code = self.code[self._codes(strings)]
         i, j, k = np.array(list(combinations(range(n), 3))).T
-        return (code[:, i] * LETTERS + code[:, j]) * LETTERS + code[:, k], DECAY ** (k - i + 1.0)
+        return code[:, i] * self.base + code[:, j], code[:, k], DECAY ** (k - i + 1.0)
+
+    def _places(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return self.third[self.pair[first] * self.base + last]
 
     def norms(self, strings: list[str]) -> np.ndarray:
         """Square root of the kernel of each string of one length with itself, by dynamic programming over all characters."""
@@ -86,6 +87,14 @@ class Kernel:
                 total += weight * (letter[a] == letter[b]) * before[a, b]
         return np.sqrt(np.maximum(total, 1e-300))
 
+    def _kept_norms(self, strings: list[str]) -> np.ndarray:
+        if self.held is None:
+            return self.norms(strings)
+        new = [s for s in strings if s not in self.held]
+        if new:
+            self.held.update(zip(new, self.norms(new).tolist(), strict=True))
+        return np.array([self.held[s] for s in strings])
+
     def features(self, strings: list[str]) -> np.ndarray:
         """The normalised kernel of each string with each fixed one."""
         return self._summed(strings, self.weights, self.size)
@@ -98,20 +107,20 @@ class Kernel:
         out = np.zeros((len(strings), width))
         by_size: dict[int, list[int]] = {}
         for i, s in enumerate(strings):
-            if len(s) >= 3:
+            if s:
                 by_size.setdefault(len(s), []).append(i)
         for members in by_size.values():
             rows = 1024 if width == 1 else 64  # a row of features for each subsequence is held
             for start in range(0, len(members), rows):
                 at = members[start : start + rows]
                 part = [strings[i] for i in at]
-                ids, w = self._subsequences(part)
-                found = self.table[ids]
-                norms = self.norms(part)
+                first, last, w = self._subsequences(part)
+                found = self._places(first, last)
+                norms = self._kept_norms(part)
                 if width == 1:
-                    out[at, 0] = (np.where(found >= 0, weights[found, 0], 0.0) @ w) / norms
+                    out[at, 0] = (weights[found, 0] @ w) / norms
                 else:
-                    row, column = np.nonzero(found >= 0)
+                    row, column = np.nonzero(found)
                     hit = weights[found[row, column]] * w[column, None]
                     edges = np.searchsorted(row, np.arange(len(part) + 1))
                     sums = np.concatenate([np.zeros((1, width)), np.cumsum(hit, axis=0)])

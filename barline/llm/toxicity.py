@@ -1,11 +1,13 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nyström landmarks.
 
 A sentence is compared by its units: words in lower case without ASCII punctuation, single characters in a row joined to one
-unit, long words in overlapping windows. The kernel of units (``kernel.Kernel``) tolerates gaps and inserted characters. It is
-approximated on landmark units: some that training texts marked toxic hold more than others, and some that are frequent in the
-others. Training is on labelled sentences: of a toxic text those with the worst unit by margin and with the most telling one by
-counts are positive ones, of another text the sentences with the worst units are negatives; the machine is fitted on these
-units' Nyström features and the choice is repeated with its margins. A text's margin is that of its worst unit, turned into a probability by a logistic curve.
+unit, long words in overlapping windows. The kernel of units (``kernel.Kernel``) tolerates gaps and inserted characters, in any
+script and at any length. It is approximated on landmark units: some that training texts marked toxic hold more than others,
+and the commonest of the others. Training is on labelled sentences, which count by their worst unit: the sentence of a toxic text
+with the worst unit by margin, and those with units that tell of toxic texts, are positive; of another text the sentences with the
+worst units are negative. The machine is fitted on these units' Nyström features, and the choice is repeated with its margins. A
+text's margin is that of its worst unit, turned into a probability by a logistic curve; the curve and the machine's penalty
+are chosen on every fourth training text, from which no unit was taken.
 
 Fitting takes at most ``SAMPLE`` labelled texts of either label and of at most ``LONGEST`` bytes, those with the smallest hash
 of their id. Scoring reads every whole text. A null, empty or blank text gets the score of a text without units; repeated rows
@@ -17,8 +19,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,8 @@ from barline.llm.common import blocks, texts
 from barline.llm.kernel import Kernel
 
 SAMPLE, LONGEST = 2500, 20_000
-LANDMARKS, CANDIDATES, ROUNDS = 128, 400, 4
+LANDMARKS, CANDIDATES, ROUNDS = 128, 400, 6
+SUPPORT, SPREAD, TELLING, PENALTIES = 3, 0.8, 0.25, (1.0, 0.1, 10.0)
 WINDOW, STEP = 16, 8
 KEPT = 400_000  # units a worker remembers
 FOLDS, HELD_OUT = 5, 0
@@ -52,22 +56,30 @@ def units(text: str) -> set[str]:
     for w in [w for w in out if len(w) > WINDOW]:
         out.remove(w)
         out.update(w[i : i + WINDOW] for i in range(0, len(w) - WINDOW + STEP, STEP))
-    return {w for w in out if len(w) >= 3}
+    return out
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss, by Newton steps on the rows inside the margin."""
+    """Linear support vector machine with squared hinge loss, by Newton steps on the rows inside the margin, halved until the loss falls."""
     z = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
     ridge = np.full(z.shape[1], penalty)
     ridge[-1] = 1e-3
-    for _ in range(50):
+
+    def loss(w: np.ndarray) -> float:
+        return float((weight * np.maximum(0.0, 1 - y * (z @ w)) ** 2).sum() + (ridge * w * w).sum())
+
+    now = loss(w)
+    for _ in range(100):
         inside = y * (z @ w) < 1
         a = z[inside] * weight[inside, None]
-        new = np.linalg.solve(a.T @ z[inside] + np.diag(ridge), a.T @ y[inside])
-        if np.allclose(new, w, atol=1e-9):
+        step = np.linalg.solve(a.T @ z[inside] + np.diag(ridge), a.T @ y[inside]) - w
+        size = 1.0
+        while (then := loss(w + size * step)) > now and size > 1e-6:
+            size /= 2
+        if now - then <= 1e-10 * max(1.0, now):
             break
-        w = new
+        w, now = w + size * step, then
     return w[:-1], float(w[-1])
 
 
@@ -126,67 +138,99 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(self.slope * m + self.intercept, -30, 30)))).tolist()
 
 
-def _landmarks(docs: list[set[str]], toxic: np.ndarray, count: int) -> tuple[list[str], list[str], dict[str, float]]:
-    """Units telling of toxic texts, spread out by kernel, the commonest of other texts, and how telling each unit is."""
-    a: Counter[str] = Counter(u for d, t in zip(docs, toxic, strict=True) if t for u in d)
-    b: Counter[str] = Counter(u for d, t in zip(docs, toxic, strict=True) if not t for u in d)
-    na, nb = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+def _landmarks(toxic: list[frozenset[str]], other: list[frozenset[str]], count: int) -> tuple[list[str], dict[str, float]]:
+    """Units telling of toxic texts, spread out by kernel, then the commonest of other texts; and how telling each unit is."""
+    a, b = Counter(u for d in toxic for u in d), Counter(u for d in other for u in d)
+    na, nb = max(1, len(toxic)), max(1, len(other))
 
     def telling(u: str) -> float:
         p, q = (a[u] + 0.5) / (na + 1), (b[u] + 0.5) / (nb + 1)
         return p * np.log(p / q) + (1 - p) * np.log((1 - p) / (1 - q)) if p > q else 0.0
 
-    ranked = sorted((u for u in a if a[u] >= 2), key=lambda u: (-telling(u), u))[:CANDIDATES]
+    least = max(SUPPORT, na // 200)  # a unit of a text or two tells of these texts only
+    worth = {u: telling(u) for u, n in a.items() if n >= least}
+    ranked = sorted((u for u in worth if worth[u] > 0), key=lambda u: (-worth[u], u))[:CANDIDATES]
     similar = Kernel(ranked).features(ranked) if ranked else np.zeros((0, 0))
     chosen: list[int] = []
     for i in range(len(ranked)):
-        if len(chosen) < count // 2 and all(similar[i, j] < 0.9 for j in chosen):
+        if len(chosen) < count // 2 and all(similar[i, j] < SPREAD for j in chosen):
             chosen.append(i)
     picked = [ranked[i] for i in chosen]
     common = [u for u, _ in sorted(b.items(), key=lambda x: (-x[1], x[0])) if u not in set(picked)]
-    return picked, common[: count - len(picked)], {u: telling(u) for u in a if a[u] >= 2}
+    return picked + common[: count - len(picked)], worth
+
+
+def _machine(toxic: list[list[frozenset[str]]], other: list[list[frozenset[str]]], landmarks: int, penalties: Sequence[float]) -> list[Model]:
+    """A machine for each penalty, all on the units that the first one's margins choose: of a toxic text the worst unit of its
+    worst sentence and those nearly as telling as the most telling one; of other texts the worst unit in turn, and all that were
+    the worst before stay, until no new one comes inside the margin."""
+    whole = [[frozenset().union(*s) for s in part] for part in (toxic, other)]
+    marks, worth = _landmarks(*whole, landmarks)
+    if not marks:
+        return []
+    kernel = Kernel(marks)
+    kernel.held = {}
+    values, vectors = np.linalg.eigh(kernel.features(marks))
+    keep = values > 1e-6 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])  # Nyström features are kernel @ root
+    every = sorted(set().union(*whole[0], *whole[1]))
+    place = {u: i for i, u in enumerate(every)}
+    rows = [[np.array([place[u] for u in d], dtype=np.int64) for d in part] for part in whole]
+    tell = np.array([worth.get(u, 0.0) for u in every])
+    most = [i for r in rows[0] if len(r) and tell[r].max() > 0 for i in r[tell[r] >= TELLING * tell[r].max()].tolist()]
+    known: dict[int, np.ndarray] = {}
+
+    def fitted(penalty: float) -> Model:
+        chosen = [*positives, *negatives]
+        new = [i for i in chosen if i not in known]
+        known.update(zip(new, kernel.features([every[i] for i in new]) @ root, strict=True))
+        y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
+        weight = np.array([*positives.values(), *negatives.values()], dtype=float)
+        weight[y > 0] *= weight[y < 0].sum() / max(1.0, weight[y > 0].sum())
+        w, bias = _squared_hinge(np.array([known[i] for i in chosen]), y, weight, penalty)
+        return Model(marks, root @ w, bias)
+
+    positives, negatives = Counter(most), Counter(place[u] for u in marks if not worth.get(u))
+    seen = [r[tell[r] > 0] for r in rows[0] if len(r) and tell[r].max() > 0]
+    for _ in range(ROUNDS):
+        model = fitted(penalties[0])
+        margin = kernel.combined(every, model.coefficients) + model.bias
+        worst = Counter(int(r[np.argmax(margin[r])]) for r in rows[1] if len(r))
+        new = {i: n for i, n in worst.items() if margin[i] > -1 and n > negatives[i]}
+        if not new:
+            break
+        negatives.update({i: n - negatives[i] for i, n in new.items()})
+        positives = Counter(most)
+        positives.update(int(r[np.argmax(margin[r])]) for r in seen)
+    return [fitted(p) for p in penalties]
 
 
 def fit(labelled: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
-    """A model from (text, label) rows."""
+    """A model from (text, label) rows: penalty and curve come from every fourth text, which the machine has not seen."""
     toxic = np.array([y == 1 for _, y in labelled], dtype=bool)
     if not toxic.any() or toxic.all():
         return Model(constant=float(toxic.mean()) if len(toxic) else 0.0)
     one: dict[str, str] = {}  # equal units share one string
     held = lambda s: frozenset(one.setdefault(u, u) for u in s)
-    sentences = [[held(s) for s in map(units, SENTENCE.split(t)) if s] or [frozenset()] for t, _ in labelled]
-    picked, common, telling = _landmarks([set().union(*s) for s in sentences], toxic, landmarks)
-    marks = picked + common
-    if not marks:
+    sentences = [[held(s) for s in map(units, SENTENCE.split(t)) if s] for t, _ in labelled]
+    inner = np.array([crc32(t.encode()) % 4 == 0 for t, _ in labelled])
+    if min(toxic[inner].sum(), (~toxic[inner]).sum(), toxic[~inner].sum(), (~toxic[~inner]).sum()) == 0:
+        inner[:] = False
+    of = lambda choice: [s for s, c in zip(sentences, choice, strict=True) if c]
+    models = _machine(of(toxic & ~inner), of(~toxic & ~inner), landmarks, PENALTIES)
+    if not models:
         return Model(constant=float(toxic.mean()))
-    kernel = Kernel(marks)
-    values, vectors = np.linalg.eigh(kernel.features(marks))
-    keep = values > 1e-6 * values.max()
-    root = vectors[:, keep] / np.sqrt(values[keep])  # Nyström features are kernel @ root
-    # the first choice of sentences: like the telling landmarks, unlike the common ones
-    model = Model(marks, np.concatenate([np.full(len(picked), 1 / max(1, len(picked))), np.full(len(common), -1 / max(1, len(common)))]))
-    most = {id(s): max((u for x in s for u in x if telling.get(u, 0.0) > 0), key=lambda u: (telling[u], u), default=None) for s, t in zip(sentences, toxic, strict=True) if t}
-    negatives: set[str] = set()
-    for _ in range(ROUNDS):
-        model.margins([set().union(*s) for s in sentences])
-        worst = lambda s: max(s, key=lambda u: (model.known[u], u))  # noqa: B023, E731
-        positives = Counter()
-        for s, t in zip(sentences, toxic, strict=True):
-            found = sorted((model.known[u], u) for u in map(worst, filter(None, s)))
-            if found and t:
-                positives[found[-1][1]] += 1
-                if most[id(s)]:
-                    positives[most[id(s)]] += 1
-            negatives |= {u for _, u in found[-3:] if not t}
-        chosen = [*positives, *sorted(negatives)]
-        y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
-        weight = np.array([min(5.0, n) for n in positives.values()] + [1.0] * len(negatives))
-        weight[y > 0] *= max(1.0, weight[y < 0].sum() / max(1.0, weight[y > 0].sum()))
-        w, bias = _squared_hinge(kernel.features(chosen) @ root, y, weight)
-        model = Model(marks, root @ w, bias)
-    margins = np.array(model.margins([set().union(*s) for s in sentences]))
-    model.slope, model.intercept = _logistic(margins, toxic.astype(float))
-    return model
+    judged = inner if inner.any() else ~inner
+    y, best = toxic[judged].astype(float), None
+    for model in models:
+        margins = np.array(model.margins([frozenset().union(*s) for s in of(judged)]))
+        model.slope, model.intercept = _logistic(margins, y)
+        p = np.clip(1 / (1 + np.exp(-np.clip(model.slope * margins + model.intercept, -30, 30))), 1e-9, 1 - 1e-9)
+        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+        model.known.clear()
+        if best is None or loss < best[0]:
+            best = loss, model
+    return best[1]
 
 
 def fold(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
