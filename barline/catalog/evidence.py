@@ -11,6 +11,7 @@ from barline.catalog.registry import Tables, fragment, query
 from barline.functions import labels, prices, statistics as st
 from barline.operators import evidence as ev
 from barline.operators import features, neighbours, paths
+from barline.plans.atlas import context_atlas, ranked_contexts
 from barline.sources import store
 
 DAY = 86400
@@ -409,28 +410,26 @@ def a7(t: Tables) -> DataFrame:
     return d.withColumn("value", F.coalesce("session", "regime", F.col("year").cast("string")))
 
 
+ATLAS_REPS, ATLAS_LOW, ATLAS_HIGH, ATLAS_SEED, ATLAS_STRONG, ATLAS_MINIMUM = 500, 12, 486, 20260825, 5, 3
 ATLAS = "pair, horizon, regime, session, weekday, agreement_band, distance_band, direction, split"
 fragment("x_cells", f"""
-SELECT c.*, d.max_drawdown, CASE WHEN n < 3 THEN 'UNKNOWN' WHEN expectancy <= 0 OR profit_factor IS NULL OR profit_factor <= 1 THEN 'NO_TRADE'
-  WHEN n >= 5 AND stability >= 0.67 THEN 'STRONG_CONTEXT' ELSE 'WATCH_CONTEXT' END AS status
-FROM (SELECT {ATLAS}, sum(n) AS n, sum(s) / sum(n) AS expectancy, sum(g) / nullif(sum(l), 0) AS profit_factor, sum(w) / sum(n) AS win_rate,
+SELECT c.*, d.max_drawdown FROM (SELECT {ATLAS}, sum(n) AS n, sum(s) / sum(n) AS expectancy, sum(g) / nullif(sum(l), 0) AS profit_factor, sum(w) / sum(n) AS win_rate,
    count(*) FILTER (s > 0) AS positive_years, count(*) AS observed_years, positive_years / observed_years AS stability
   FROM (SELECT {ATLAS}, year, count(*) AS n, sum(v) AS s, {GAIN} AS g, {LOSS} AS l, count(*) FILTER (v > 0) AS w FROM x_rich GROUP BY ALL) GROUP BY ALL) c
 JOIN ({drawdown_sql("x_rich", ATLAS)}) d USING ({ATLAS})""")
 
 
 def atlas_cells(t: Tables) -> DataFrame:
-    rich = ev.enriched(t.records())
-    cells = ev.yearly_cells(rich, ev.ATLAS_CELL).join(paths.drawdown(rich, ev.ATLAS_CELL, "outcome_pips"), list(ev.ATLAS_CELL))
-    return cells.withColumn("status", ev.atlas_status(F.lit(None).cast("double"), minimum=3, strong=5))
+    """Cells with their gated status; the SQL takes the bounds of large confirmation cells from the same draws (x_atlas)."""
+    return t._keep("atlas", lambda: context_atlas(t.records(), ATLAS_REPS, ATLAS_LOW, ATLAS_HIGH, ATLAS_SEED, strong=ATLAS_STRONG, minimum=ATLAS_MINIMUM))
 
 
 @query(
-    "a8_context_atlas", "pair horizon:i regime session weekday agreement_band distance_band direction split n:i expectancy:d profit_factor:d win_rate:d positive_years:i observed_years:i max_drawdown:d median:d status",
-    f"SELECT * FROM x_cells JOIN (SELECT {ATLAS}, median(v) AS median FROM x_rich GROUP BY ALL) USING ({ATLAS})",
+    "a8_context_atlas", "pair horizon:i regime session weekday agreement_band distance_band direction split n:i expectancy:d profit_factor:d win_rate:d positive_years:i observed_years:i max_drawdown:d median:d lower:d upper:d status",
+    f"SELECT * FROM x_atlas JOIN (SELECT {ATLAS}, median(v) AS median FROM x_rich GROUP BY ALL) USING ({ATLAS})",
 )
 def a8(t: Tables) -> DataFrame:
-    return ev.with_median(atlas_cells(t), ev.enriched(t.records()), ev.ATLAS_CELL, "outcome_pips")
+    return atlas_cells(t)
 
 
 @query(
@@ -822,11 +821,10 @@ def k4(t: Tables) -> DataFrame:
 
 @query(
     "k5_contexts_per_status", "status pair horizon:i regime session weekday agreement_band distance_band direction n:i expectancy:d rank:i",
-    f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY round(expectancy, 6) DESC, n DESC, {ATLAS}) AS rank FROM x_cells WHERE split = 'confirmation' AND status <> 'UNKNOWN') WHERE rank <= 250",
+    f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY CASE WHEN status = 'NO_TRADE' THEN 1 ELSE -1 END * round(expectancy, 6), CASE WHEN status = 'NO_TRADE' THEN 1 ELSE -1 END * n, {ATLAS}) AS rank FROM x_atlas WHERE split = 'confirmation' AND status <> 'UNKNOWN') WHERE rank <= 250",
 )
 def k5(t: Tables) -> DataFrame:
-    c = atlas_cells(t).filter((F.col("split") == "confirmation") & (F.col("status") != "UNKNOWN"))
-    return ev.top_per(c, ["status"], [F.round("expectancy", 6).desc(), F.col("n").desc(), *[F.col(k) for k in ev.ATLAS_CELL]], 250)
+    return ranked_contexts(atlas_cells(t))
 
 
 @query(

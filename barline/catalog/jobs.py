@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.catalog.evidence import EVAL, PF, REC, TRADE, TWO, WIN, audit_cells, drawdown_sql, rolled_up, wilson_sql
+from barline.catalog.evidence import ATLAS, atlas_cells, ATLAS_HIGH, ATLAS_LOW, ATLAS_MINIMUM, ATLAS_REPS, ATLAS_SEED, ATLAS_STRONG, EVAL, PF, REC, TRADE, TWO, WIN, audit_cells, drawdown_sql, rolled_up, wilson_sql
 from barline.catalog.fragments import S
 from barline.catalog.inference import draws_sql, hac_sql
 from barline.catalog.registry import Tables, fragment, query
@@ -27,10 +27,11 @@ def sampled(source: str, keys: str) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ts, pair) - 1 AS rn FROM {source})"
 
 
-def boot(source: str, keys: str, reps: int, seed: int, low: int) -> str:
+def boot(source: str, keys: str, reps: int, seed: int, low: int, high: int | None = None) -> str:
     sizes = f"(SELECT {keys}, count(*) AS n FROM {source} GROUP BY {keys} HAVING count(*) >= 2)"
     means = f"SELECT {keys}, rep, avg(v) AS mean FROM ({draws_sql(sizes, keys, reps, seed, 'n', 'n')}) JOIN {sampled(source, keys)} USING ({keys}, rn) GROUP BY {keys}, rep"
-    return f"""SELECT {keys}, max(mean) FILTER (r = {low}) AS lower, avg(CAST(mean > 0 AS INT)) AS probability_positive FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY mean, rep) - 1 AS r FROM ({means})) GROUP BY {keys}"""
+    upper = "" if high is None else f"max(mean) FILTER (r = {high}) AS upper, "
+    return f"""SELECT {keys}, max(mean) FILTER (r = {low}) AS lower, {upper}avg(CAST(mean > 0 AS INT)) AS probability_positive FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY mean, rep) - 1 AS r FROM ({means})) GROUP BY {keys}"""
 
 
 def block_boot(source: str, keys: str, reps: int, seed: int, low: int) -> str:
@@ -365,6 +366,11 @@ def q14(t: Tables) -> DataFrame:
 
 # ---- atlases
 
+fragment("x_atlas_rows", f"SELECT r.* FROM x_rich r JOIN (SELECT {ATLAS} FROM x_cells WHERE split = 'confirmation' AND n >= {ATLAS_STRONG}) USING ({ATLAS})")
+fragment("x_atlas", f"""
+SELECT *, CASE WHEN n < {ATLAS_MINIMUM} THEN 'UNKNOWN' WHEN expectancy <= 0 OR profit_factor IS NULL OR profit_factor <= 1 THEN 'NO_TRADE'
+  WHEN n >= {ATLAS_STRONG} AND (lower IS NULL OR lower > 0) AND stability >= 0.67 THEN 'STRONG_CONTEXT' ELSE 'WATCH_CONTEXT' END AS status
+FROM x_cells LEFT JOIN ({boot('x_atlas_rows', ATLAS, ATLAS_REPS, ATLAS_SEED, ATLAS_LOW, ATLAS_HIGH)}) USING ({ATLAS})""")
 
 @query(
     "q17_data_connected_relations", "horizon:i pair_a pair_b points:i zero_lag:d strongest_lag:i strongest:d",
@@ -420,10 +426,9 @@ def q16(t: Tables) -> DataFrame:
 
 @query(
     "q15_context_atlas", "status cells:i rows:i expectancy:d strongest:d",
-    "SELECT status, count(*) AS cells, sum(n) AS rows, sum(expectancy * n) / sum(n) AS expectancy, max(expectancy) AS strongest FROM x_cells WHERE split = 'confirmation' GROUP BY 1",
+    "SELECT status, count(*) AS cells, sum(n) AS rows, sum(expectancy * n) / sum(n) AS expectancy, max(expectancy) AS strongest FROM x_atlas WHERE split = 'confirmation' GROUP BY 1",
 )
 def q15(t: Tables) -> DataFrame:
-    from barline.catalog.evidence import atlas_cells
 
     c = atlas_cells(t).filter(F.col("split") == "confirmation")
     return c.groupBy("status").agg(

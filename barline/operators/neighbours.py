@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from barline.functions.labels import momentum_direction, pip_size, regime, session_label
 from barline.functions.prices import net_move
@@ -81,6 +85,64 @@ def targets(states: DataFrame, study: Study) -> DataFrame:
     )
 
 
+LEAST_BLOCK = 1024  # positions: smaller blocks are more groups than work
+SCANNED = 256  # states judged at once
+
+
+def block_size(study: Study, block: int | None = None) -> int:
+    return block or max(study.history, LEAST_BLOCK)
+
+
+def closest(target: np.ndarray, weight: np.ndarray, axis: int, axis_values: np.ndarray, values: np.ndarray, positions: np.ndarray, low: int, high: int, k: int, complete: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` nearest of the states at positions low to high - 1: their rows and distances, nearest first, ties by position.
+
+    States lie in the order of one feature, ``axis``.  The scan goes outwards from the target's value and ends on a side where
+    that feature alone is farther away than the k-th best so far; only the best ``k`` are kept between steps.
+    """
+    start = int(np.searchsorted(axis_values, target[axis]))
+    left, right, step = start, start, max(SCANNED, 2 * k)
+    rows, distances = np.zeros(0, dtype=np.int64), np.zeros(0)
+    worst = np.inf
+    while left > 0 or right < len(positions):
+        found = []
+        if right < len(positions):
+            found.append(np.arange(right, min(len(positions), right + step)))
+            right = min(len(positions), right + step)
+        if left > 0:
+            found.append(np.arange(max(0, left - step), left))
+            left = max(0, left - step)
+        at = np.concatenate(found)
+        at = at[(positions[at] >= low) & (positions[at] < high)]
+        total = np.zeros(len(at))
+        used = np.zeros(len(at))
+        for f in range(len(target)):
+            if complete:
+                gap = target[f] - values[f][at]
+                total += gap * gap * weight[f]
+            else:
+                gap = (target[f] - values[f][at]) / weight[f]
+                known = ~np.isnan(gap)
+                total += np.where(known, gap * gap, 0.0)
+                used += known
+        if not complete:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                total = np.where(used > 0, total / used, np.inf)
+        rows, distances = np.concatenate([rows, at]), np.concatenate([distances, np.sqrt(total)])
+        if len(rows) > k:
+            best = np.lexsort((positions[rows], distances))[:k]
+            rows, distances = rows[best], distances[best]
+        if len(rows) >= k and complete:
+            worst = distances.max()
+            # one term of the sum is never more than the sum, so nothing beyond is as near as the k-th
+            if right < len(positions) and (gap := target[axis] - axis_values[right]) * gap * weight[axis] > worst * worst * (1 + 1e-12):
+                right = len(positions)
+            if left > 0 and (gap := target[axis] - axis_values[left - 1]) * gap * weight[axis] > worst * worst * (1 + 1e-12):
+                left = 0
+        step *= 2
+    best = np.lexsort((positions[rows], distances))[:k]
+    return rows[best], distances[best]
+
+
 def nearest(
     states: DataFrame,
     targets: DataFrame,
@@ -93,18 +155,20 @@ def nearest(
     """The ``k`` closest states among the ``history`` before each target; ties keep time order.
 
     A range join on positions as an equi-join on blocks: a state at ``p`` can only serve targets in
-    (p, p+history], so it is copied to the blocks of that span.  Targets stay in their block, and as the
-    join, the ranking and later sums per target all use (pair, block, ...), nothing is shuffled again.
+    (p, p+history], so it is copied to the blocks of that span.  A block's targets and states meet in one task, some
+    block and history positions of each, and only the ``k`` found leave it: candidates are neither made rows nor sorted.
     Smaller blocks mean more copies and more tasks.  ``complete`` states that no feature is null, as for
-    states of valid bars: the distance is then a plain weighted sum, which stays in fast compiled code.
+    states of valid bars: the distance is then a plain weighted sum, and the scan of a target is pruned.
     """
-    size = block or study.history
+    size = block_size(study, block)
+    features = list(DISTANCE_FEATURES)
+    carried = ["n_pos", "n_ts", "n_ok", *[f"n_{c}" for c in carry]]
     h = states.select(
-        "pair", F.col("spos").alias("n_spos"), F.col("pos").alias("n_pos"), F.col("ts").alias("n_ts"),
-        F.col("ahead_ok").alias("n_ok"), *[F.col(f).alias(f"n_{f}") for f in DISTANCE_FEATURES],
+        F.col("pair").alias("_pair"), F.col("spos").alias("n_spos"), F.col("pos").alias("n_pos"), F.col("ts").alias("n_ts"),
+        F.col("ahead_ok").alias("n_ok"), *[F.col(f).cast("double").alias(f"_{f}") for f in features],
         *[F.col(c).alias(f"n_{c}") for c in carry],
     ).withColumn(
-        "blk",
+        "_blk",
         F.explode(
             F.sequence(
                 F.floor((F.col("n_spos") + 1) / F.lit(size)).cast("bigint"),
@@ -112,23 +176,40 @@ def nearest(
             )
         ),
     )
+    n = float(len(features))
+    std = lambda f: F.col(f"std_{f}").cast("double")
     t = targets.select(
-        "pair", "spos", "pos", "ts", *DISTANCE_FEATURES, *[f"std_{f}" for f in DISTANCE_FEATURES]
+        "pair", "spos", "pos", "ts", *[F.col(f).cast("double").alias(f"_{f}") for f in features],
+        *[(1.0 / (std(f) * std(f) * n) if complete else std(f)).alias(f"_w_{f}") for f in features],
     ).withColumn("blk", F.floor(F.col("spos") / F.lit(size)).cast("bigint"))
-    near = (F.col("n_spos") < F.col("spos")) & (F.col("n_spos") >= F.col("spos") - study.history)
-    if complete:
-        n = float(len(DISTANCE_FEATURES))
-        t = t.withColumns({f"w_{f}": 1.0 / (F.col(f"std_{f}") * F.col(f"std_{f}") * n) for f in DISTANCE_FEATURES})
-        distance = F.sqrt(add([(F.col(f) - F.col(f"n_{f}")) * (F.col(f) - F.col(f"n_{f}")) * F.col(f"w_{f}") for f in DISTANCE_FEATURES]))
-    else:
-        distance = zscore_distance([(F.col(f), F.col(f"n_{f}"), F.col(f"std_{f}")) for f in DISTANCE_FEATURES])
-    joined = spread(t, "pair", "blk").join(h, ["pair", "blk"]).filter(near)
-    scored = joined.select(
-        "pair", "blk", "spos", "pos", "ts", "n_spos", "n_pos", "n_ts", "n_ok", distance.alias("distance"),
-        *[f"n_{c}" for c in carry],
-    )
-    w = Window.partitionBy("pair", "blk", "spos").orderBy("distance", "n_spos")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    fields = {f.name: f for f in [*t.schema.fields, *h.schema.fields]}
+    names = ["pair", "blk", "spos", "pos", "ts", "n_spos", *carried]
+    schema = T.StructType([*[fields[c] for c in names], T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    history = study.history
+
+    def search(targets: pa.Table, states: pa.Table) -> pa.Table:
+        matrix = lambda table, prefix: np.array([table.column(f"{prefix}{f}").to_numpy() for f in features])
+        values, wanted, weights = matrix(states, "_"), matrix(targets, "_"), matrix(targets, "_w_")
+        positions, spos = states.column("n_spos").to_numpy(), targets.column("spos").to_numpy()
+        axis = 0
+        if complete and len(spos) and len(positions):  # the feature that tells states apart best
+            axis = int(np.argmax(values.var(axis=1) * weights.mean(axis=1)))
+        order = np.argsort(values[axis], kind="stable")
+        values, positions = np.ascontiguousarray(values[:, order]), positions[order]
+        rows, of, ranks, distances = [], [], [], []
+        for i, p in enumerate(spos.tolist()):
+            found, distance = closest(wanted[:, i], weights[:, i], axis, values[axis], values, positions, p - history, p, k, complete)
+            rows.append(order[found])
+            of.append(np.full(len(found), i))
+            ranks.append(np.arange(1, len(found) + 1, dtype=np.int32))
+            distances.append(distance)
+        if not rows:
+            return pa.Table.from_pylist([], schema=to_arrow_schema(schema))
+        at, target = pa.array(np.concatenate(rows)), pa.array(np.concatenate(of))
+        columns = [targets.column(c).take(target) for c in names[:5]] + [states.column(c).take(at) for c in names[5:]]
+        return pa.table([*columns, pa.array(np.concatenate(distances)), pa.array(np.concatenate(ranks))], names=[*names, "distance", "rank"])
+
+    return spread(t, "pair", "blk").groupBy("pair", "blk").cogroup(spread(h, "_pair", "_blk").groupBy("_pair", "_blk")).applyInArrow(search, schema)
 
 
 def eligible(neighbours: DataFrame, study: Study) -> DataFrame:
@@ -153,7 +234,7 @@ def records(states: DataFrame, study: Study, slippage: float = 0.0, commission:
         F.percentile("distance", F.lit(0.9)).alias("distance_p90"),
         *[win(d, h).alias(f"agree_{d}_{h}") for h in study.horizons for d in ("long", "short")],
     )
-    size = F.lit(study.history)
+    size = F.lit(block_size(study))
     info = info.withColumn("blk", F.floor(F.col("spos") / size).cast("bigint"))
     joined = evidence.join(info, ["pair", "blk", "spos"])
     side = lambda name, h: F.when(F.col("direction") == "long", F.col(f"{name}long_{h}")).otherwise(F.col(f"{name}short_{h}"))
@@ -192,7 +273,7 @@ def two_sided_records(states: DataFrame, study: Study, slippage: float = 0.0, co
     evidence = near.groupBy("pair", "blk", "spos").agg(F.count(F.lit(1)).alias("_n"), *means).filter(F.col("_n") >= top)
     info = t.select(
         "pair", "spos", "ts", "regime", "session", *move_names(study), *[f"end_{h}" for h in study.horizons]
-    ).withColumn("blk", F.floor(F.col("spos") / F.lit(study.history)).cast("bigint"))
+    ).withColumn("blk", F.floor(F.col("spos") / F.lit(block_size(study))).cast("bigint"))
     rows = []
     for h in study.horizons:
         for k in study.k_values:

@@ -10,7 +10,7 @@ from barline.operators import inference as inf
 from barline.operators import paths
 
 
-def context_atlas(records: DataFrame, reps: int = 500, low: int = 12, high: int = 486, seed: int = 20260825, strong: int = 100) -> DataFrame:
+def context_atlas(records: DataFrame, reps: int = 500, low: int = 12, high: int = 486, seed: int = 20260825, strong: int = 100, minimum: int = 30) -> DataFrame:
     """Cells with statistics, drawdown, bootstrap bounds of large confirmation cells, and status."""
     rich = ev.enriched(records)
     keys = list(ev.ATLAS_CELL)
@@ -19,7 +19,15 @@ def context_atlas(records: DataFrame, reps: int = 500, low: int = 12, high: int
     sample = paths.ranked(rich.join(large, keys, "left_semi").select(*keys, "ts", "outcome_pips"), keys, ("ts",))
     bounds = inf.order_statistics(inf.bootstrap_means(sample, keys, "outcome_pips", reps, seed), keys, low, high)
     d = ev.with_median(cells.join(bounds, keys, "left"), rich, keys, "outcome_pips")
-    return d.withColumn("status", ev.atlas_status(F.col("lower"), strong=strong))
+    return d.withColumn("status", ev.atlas_status(F.col("lower"), minimum, strong))
+
+
+def ranked_contexts(atlas: DataFrame, n: int = 250) -> DataFrame:
+    """The best confirmation contexts of each status, for contexts not to trade the worst ones."""
+    judged = atlas.filter((F.col("split") == "confirmation") & (F.col("status") != "UNKNOWN"))
+    sign = F.when(F.col("status") == "NO_TRADE", 1).otherwise(-1)
+    order = [sign * F.round("expectancy", 6), sign * F.col("n"), *[F.col(k) for k in ev.ATLAS_CELL]]
+    return ev.top_per(judged, ["status"], order, n)
 
 
 def hierarchical_validation(

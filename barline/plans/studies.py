@@ -72,7 +72,7 @@ def sequential_records(states: DataFrame, study: Study, slippage: float = 0.0, c
         F.count(F.lit(1)).alias("k"), *[win(d, h).alias(f"agree_{d}_{h}") for h in study.horizons for d in ("long", "short")]
     )
     info = t.select("pair", "spos", "pos", "bars", "ts", "direction", "regime", "session", *nb.move_names(study)).withColumn(
-        "blk", F.floor(F.col("spos") / F.lit(study.history)).cast("bigint")
+        "blk", F.floor(F.col("spos") / F.lit(nb.block_size(study))).cast("bigint")
     )
     side = lambda name, h: F.when(F.col("direction") == "long", F.col(f"{name}long_{h}")).otherwise(F.col(f"{name}short_{h}"))
     rows = F.array(

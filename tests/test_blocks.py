@@ -125,3 +125,38 @@ def test_rolling_scaler_equals_direct_deviation(bars):
             assert r[f"std_{f}"] == pytest.approx(statistics.stdev(xs), rel=1e-6)
             checked += 1
     assert checked
+
+
+def test_pruned_scan_equals_sorting_all_and_judges_few():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    states = rng.integers(-30, 30, size=(4000, 3)) / 10.0  # many ties
+    order = np.argsort(states[:, 0], kind="stable")
+    values, positions = np.ascontiguousarray(states[order].T), order.astype(np.int64)
+    weight = np.array([1.0, 0.05, 0.02])
+    judged = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            judged.append(np.size(at))
+            return super().__getitem__(at)
+
+    for i in range(60):
+        target, low, high = rng.integers(-30, 30, size=3) / 10.0, 500, 3500
+        counted = [v.view(Counted) for v in values]
+        judged.clear()
+        rows, distances = neighbours.closest(target, weight, 0, values[0], counted, positions, low, high, 15, True)
+        inside = np.arange(low, high)
+        d = np.zeros(len(inside))
+        for f in range(3):
+            gap = target[f] - states[inside, f]
+            d += gap * gap * weight[f]
+        d = np.sqrt(d)
+        best = np.lexsort((inside, d))[:15]
+        assert positions[rows].tolist() == inside[best].tolist() and distances.tolist() == d[best].tolist()
+        assert judged[0] < 3000  # the first step is enough, or nearly
+    # nulls: only the features on both sides count, none at all is infinitely far
+    holes = np.where(rng.random(values.shape) < 0.3, np.nan, values)
+    rows, distances = neighbours.closest(np.array([0.1, np.nan, 0.3]), np.ones(3), 0, values[0], holes, positions, 0, 4000, 4000, False)
+    assert len(rows) == 4000 and np.isinf(distances[-1]) and (np.diff(distances[np.isfinite(distances)]) >= 0).all()
