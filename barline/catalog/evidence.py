@@ -846,6 +846,15 @@ def k7(t: Tables) -> DataFrame:
     return a.join(b, "ts", "left").select("pair", "ts", F.when(F.col("_in"), "common").otherwise("missing").alias("side"))
 
 
+@query(
+    "k7_time_set_sizes", "pair_a pair_b common:i only_a:i only_b:i",
+    """WITH s AS (SELECT DISTINCT pair, ts FROM x_hbars), n AS (SELECT pair, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a.pair AS pair_a, b.pair AS pair_b, count(*) AS common FROM s a JOIN s b ON a.ts = b.ts AND a.pair < b.pair GROUP BY 1, 2)
+SELECT a.pair AS pair_a, b.pair AS pair_b, coalesce(common, 0) AS common, a.n - coalesce(common, 0) AS only_a, b.n - coalesce(common, 0) AS only_b FROM n a JOIN n b ON a.pair < b.pair LEFT JOIN c ON c.pair_a = a.pair AND c.pair_b = b.pair""",
+)
+def k7b(t: Tables) -> DataFrame:
+    return ev.time_set_sizes(ev.time_sets(t.hourly(), "pair", 3600), "pair")
+
+
 @query("k8_union_of_pairs", "pair n:i", "SELECT pair, count(*) AS n FROM x_rec GROUP BY 1 UNION ALL SELECT 'two-sided ' || pair, count(*) FROM x_two GROUP BY 1")
 def k8(t: Tables) -> DataFrame:
     one = t.records().select("pair", "ts", "outcome_pips")

@@ -215,11 +215,13 @@ def q22(t: Tables) -> DataFrame:
     return paper_orders(t)
 
 
-EVALUATION = "session_id:i closed_trades:i wins:i losses:i total_pnl:d expectancy:d profit_factor:d max_drawdown:d failures"
+EVALUATION = "session_id:i closed_trades:i wins:i losses:i total_pnl:d expectancy:d profit_factor:d max_drawdown:d unique_ids:b chronological:b pnl_present:b failures"
 fragment("x_session", f"""
 SELECT s.session_id, coalesce(n, 0) AS closed_trades, coalesce(w, 0) AS wins, coalesce(l, 0) AS losses, coalesce(tot, 0) AS total_pnl, coalesce(tot / n, 0) AS expectancy, pf AS profit_factor, coalesce(max_drawdown, 0) AS max_drawdown,
- concat_ws(',', CASE WHEN coalesce(n, 0) < 12 THEN 'minimum_closed_trades_not_met' END, CASE WHEN coalesce(tot, 0) <= -500 THEN 'maximum_session_loss_breached' END, CASE WHEN n IS NULL THEN 'no_closed_trades' END) AS failures
-FROM (SELECT DISTINCT session_id FROM x_paper) s LEFT JOIN (SELECT session_id, count(*) AS n, count(*) FILTER (v > 0) AS w, count(*) FILTER (v < 0) AS l, round(sum(v), 6) AS tot, coalesce(sum(v) FILTER (v > 0), 0) / nullif(coalesce(-sum(v) FILTER (v < 0), 0), 0) AS pf FROM x_closed GROUP BY 1) USING (session_id)
+ coalesce(u, true) AS unique_ids, coalesce(c, true) AS chronological, coalesce(f, true) AS pnl_present,
+ concat_ws(',', CASE WHEN NOT u THEN 'duplicate_closed_order_id' END, CASE WHEN NOT c THEN 'closed_orders_not_chronological' END, CASE WHEN NOT f THEN 'closed_order_without_pnl' END, CASE WHEN coalesce(n, 0) < 12 THEN 'minimum_closed_trades_not_met' END, CASE WHEN coalesce(tot, 0) <= -500 THEN 'maximum_session_loss_breached' END, CASE WHEN n IS NULL THEN 'no_closed_trades' END) AS failures
+FROM (SELECT DISTINCT session_id FROM x_paper) s LEFT JOIN (SELECT session_id, count(*) AS n, count(*) FILTER (v > 0) AS w, count(*) FILTER (v < 0) AS l, round(sum(v), 6) AS tot, coalesce(sum(v) FILTER (v > 0), 0) / nullif(coalesce(-sum(v) FILTER (v < 0), 0), 0) AS pf,
+  count(DISTINCT order_id) = count(*) AS u, count(v) = count(*) AS f, bool_and(coalesce(ts >= before, true)) AS c FROM (SELECT *, lag(ts) OVER (PARTITION BY session_id ORDER BY order_id, ts) AS before FROM x_closed) GROUP BY 1) USING (session_id)
 LEFT JOIN ({drawdown_sql('x_closed', 'session_id', 'ts, order_id')}) USING (session_id)""")
 fragment("x_closed", "SELECT *, pnl AS v FROM x_paper WHERE event = 'CLOSED'")
 

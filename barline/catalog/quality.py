@@ -116,9 +116,29 @@ def v7(t: Tables) -> DataFrame:
     return out.withColumn("reason", F.array_join("reasons", ","))
 
 
-@query("v8_sequence_check", "pair offer_side ordered:b rows:i", "SELECT pair, offer_side, true AS ordered, count(*) AS rows FROM x_sided GROUP BY 1, 2")
+_LATE = "ts + INTERVAL 30 MINUTE"
+
+
+@query(
+    "v8_sequence_check", "sequence ordered:b one_identity:b rows:i valid:b",
+    f"""SELECT sequence, bool_and(coalesce(epoch(ts) - epoch(before) > 0, true)) AS ordered, count(DISTINCT pair || timeframe || offer_side) = 1 AS one_identity, count(*) AS rows, ordered AND one_identity AS valid
+FROM (SELECT *, lag(ts) OVER (PARTITION BY sequence ORDER BY ts) AS before FROM (
+ SELECT pair || ' ' || offer_side AS sequence, * FROM x_sided UNION ALL SELECT pair || ' both sides', * FROM x_sided UNION ALL SELECT 'sent twice ' || pair, s.* FROM x_sided s, range(2) WHERE offer_side = 'B'
+ UNION ALL SELECT pair || ' sides in turn', * REPLACE (CASE WHEN offer_side = 'A' THEN {_LATE} ELSE ts END AS ts) FROM x_sided)) GROUP BY 1""",
+)
 def v8(t: Tables) -> DataFrame:
-    return quality.sequence_check(t.sided(), SIDE, month())
+    """Every side is a good sequence; beside them bad ones: sides mixed at one time, bars sent twice, and sides in turn, which only their identity gives away."""
+    sided = t.sided()
+    named = lambda d, name: d.withColumn("sequence", name)
+    late = F.when(F.col("offer_side") == "A", F.col("ts") + F.expr("INTERVAL 30 MINUTES")).otherwise(F.col("ts"))
+    twice = sided.filter(F.col("offer_side") == "B").withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_n")
+    every = (
+        named(sided, F.concat_ws(" ", "pair", "offer_side"))
+        .unionByName(named(sided, F.concat("pair", F.lit(" both sides"))))
+        .unionByName(named(twice, F.concat(F.lit("sent twice "), "pair")))
+        .unionByName(named(sided.withColumn("ts", late), F.concat("pair", F.lit(" sides in turn"))))
+    )
+    return quality.sequence_check(every, ["sequence"], month(), SIDE)
 
 
 @query(

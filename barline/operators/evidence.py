@@ -394,6 +394,31 @@ def verdict(gates: dict[str, Column], enough: Column) -> dict[str, Column]:
     }
 
 
+def time_sets(rows: DataFrame, member: str, interval_s: int) -> DataFrame:
+    """(member, bucket, times): the times of each member as bitmaps of 32,768 slots of an interval."""
+    slot = F.floor(F.unix_seconds("ts") / interval_s)
+    return rows.groupBy(member, F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("times"))
+
+
+def time_set_sizes(sets: DataFrame, member: str) -> DataFrame:
+    """Times common to every two members and those of either alone.
+
+    The bitmaps of two members meet by their bucket and are combined by an aggregate: 4 kB a side and bucket, whatever the times
+    in it.  A row of its size joins each member in a bucket of its own, so that members without a common time meet too.
+    """
+    none = F.lit(None)
+    sizes = sets.groupBy(member).agg(F.sum(F.bitmap_count("times")).alias("n"))
+    every = sets.select(member, "bucket", "times", none.cast("bigint").alias("n")).unionByName(sizes.select(member, F.lit(-1).cast("bigint").alias("bucket"), none.cast("binary").alias("times"), "n"))
+    a, b = (every.select("bucket", F.col(member).alias(f"{member}_{x}"), F.col("times").alias(f"_t{x}"), F.col("n").alias(f"_n{x}")) for x in "ab")
+    pair = [f"{member}_a", f"{member}_b"]
+    met = a.join(b, "bucket").filter(F.col(pair[0]) < F.col(pair[1])).select(*pair, "bucket", "_na", "_nb", F.explode(F.array("_ta", "_tb")).alias("times"))
+    both = met.groupBy(*pair, "bucket").agg(
+        F.when(F.col("bucket") >= 0, F.bitmap_count(F.bitmap_and_agg("times"))).otherwise(0).alias("_common"), F.max("_na").alias("_na"), F.max("_nb").alias("_nb")
+    )
+    sums = both.groupBy(*pair).agg(F.sum("_common").alias("common"), F.max("_na").alias("_na"), F.max("_nb").alias("_nb"))
+    return sums.select(*pair, "common", (F.col("_na") - F.col("common")).alias("only_a"), (F.col("_nb") - F.col("common")).alias("only_b"))
+
+
 def top(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows: a partial top-n per task, then one merge."""
     return df.orderBy(*order).limit(n)

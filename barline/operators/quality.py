@@ -78,11 +78,12 @@ def contract_violations(bars: DataFrame, requests: DataFrame) -> DataFrame:
     return d.withColumn("reasons", F.array_compact(reasons)).filter(F.size("reasons") > 0)
 
 
-def sequence_check(bars: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
-    """Strictly increasing times per series."""
+def sequence_check(bars: DataFrame, keys: Sequence[str], block: Column, identity: Sequence[str] = ()) -> DataFrame:
+    """Strictly increasing times and one identity (instrument, timeframe, side) per sequence."""
+    who = F.struct(*identity) if identity else F.lit(True)
     return gaps(bars, keys, block).groupBy(*keys).agg(
-        F.bool_and(F.coalesce(F.col("gap_s") > 0, F.lit(True))).alias("ordered"), F.count(F.lit(1)).alias("rows")
-    )
+        F.bool_and(F.coalesce(F.col("gap_s") > 0, F.lit(True))).alias("ordered"), (F.min(who) == F.max(who)).alias("one_identity"), F.count(F.lit(1)).alias("rows")
+    ).withColumn("valid", F.col("ordered") & F.col("one_identity"))
 
 
 def leakage_free(feature_time: Column, observation: Column, outcome_end: Column) -> Column:

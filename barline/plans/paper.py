@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barline.functions.statistics import ratio
-from barline.operators.ordering import in_blocks
+from barline.operators.ordering import in_blocks, with_positions
 from barline.operators.paths import drawdown
 from barline.plans.portfolio import reasons
 
@@ -40,8 +40,14 @@ def closes(filled: DataFrame, quotes: DataFrame) -> DataFrame:
     return d.withColumn("pnl", pnl.cast("decimal(38,16)")).withColumn("event", F.when(shut, "CLOSED").otherwise(F.col("event"))).drop("x_bid", "x_ask")
 
 
-def session_evaluation(orders: DataFrame, max_loss: float, min_closed: int, keys: Sequence[str] = ("session_id",)) -> DataFrame:
-    """Totals, profit factor, drawdown, input checks and failure reasons per session."""
+ORDERS = 65_536  # ids in one block of the order check
+
+
+def session_evaluation(orders: DataFrame, max_loss: float, min_closed: int, keys: Sequence[str] = ("session_id",), sequence: str = "order_id") -> DataFrame:
+    """Totals, profit factor, drawdown, input checks and failure reasons per session.
+
+    Closed orders need an id of their own, a time no earlier than that of the closed order before them in ``sequence``, and a profit or loss.
+    """
     keys = list(keys)
     closed = orders.filter(F.col("event") == "CLOSED")
     p = F.col("pnl")
@@ -51,15 +57,22 @@ def session_evaluation(orders: DataFrame, max_loss: float, min_closed: int, keys
         ratio(F.coalesce(gain.cast("double"), F.lit(0.0)), F.coalesce(loss.cast("double"), F.lit(0.0))).alias("profit_factor"),
         (F.count_distinct("order_id") == F.count(F.lit(1))).alias("unique_ids"), (F.count(p) == F.count(F.lit(1))).alias("pnl_present"),
     )
+    placed = with_positions(closed.select(*keys, sequence, "ts"), keys, [sequence, "ts"], F.floor(F.col(sequence) / ORDERS))
+    lagged = in_blocks(placed, keys, "pos", 1, 0, lambda x, window: x.withColumn("_late", F.lag("ts").over(window()) > F.col("ts")))
+    in_order = lagged.groupBy(*keys).agg((~F.bool_or(F.coalesce("_late", F.lit(False)))).alias("chronological"))
     sessions = orders.select(*keys).distinct()
-    d = sessions.join(stats, keys, "left").join(drawdown(closed, keys, "pnl", ("ts", "order_id")).select(*keys, "max_drawdown"), keys, "left")
+    d = sessions.join(stats, keys, "left").join(in_order, keys, "left").join(drawdown(closed, keys, "pnl", ("ts", "order_id")).select(*keys, "max_drawdown"), keys, "left")
     n = F.coalesce("closed_trades", F.lit(0))
     total = F.coalesce(F.col("total_pnl").cast("double"), F.lit(0.0))
-    d = d.withColumns(
+    checks = {c: F.coalesce(c, F.lit(True)) for c in ("unique_ids", "chronological", "pnl_present")}
+    d = d.withColumns(checks).withColumns(
         {
             "closed_trades": n, "wins": F.coalesce("wins", F.lit(0)), "losses": F.coalesce("losses", F.lit(0)), "total_pnl": total,
             "expectancy": F.when(n > 0, total / n).otherwise(0.0), "max_drawdown": F.coalesce("max_drawdown", F.lit(0.0)),
-            "failures": reasons({"minimum_closed_trades_not_met": n < min_closed, "maximum_session_loss_breached": total <= max_loss, "no_closed_trades": n == 0}),
+            "failures": reasons({
+                "duplicate_closed_order_id": ~F.col("unique_ids"), "closed_orders_not_chronological": ~F.col("chronological"), "closed_order_without_pnl": ~F.col("pnl_present"),
+                "minimum_closed_trades_not_met": n < min_closed, "maximum_session_loss_breached": total <= max_loss, "no_closed_trades": n == 0,
+            }),
         }
     )
     return d.withColumn("passed", F.size("failures") == 0)
