@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.catalog.evidence import REC, TRADE, TRADE_SHAPE, drawdown_sql
+from barline.catalog.evidence import REC, TRADE, TRADE_SHAPE, drawdown_sql, wilson_sql
 from barline.catalog.fragments import HORIZONS, MAXH
 from barline.catalog.jobs import block_boot, boot, ruin
 from barline.catalog.quality import month, ts
 from barline.catalog.registry import FRAGMENTS, Tables, fragment, query
 from barline.functions.dimensions import required_features
-from barline.operators import neighbours, quality
+from barline.operators import evidence as ev
+from barline.operators import features, neighbours, paths, quality
 from barline.operators.features import DISTANCE_FEATURES
 from barline.plans import evaluation, history, paper, portfolio, studies
+from barline.session import written
 from barline.sources.events import ticks
 from barline.streaming import quotes as sq
 
@@ -35,11 +37,13 @@ _DIST = " + ".join(f"((t.{f} - h.{f}) / s.s_{f}) ** 2" for f in DISTANCE_FEATURE
 
 
 @query(
-    "q1_snapshot", "pair ts:t direction neighbours:i n:i expectancy:d win_rate:d mfe_mean:d mae_mean:d",
+    "q1_snapshot", "pair ts:t direction neighbours:i n:i expectancy:d win_rate:d ci_low:d ci_high:d median:d max_drawdown:d mfe_mean:d mae_mean:d",
     f"""WITH t AS (SELECT * FROM x_all_cs QUALIFY row_number() OVER (PARTITION BY pair ORDER BY pos DESC) = 1), s AS (SELECT h.pair, {_SD} FROM x_all_cs h JOIN t ON t.pair = h.pair AND h.pos < t.pos GROUP BY 1),
 nn AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY d, n_pos) AS rank FROM (SELECT t.pair, t.ts, CASE WHEN t.momentum >= 0 THEN 'long' ELSE 'short' END AS direction, h.pos AS n_pos, sqrt(({_DIST}) / {len(DISTANCE_FEATURES)}) AS d FROM t JOIN s USING (pair) JOIN x_all_cs h ON h.pair = t.pair AND h.pos < t.pos))
-SELECT a.*, b.* EXCLUDE (pair) FROM (SELECT pair, ts, direction, count(*) AS neighbours FROM nn WHERE rank <= 50 GROUP BY 1, 2, 3) a LEFT JOIN (SELECT nn.pair, count(*) AS n, avg(move) AS expectancy, avg(CAST(move > 0 AS INT)) AS win_rate, avg(mfe) AS mfe_mean, avg(mae) AS mae_mean
- FROM nn JOIN x_out o ON o.pair = nn.pair AND o.pos = nn.n_pos AND o.direction = nn.direction AND o.horizon = 3 AND o.pos + o.horizon < o.bars WHERE rank <= 50 GROUP BY 1) b USING (pair)""",
+SELECT a.*, b.* EXCLUDE (pair, max_drawdown), coalesce(b.max_drawdown, 0) AS max_drawdown FROM (SELECT pair, ts, direction, count(*) AS neighbours FROM nn WHERE rank <= 50 GROUP BY 1, 2, 3) a LEFT JOIN (
+ SELECT *, {wilson_sql('win_rate', 'n')[0]} AS ci_low, {wilson_sql('win_rate', 'n')[1]} AS ci_high FROM (SELECT pair, count(*) AS n, avg(move) AS expectancy, avg(CAST(move > 0 AS INT)) AS win_rate, median(move) AS median, greatest(0, max(peak - cum)) AS max_drawdown, avg(mfe) AS mfe_mean, avg(mae) AS mae_mean
+ FROM (SELECT *, greatest(0, max(cum) OVER (PARTITION BY pair ORDER BY rank)) AS peak FROM (SELECT nn.pair, rank, move, mfe, mae, sum(move) OVER (PARTITION BY nn.pair ORDER BY rank) AS cum
+ FROM nn JOIN x_out o ON o.pair = nn.pair AND o.pos = nn.n_pos AND o.direction = nn.direction AND o.horizon = 3 AND o.pos + o.horizon < o.bars WHERE rank <= 50)) GROUP BY 1)) b USING (pair)""",
 )
 def q1(t: Tables) -> DataFrame:
     return studies.snapshot(all_states(t), t.outcomes(), t.study, 3, 50)
@@ -69,6 +73,29 @@ def q3(t: Tables) -> DataFrame:
     return studies.sequential_report(studies.sequential_records(all_states(t), t.study))
 
 
+_SEQ_FOLDS = "SELECT pair, e AS train_end, e + INTERVAL 12 HOUR AS test_start, e + INTERVAL 60 HOUR AS test_end FROM (SELECT pair, unnest(generate_series(lo + INTERVAL 5 DAY, hi - INTERVAL 60 HOUR, INTERVAL 48 HOUR)) AS e FROM (SELECT pair, min(ts) AS lo, max(ts) AS hi FROM x_seq GROUP BY 1))"
+
+
+@query(
+    "q3_walk_forward", "pair horizon:i train_end:t test_start:t test_end:t " + TRADE_SHAPE,
+    f"SELECT r.pair, r.horizon, f.train_end, f.test_start, f.test_end, {TRADE} FROM (SELECT *, value AS v FROM x_seq) r JOIN ({_SEQ_FOLDS}) f ON f.pair = r.pair AND r.ts > f.test_start AND r.ts <= f.test_end GROUP BY 1, 2, 3, 4, 5",
+)
+def q3b(t: Tables) -> DataFrame:
+    """Five days of training, a purge of twelve hours, then two days of test; the training end moves on by a test."""
+    r = written(studies.sequential_records(all_states(t), t.study), "sequential")
+    folds = paths.expanding_folds(r, ["pair"], 5 * 86400, 2 * 86400, None, 12 * 3600).drop("train_start")
+    return studies.walk_forward(r, folds)
+
+
+@query(
+    "q3_cross_pair_correlation", "pair_a pair_b r:d n:i",
+    """WITH r AS (SELECT pair, ts, bid_close / lag(bid_close) OVER (PARTITION BY pair ORDER BY ts) - 1 AS x FROM x_bars)
+SELECT a.pair AS pair_a, b.pair AS pair_b, CASE WHEN count(*) >= 3 AND stddev_pop(a.x) > 0 AND stddev_pop(b.x) > 0 THEN corr(a.x, b.x) END AS r, count(*) AS n FROM r a JOIN r b ON a.ts = b.ts WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2""",
+)
+def q3c(t: Tables) -> DataFrame:
+    return ev.correlation_matrix(features.one_bar_returns(t.bars(), t.study), ["ts"], "pair", "ret", least=3, constant=None)
+
+
 fragment("x_tail0", f"SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY ts, pair) - 1 AS rn, count(*) OVER (PARTITION BY horizon) AS n FROM {REC}")
 fragment("x_tail", "SELECT horizon, ts, pair, outcome_pips, outcome_pips - 0.4::DOUBLE AS v, n, rn - 400 AS r2, (n - 600) // 200 + 1 AS folds FROM x_tail0 WHERE n >= 600 AND rn >= 400")
 

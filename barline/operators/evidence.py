@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.functions.labels import agreement_band, col, distance_band, hour_block, outcome_sign, pairsets, weekday_name
-from barline.functions.statistics import pearson, profit_factor, ratio, trade_statistics, wilson, win_rate
-from barline.operators.paths import aligned_pairs, drawdown, recovery
+from barline.functions.statistics import profit_factor, ratio, trade_statistics, wilson, win_rate
+from barline.operators.paths import drawdown, recovery
 from barline.session import small_side
 
 # The search grids.
@@ -280,14 +283,60 @@ def drift(rows: DataFrame, keys: Sequence[str], window: str, value: str, mean_sh
     return d.withColumn("drift", flag).select(*keys, "mean_shift", "volatility_ratio", "missing_shift", "drift")
 
 
-def correlation_matrix(rows: DataFrame, on: Sequence[str], member: str, value: str) -> DataFrame:
-    """Correlation of every two members, both ways round, and 1 on the diagonal of varying members."""
-    half = aligned_pairs(rows, on, member, value).groupBy("pair_a", "pair_b").agg(pearson("value_a", "value_b").alias("r"), F.count(F.lit(1)).alias("n"))
-    other = half.select(F.col("pair_b").alias("pair_a"), F.col("pair_a").alias("pair_b"), "r", "n")
-    own = rows.groupBy(F.col(member).alias("pair_a")).agg(
-        F.when(F.stddev_pop(value) > 0, 1.0).otherwise(0.0).alias("r"), F.count(F.lit(1)).alias("n")
-    ).select("pair_a", F.col("pair_a").alias("pair_b"), "r", "n")
-    return half.unionByName(other).unionByName(own)
+def co_moments(rows: DataFrame, on: Sequence[str], member: str, value: str) -> DataFrame:
+    """(member_a, member_b, n, sa, sb, saa, sbb, sab): sums over the keys that two members share, both ways round and with themselves.
+
+    The values of a key meet as one vector; a task turns its vectors into Gram matrices and sends one row per two members, so no
+    pair of values is ever a row.  A key holds at most one value per member.
+    """
+    d = rows.filter(F.col(value).isNotNull()).groupBy(*on).agg(F.collect_list(F.struct(F.col(member).cast("string").alias("m"), F.col(value).cast("double").alias("v"))).alias("_values"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        place: dict[str, int] = {}
+        sums = np.zeros((6, 0, 0))
+        for batch in batches:
+            lists = batch.column("_values")
+            flat, key = lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            own = flat.field("m").dictionary_encode()
+            for m in own.dictionary.to_pylist():
+                if m not in place:
+                    place[m] = len(names)
+                    names.append(m)
+            if len(names) > sums.shape[1]:
+                grown = np.zeros((6, len(names), len(names)))
+                grown[:, : sums.shape[1], : sums.shape[1]] = sums
+                sums = grown
+            column = np.array([place[m] for m in own.dictionary.to_pylist()], dtype=np.int64)[own.indices.to_numpy()]
+            values, there = np.zeros((batch.num_rows, len(names))), np.zeros((batch.num_rows, len(names)))
+            values[key, column], there[key, column] = flat.field("v").to_numpy(), 1.0
+            squares = values * values
+            sums += np.stack([there.T @ there, values.T @ there, there.T @ values, squares.T @ there, there.T @ squares, values.T @ values])
+        a, b = np.nonzero(sums[0])
+        label = pa.array(names, pa.string())
+        yield pa.record_batch([label.take(pa.array(a)), label.take(pa.array(b)), pa.array(sums[0, a, b].astype(np.int64)), *[pa.array(s[a, b]) for s in sums[1:]]], names=["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
+
+    parts = d.select("_values").mapInArrow(run, "a string, b string, n long, sa double, sb double, saa double, sbb double, sab double")
+    return parts.groupBy(F.col("a").alias(f"{member}_a"), F.col("b").alias(f"{member}_b")).agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+
+
+def correlation_matrix(rows: DataFrame, on: Sequence[str], member: str, value: str, least: int = 1, constant: float | None = 0.0) -> DataFrame:
+    """Correlation of every two members over the keys they share, both ways round, and 1 on the diagonal of varying members.
+
+    Values are taken from their member's mean before they are summed, which changes no correlation and keeps the sums exact;
+    a side without variance gives ``constant``, fewer than ``least`` keys give null.
+    """
+    means = rows.groupBy(F.col(member).alias("_m")).agg(F.avg(value).alias("_mean"), F.avg(F.col(value) * F.col(value)).alias("_square"))
+    centred = rows.join(means.select("_m", "_mean"), F.col(member) == F.col("_m")).withColumn("_c", F.col(value) - F.col("_mean"))
+    d = co_moments(centred, on, member, "_c")
+    for side in "ab":
+        d = d.join(means.select(F.col("_m").alias(f"{member}_{side}"), F.col("_square").alias(f"_scale_{side}")), f"{member}_{side}")
+    n = F.col("n")
+    spread = lambda x: F.greatest(F.lit(0.0), F.col(f"s{x}{x}") - F.col(f"s{x}") * F.col(f"s{x}") / n)
+    varies = (spread("a") > n * F.col("_scale_a") * 1e-24) & (spread("b") > n * F.col("_scale_b") * 1e-24)
+    r = (F.col("sab") - F.col("sa") * F.col("sb") / n) / F.sqrt(spread("a") * spread("b"))
+    r = F.when(n < least, None).when(varies, F.when(F.col(f"{member}_a") == F.col(f"{member}_b"), 1.0).otherwise(r)).otherwise(F.lit(constant).cast("double"))
+    return d.select(f"{member}_a", f"{member}_b", r.alias("r"), "n")
 
 
 def pair_diversity(records: DataFrame, keys: Sequence[str], least: int = 20, null_pf_counts: bool = False) -> DataFrame:

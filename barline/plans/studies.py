@@ -10,6 +10,7 @@ from barline.functions.prices import net_move
 from barline.functions.statistics import trade_statistics
 from barline.operators import evidence as ev
 from barline.operators import neighbours as nb
+from barline.operators import paths
 from barline.operators.features import DISTANCE_FEATURES
 from barline.session import Study
 
@@ -42,10 +43,13 @@ def snapshot(states: DataFrame, outcomes: DataFrame, study: Study, horizon: int,
     counted = near.groupBy("pair").agg(F.count(F.lit(1)).alias("neighbours"), F.max("t_ts").alias("ts"), F.max("direction").alias("direction"))
     usable = near if max_spread is None else near.filter(F.col("spread") <= max_spread)
     rows = outcome_rows(usable, outcomes.filter(F.col("horizon") == horizon), ["rank"])
+    low, high = ev.probability_summary("move")[2:4]
     stats = rows.groupBy("pair").agg(
-        *trade_statistics("move"), *[c for c in ev.probability_summary("move")[1:4]], F.avg("mfe").alias("mfe_mean"), F.avg("mae").alias("mae_mean")
+        *trade_statistics("move"), *ev.probability_summary("move")[1:2], low, high, F.median("move").alias("median"), F.avg("mfe").alias("mfe_mean"), F.avg("mae").alias("mae_mean")
     )
-    return counted.join(stats, "pair", "left")
+    # the path of the outcomes from the nearest neighbour on; k rows a pair
+    fall = paths.drawdown(rows, ["pair"], "move", ("rank",), F.lit(0)).select("pair", "max_drawdown")
+    return counted.join(stats, "pair", "left").join(fall, "pair", "left").withColumn("max_drawdown", F.coalesce("max_drawdown", F.lit(0.0)))
 
 
 def neighbour_study(states: DataFrame, outcomes: DataFrame, study: Study) -> DataFrame:
@@ -92,3 +96,10 @@ def sequential_report(records: DataFrame) -> DataFrame:
         *trade_statistics("value"), F.avg((F.col("predicted") - y) * (F.col("predicted") - y)).alias("brier"),
         F.avg("predicted").alias("predicted_rate"), F.avg(y).alias("realised_rate"), F.avg("k").alias("mean_analogues"),
     )
+
+
+def walk_forward(records: DataFrame, folds: DataFrame) -> DataFrame:
+    """Statistics of the study's records in the test window of each expanding fold of their pair; the fold table is a row per pair and fold."""
+    d = records.join(folds, "pair").filter((F.col("ts") > F.col("test_start")) & (F.col("ts") <= F.col("test_end")))
+    stats = d.groupBy("pair", "horizon", "train_end").agg(*trade_statistics("value"))
+    return stats.join(folds, ["pair", "train_end"])

@@ -57,3 +57,29 @@ def test_time_sets_of_all_members(spark):
     d = spark.createDataFrame(rows, "pair string, ts timestamp")
     got = {(r.pair_a, r.pair_b): (r.common, r.only_a, r.only_b) for r in ev.time_set_sizes(ev.time_sets(d, "pair", 3600), "pair").collect()}
     assert got == {(a, b): (len(sets[a] & sets[b]), len(sets[a] - sets[b]), len(sets[b] - sets[a])) for a in sets for b in sets if a < b}
+
+
+def test_correlations_from_co_moments(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(60, 5)) * 1e-4 + np.array([0, 1, 1000, 0, 5.0])
+    values[:, 1] += 3 * values[:, 0]
+    values[:, 3] = 7.0  # constant
+    there = rng.random((60, 5)) < 0.7
+    there[:, 4] = False
+    there[:2, 4] = True
+    rows = [(f"p{m}", at(t), float(values[t, m])) for t in range(60) for m in range(5) if there[t, m]] + [("p0", at(99), None)]
+    d = spark.createDataFrame(rows, "pair string, ts timestamp, ret double").repartition(6)
+    got = {(r.pair_a, r.pair_b): (r.r, r.n) for r in ev.correlation_matrix(d, ["ts"], "pair", "ret", least=3, constant=None).collect()}
+    for a in range(5):
+        for b in range(5):
+            both = there[:, a] & there[:, b]
+            r, n = got.get((f"p{a}", f"p{b}"), (None, 0))
+            assert n == both.sum()
+            if n < 3 or 3 in (a, b):
+                assert r is None
+            else:
+                assert abs(r - np.corrcoef(values[both, a], values[both, b])[0, 1]) < 1e-6
+    assert {r.r for r in ev.correlation_matrix(d, ["ts"], "pair", "ret").collect() if "p3" in (r.pair_a, r.pair_b)} == {0.0}
+    assert ev.correlation_matrix(d.limit(0), ["ts"], "pair", "ret").collect() == []
