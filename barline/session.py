@@ -81,10 +81,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def products(spark: SparkSession) -> list[str]:
+    """The data products that this session has written and not deleted."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
 def close(spark: SparkSession) -> int:
     """Delete the data products this session has written; returns their number."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    return discard(spark, products(spark))
+
+
+def discard(spark: SparkSession, paths: list[str]) -> int:
+    """Delete some data products, which nothing will read again; returns their number."""
+    held = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    paths = [p for p in paths if p in held]
     for path in paths:
+        held.remove(path)
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return len(paths)
