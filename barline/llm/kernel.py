@@ -46,7 +46,6 @@ class Kernel:
                     weights.append(np.zeros(len(fixed)))
                 weights[row[k]][i] += x / norm
         self.third, self.weights = np.concatenate(third), np.array(weights)
-        self.held: dict[str, float] | None = None  # norms of strings that come again, where there are few enough to keep
 
     def _codes(self, strings: list[str]) -> np.ndarray:
         text = "".join(f"{BEGIN}{s}{END}" for s in strings)
@@ -87,23 +86,27 @@ class Kernel:
                 total += weight * (letter[a] == letter[b]) * before[a, b]
         return np.sqrt(np.maximum(total, 1e-300))
 
-    def _kept_norms(self, strings: list[str]) -> np.ndarray:
-        if self.held is None:
-            return self.norms(strings)
-        new = [s for s in strings if s not in self.held]
-        if new:
-            self.held.update(zip(new, self.norms(new).tolist(), strict=True))
-        return np.array([self.held[s] for s in strings])
-
     def features(self, strings: list[str]) -> np.ndarray:
         """The normalised kernel of each string with each fixed one."""
         return self._summed(strings, self.weights, self.size)
 
-    def combined(self, strings: list[str], coefficients: np.ndarray) -> np.ndarray:
-        """The same, multiplied with one coefficient for each fixed string."""
-        return self._summed(strings, (self.weights @ coefficients)[:, None], 1)[:, 0]
+    def combined(self, strings: list[str], coefficients: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
+        """The same, multiplied with one coefficient for each fixed string; ``norms`` of the strings, where they are known."""
+        return self._summed(strings, (self.weights @ coefficients)[:, None], 1, norms)[:, 0]
+
+    def all_norms(self, strings: list[str]) -> np.ndarray:
+        """``norms`` of strings of any length, 1 for an empty one."""
+        out = np.ones(len(strings))
+        by_size: dict[int, list[int]] = {}
+        for i, s in enumerate(strings):
+            by_size.setdefault(len(s), []).append(i)
+        for size, members in by_size.items():
+            for start in range(0, len(members) if size else 0, 1024):
+                at = members[start : start + 1024]
+                out[at] = self.norms([strings[i] for i in at])
+        return out
 
-    def _summed(self, strings: list[str], weights: np.ndarray, width: int) -> np.ndarray:
+    def _summed(self, strings: list[str], weights: np.ndarray, width: int, known: np.ndarray | None = None) -> np.ndarray:
         out = np.zeros((len(strings), width))
         by_size: dict[int, list[int]] = {}
         for i, s in enumerate(strings):
@@ -116,7 +119,7 @@ class Kernel:
                 part = [strings[i] for i in at]
                 first, last, w = self._subsequences(part)
                 found = self._places(first, last)
-                norms = self._kept_norms(part)
+                norms = self.norms(part) if known is None else known[at]
                 if width == 1:
                     out[at, 0] = (weights[found, 0] @ w) / norms
                 else:

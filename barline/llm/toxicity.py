@@ -36,7 +36,7 @@ SAMPLE, LONGEST = 2500, 20_000
 LANDMARKS, CANDIDATES, ROUNDS = 128, 400, 6
 SUPPORT, SPREAD, TELLING, PENALTIES = 3, 0.8, 0.25, (1.0, 0.1, 10.0)
 WINDOW, STEP = 16, 8
-KEPT = 400_000  # units a worker remembers
+KEPT = 200_000  # units a worker remembers
 FOLDS, HELD_OUT = 5, 0
 SENTENCE = re.compile(r"[.!?\n]+")
 DROPPED = {c: None for c in range(33, 127) if not chr(c).isalnum()}
@@ -160,22 +160,23 @@ def _landmarks(toxic: list[frozenset[str]], other: list[frozenset[str]], count:
     return picked + common[: count - len(picked)], worth
 
 
-def _machine(toxic: list[list[frozenset[str]]], other: list[list[frozenset[str]]], landmarks: int, penalties: Sequence[float]) -> list[Model]:
+def _machine(toxic: list[frozenset[str]], other: list[frozenset[str]], landmarks: int, penalties: Sequence[float]) -> list[Model]:
     """A machine for each penalty, all on the units that the first one's margins choose: of a toxic text the worst unit of its
     worst sentence and those nearly as telling as the most telling one; of other texts the worst unit in turn, and all that were
     the worst before stay, until no new one comes inside the margin."""
-    whole = [[frozenset().union(*s) for s in part] for part in (toxic, other)]
-    marks, worth = _landmarks(*whole, landmarks)
+    marks, worth = _landmarks(toxic, other, landmarks)
     if not marks:
         return []
     kernel = Kernel(marks)
-    kernel.held = {}
     values, vectors = np.linalg.eigh(kernel.features(marks))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # Nyström features are kernel @ root
-    every = sorted(set().union(*whole[0], *whole[1]))
+    every = sorted(set().union(*toxic, *other))
     place = {u: i for i, u in enumerate(every)}
-    rows = [[np.array([place[u] for u in d], dtype=np.int64) for d in part] for part in whole]
+    rows = [[np.array([place[u] for u in d], dtype=np.int32) for d in part] for part in (toxic, other)]
+    positives, negatives = Counter(), Counter(place[u] for u in marks if not worth.get(u) and u in place)
+    del place
+    norms = kernel.all_norms(every)
     tell = np.array([worth.get(u, 0.0) for u in every])
     most = [i for r in rows[0] if len(r) and tell[r].max() > 0 for i in r[tell[r] >= TELLING * tell[r].max()].tolist()]
     known: dict[int, np.ndarray] = {}
@@ -190,11 +191,11 @@ def _machine(toxic: list[list[frozenset[str]]], other: list[list[frozenset[str]]
         w, bias = _squared_hinge(np.array([known[i] for i in chosen]), y, weight, penalty)
         return Model(marks, root @ w, bias)
 
-    positives, negatives = Counter(most), Counter(place[u] for u in marks if not worth.get(u))
+    positives.update(most)
     seen = [r[tell[r] > 0] for r in rows[0] if len(r) and tell[r].max() > 0]
     for _ in range(ROUNDS):
         model = fitted(penalties[0])
-        margin = kernel.combined(every, model.coefficients) + model.bias
+        margin = kernel.combined(every, model.coefficients, norms) + model.bias
         worst = Counter(int(r[np.argmax(margin[r])]) for r in rows[1] if len(r))
         new = {i: n for i, n in worst.items() if margin[i] > -1 and n > negatives[i]}
         if not new:
@@ -212,18 +213,18 @@ def fit(labelled: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
         return Model(constant=float(toxic.mean()) if len(toxic) else 0.0)
     one: dict[str, str] = {}  # equal units share one string
     held = lambda s: frozenset(one.setdefault(u, u) for u in s)
-    sentences = [[held(s) for s in map(units, SENTENCE.split(t)) if s] for t, _ in labelled]
+    texts_ = [held(set().union(*map(units, SENTENCE.split(t)))) for t, _ in labelled]  # a text's units are those of its sentences
     inner = np.array([crc32(t.encode()) % 4 == 0 for t, _ in labelled])
     if min(toxic[inner].sum(), (~toxic[inner]).sum(), toxic[~inner].sum(), (~toxic[~inner]).sum()) == 0:
         inner[:] = False
-    of = lambda choice: [s for s, c in zip(sentences, choice, strict=True) if c]
+    of = lambda choice: [s for s, c in zip(texts_, choice, strict=True) if c]
     models = _machine(of(toxic & ~inner), of(~toxic & ~inner), landmarks, PENALTIES)
     if not models:
         return Model(constant=float(toxic.mean()))
     judged = inner if inner.any() else ~inner
     y, best = toxic[judged].astype(float), None
     for model in models:
-        margins = np.array(model.margins([frozenset().union(*s) for s in of(judged)]))
+        margins = np.array(model.margins(of(judged)))
         model.slope, model.intercept = _logistic(margins, y)
         p = np.clip(1 / (1 + np.exp(-np.clip(model.slope * margins + model.intercept, -30, 30))), 1e-9, 1 - 1e-9)
         loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
