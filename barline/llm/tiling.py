@@ -3,9 +3,9 @@
 Texts are words: ASCII letters lower-cased, other ASCII characters but digits separate words, everything else belongs to them.
 Seeds are the hashes of all runs of ``SEED_WORDS`` words, by one running Karp-Rabin hash over the bytes of a block of texts.
 The seeds of the benchmark set bits of a filter of fixed size; documents that hit it are joined to the benchmark on the seed
-itself. Pairs that share too few seed places to reach the threshold leave. Each other pair is tiled: the longest common runs
-of unmarked words are found with Karp-Rabin hashes of word windows, marked longest first and without overlap, and the search
-goes on with shorter windows down to ``SEED_WORDS``. The share of the item's words under tiles is its coverage, whatever the
+itself. Pairs that share too few seed places to reach the threshold leave. Each other pair is tiled: the common runs of
+unmarked words are found with Karp-Rabin hashes of word windows, marked longest first and without overlap, and the search goes on
+with shorter windows down to ``SEED_WORDS``; the tiles are those of a plain greedy search. The share of the item's words under tiles is its coverage, whatever the
 order of the passages in the document.
 
 A null text is empty; texts and items of fewer than ``SEED_WORDS`` words match nothing; repeated rows are judged one by one;
@@ -14,6 +14,7 @@ ids may repeat or be null; empty tables give an empty result; a long text is one
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from barline.llm.common import blocks, texts
 from barline.session import written
 
 SEED_WORDS, COVERAGE = 5, 0.5
+PAIRS = 1 << 20  # places of equal hash looked at together
 SLICE = 100_000  # words whose running sums are held at a time
 FILTER_BITS = 24  # the filter is 2 MiB at any size of the benchmark
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
@@ -149,44 +151,90 @@ def seeded(source: DataFrame, bits: np.ndarray) -> DataFrame:
     return source.select("row", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"row long, doc_id {kind}, text binary, seeds array<long>")
 
 
+def _free_runs(free: np.ndarray) -> np.ndarray:
+    """Free words from each place on until the next marked one."""
+    n = len(free)
+    ends = np.where(free, n, np.arange(n))
+    return np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n)
+
+
+def _candidates(text: np.ndarray, item: np.ndarray, sums: tuple[np.ndarray, np.ndarray], runs: tuple[np.ndarray, np.ndarray], size: int, roller: Roller) -> np.ndarray:
+    """Rows (words, text place, item place) of the free common runs of ``size`` words or more that cannot be extended, longest first, then from the left."""
+    (sum_t, sum_i), (run_t, run_i) = sums, runs
+    at_t, at_i = np.flatnonzero(run_t >= size), np.flatnonzero(run_i >= size)
+    hash_t, hash_i = roller.slices(sum_t, at_t, at_t + size), roller.slices(sum_i, at_i, at_i + size)
+    order = np.argsort(hash_i, kind="stable")
+    hash_i, at_i = hash_i[order], at_i[order]
+    first, last = np.searchsorted(hash_i, hash_t, side="left"), np.searchsorted(hash_i, hash_t, side="right")
+    hits = np.flatnonzero(last > first)
+    found = []
+    ends = np.cumsum((last - first)[hits])
+    begin = 0
+    while begin < len(hits):
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, side="right")))
+        part = hits[begin:stop]
+        n = (last - first)[part]
+        t = np.repeat(at_t[part], n)
+        p = at_i[np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        inside = (t > 0) & (p > 0) & (text[t - 1] == item[p - 1]) & (run_t[t - 1] > 0) & (run_i[p - 1] > 0)  # of a run that begins earlier
+        t, p = t[~inside], p[~inside]
+        low, high = np.full(len(t), size), np.minimum(run_t[t], run_i[p])
+        while len(t) and (low < high).any():  # the length by bisection over the running hashes
+            middle = (low + high + 1) // 2
+            same = roller.slices(sum_t, t, t + middle) == roller.slices(sum_i, p, p + middle)
+            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        found.append(np.stack([low, t, p], axis=1))
+        begin = stop
+    every = np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
+    return every[np.lexsort((every[:, 2], every[:, 1], -every[:, 0]))]
+
+
 def tile(text: np.ndarray, item: np.ndarray, roller: Roller, shortest: int = SEED_WORDS) -> list[tuple[int, int, int]]:
-    """Greedy tiles (text place, item place, words) of two word-number sequences, longest first."""
+    """Greedy tiles (text place, item place, words) of two word-number sequences, longest first, then from the left.
+
+    All free common runs as long as the window are known at once, so they are marked in order; what an earlier tile leaves of one
+    goes back into the queue if it is still as long as the window, else a shorter window finds it.
+    """
     open_t, open_i = np.ones(len(text), dtype=bool), np.ones(len(item), dtype=bool)
-    sum_t, sum_i = roller.sums(text), roller.sums(item)
+    sums = roller.sums(text), roller.sums(item)
     tiles: list[tuple[int, int, int]] = []
     size = min(len(text), len(item))
-
-    def windows(sums: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        used = np.concatenate([[0], np.cumsum(~free)])
-        at = np.flatnonzero(used[size:] == used[:-size])
-        return at, roller.slices(sums, at, at + size)
-
     while size >= shortest:
-        at_i, hash_i = windows(sum_i, open_i)
-        places: dict[int, list[int]] = {}
-        for p, h in zip(at_i.tolist(), hash_i.tolist(), strict=True):
-            places.setdefault(h, []).append(p)
-        at_t, hash_t = windows(sum_t, open_t)
-        hits = np.flatnonzero(np.isin(hash_t, hash_i))
-        matches = []
-        for t, h in zip(at_t[hits].tolist(), hash_t[hits].tolist(), strict=True):
-            for p in places[h]:
-                if t and p and text[t - 1] == item[p - 1] and open_t[t - 1] and open_i[p - 1]:
-                    continue  # inside a longer match
-                n = 0
-                while t + n < len(text) and p + n < len(item) and text[t + n] == item[p + n] and open_t[t + n] and open_i[p + n]:
-                    n += 1
-                if n >= size:  # else two windows of one hash
-                    matches.append((-n, t, p))
-        marked = False
-        for n, t, p in sorted(matches):
-            if open_t[t : t - n].all() and open_i[p : p - n].all():
+        runs = _free_runs(open_t), _free_runs(open_i)
+        longest = min(int(runs[0].max()), int(runs[1].max()))
+        if longest < size:
+            size = longest
+            continue
+        every = _candidates(text, item, sums, runs, size, roller)
+        queue: list[tuple[int, int, int]] = []
+        at, failed, patience = 0, 0, 64
+        while at < len(every) or queue:
+            ahead = (-int(every[at, 0]), int(every[at, 1]), int(every[at, 2])) if at < len(every) else None
+            if ahead is not None and (not queue or ahead < queue[0]):
+                n, t, p = ahead
+                at += 1
+            else:
+                n, t, p = heapq.heappop(queue)
+            free = open_t[t : t - n] & open_i[p : p - n]
+            if free.any():
+                free &= text[t : t - n] == item[p : p - n]  # else words of one hash
+            if free.all():
                 open_t[t : t - n] = open_i[p : p - n] = False
                 tiles.append((t, p, -n))
-                marked = True
-        if not marked:  # what is left of overlapped matches is found again before the windows shrink
-            size = size - 1 if size <= 2 * shortest else max(2 * shortest, size // 2)
-        # a match longer than the windows came first in the order, so shrinking by halves loses no greedy choice
+                if not open_i.any():
+                    return tiles
+                continue
+            failed += 1
+            if failed == patience:  # of many places of one run most fall with the first: leave those without room for a window
+                every, at, failed, patience = every[at:], 0, 0, 2 * patience
+                room_t, room_i = (np.concatenate([[0], np.cumsum(o)]) for o in (open_t, open_i))
+                lengths, in_t, in_i = every.T
+                every = every[(room_t[in_t + lengths] - room_t[in_t] >= size) & (room_i[in_i + lengths] - room_i[in_i] >= size)]
+            edge = np.diff(np.concatenate([[0], free.astype(np.int8), [0]]))
+            for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+                if b - a >= size:
+                    heapq.heappush(queue, (a - b, t + a, p + a))
+        size = size - 1 if size <= 2 * shortest else max(2 * shortest, size // 2)
     return tiles
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 
@@ -11,9 +12,14 @@ from barline.llm import tiling
 
 
 def plain_coverage(text: str, item: str, least: int = 5) -> int:
-    """Words of the item under greedy tiles, by comparing all places."""
+    """Words of the item under greedy tiles."""
     a, b = ([w for w in re.split(r"[^a-z0-9\x80-\U0010ffff]+", x.lower()) if w] for x in (text, item))
-    free_a, free_b, total = [True] * len(a), [True] * len(b), 0
+    return sum(n for _, _, n in plain_tiles(a, b, least))
+
+
+def plain_tiles(a: list, b: list, least: int = 5) -> list[tuple[int, int, int]]:
+    """Greedy tiles by comparing all places."""
+    free_a, free_b, tiles = [True] * len(a), [True] * len(b), []
     while True:
         best = (0, 0, 0)
         for i in range(len(a)):
@@ -24,8 +30,8 @@ def plain_coverage(text: str, item: str, least: int = 5) -> int:
                 best = max(best, (n, -i, -j))
         n, i, j = best[0], -best[1], -best[2]
         if n < least:
-            return total
-        total += n
+            return tiles
+        tiles.append((i, j, n))
         free_a[i : i + n] = [False] * n
         free_b[j : j + n] = [False] * n
 
@@ -65,10 +71,22 @@ def test_matches_equal_plain_search(spark):
     assert got == sorted(want)
 
 
-def test_tiles_of_repetitive_text_are_long_and_apart():
-    text, item = np.zeros(3000, dtype=np.int64), np.zeros(40, dtype=np.int64)
-    tiles = tiling.tile(text, item, tiling.Roller())
-    assert tiles == [(0, 0, 40)]
+def test_tiles_of_few_words_are_those_of_a_plain_search(monkeypatch):
+    rng, roller = random.Random(1), tiling.Roller()
+    monkeypatch.setattr(tiling, "PAIRS", 7)  # many parts
+    for _ in range(2000):
+        letters = rng.choice([1, 2, 3, 4])
+        text, item = ([rng.randrange(letters) for _ in range(rng.randint(0, n))] for n in (45, 40))
+        least = rng.choice([2, 3, 5])
+        assert tiling.tile(np.array(text, dtype=np.int64), np.array(item, dtype=np.int64), roller, least) == plain_tiles(text, item, least)
+
+
+def test_tiles_of_repetitive_text_are_found_in_seconds():
+    text, roller = np.zeros(1_000_000, dtype=np.int64), tiling.Roller()
+    begun = time.process_time()
+    assert tiling.tile(text, np.zeros(300, dtype=np.int64), roller) == [(0, 0, 300)]
+    assert tiling.tile(text, np.array([0] * 150 + [1] + [0] * 149), roller) == [(0, 0, 150), (150, 151, 149)]
+    assert time.process_time() - begun < 60
 
 
 def test_empty_tables(spark):
