@@ -2,8 +2,8 @@ r"""Linking of quotations in conversations, with DataFrame functions only.
 
 A line's quote level is the number of ``>`` it begins with, spaces between them aside. Lines of one level in a row, blank ones
 apart, are a passage, at level 0 one of the message's own. A passage is normalised (lower case, runs of white space one space)
-and hashed; an own passage is known by the whole of it and by each line. A quoted passage or line of at least ``LEAST``
-characters links to the first earlier message of its conversation with that hash, else to the first message anywhere before it
+and hashed; an own passage is known by the whole of it and by each line. A quoted passage or line links to the first earlier
+message of its conversation with that hash, else, with at least ``LEAST`` characters, to the first message anywhere before it
 in the order of (conversation, turn). Of the linked messages a message answers the one met at its lowest quote level, by most
 hashes, then in its own conversation, then the latest. Answers are followed to a message that answers none, whose conversation
 is the thread. Messages stand in a thread in the order of (conversation, turn), so after what they answer.
@@ -43,7 +43,7 @@ def _normal(c: Column) -> Column:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, level, hash``: the normalised passages and lines of each message; ``messages`` has a ``row``."""
+    """``conv_id, turn, level, hash, long``: the normalised passages and lines of each message; ``messages`` has a ``row``."""
     line = messages.select("row", "conv_id", "turn", F.posexplode(_lines()).alias("i", "line"))
     parsed = line.select(
         "row", "conv_id", "turn", "i",
@@ -55,7 +55,7 @@ def passages(messages: DataFrame) -> DataFrame:
     placed = parsed.withColumn("begins", begins.cast("int")).withColumn("passage", F.sum("begins").over(in_order)).where("body <> ''")
     whole = placed.groupBy("row", "conv_id", "turn", "level", "passage").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "body"))), lambda x: x["body"]), " ").alias("body"))
     single = placed.select("row", "conv_id", "turn", "level", "passage", "body")
-    return whole.unionByName(single).where(F.length("body") >= LEAST).select("conv_id", "turn", "level", F.md5("body").alias("hash")).distinct()
+    return whole.unionByName(single).select("conv_id", "turn", "level", F.md5("body").alias("hash"), (F.length("body") >= LEAST).alias("long")).distinct()
 
 
 def answers(found: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def answers(found: DataFrame) -> DataFrame:
     known = found.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     own, quoted = known.where("level = 0"), known.where("level > 0")
     here = own.groupBy("hash", "conv_id").agg(F.min("turn").alias("here_turn"))
-    anywhere = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    anywhere = own.where("long").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     met = quoted.join(here, ["hash", "conv_id"], "left").join(anywhere, "hash", "left")
     local = F.col("here_turn") < F.col("turn")
     before = F.col("first") < F.struct("conv_id", "turn")
@@ -119,14 +119,14 @@ l AS (SELECT row, conv_id, turn, unnest(string_split(text, chr(10))) AS line, ge
 p AS (SELECT row, conv_id, turn, i, length(regexp_replace(regexp_extract(line, '{PREFIX}'), '[^>]', '', 'g')) AS level, {normal.format(f"regexp_replace(line, '{PREFIX}', '')")} AS body FROM l),
 b AS (SELECT *, CASE WHEN body = '' OR lag(body, 1, '') OVER w = '' OR lag(level, 1, -1) OVER w <> level THEN 1 ELSE 0 END AS begins FROM p WINDOW w AS (PARTITION BY row ORDER BY i)),
 g AS (SELECT *, sum(begins) OVER (PARTITION BY row ORDER BY i) AS passage FROM b),
-f AS (SELECT DISTINCT conv_id, turn, level, md5(body) AS hash FROM (
+f AS (SELECT DISTINCT conv_id, turn, level, md5(body) AS hash, length(body) >= {LEAST} AS long FROM (
         SELECT row, conv_id, turn, level, string_agg(body, ' ' ORDER BY i) AS body FROM g WHERE body <> '' GROUP BY row, conv_id, turn, level, passage
-        UNION ALL SELECT row, conv_id, turn, level, body FROM g WHERE body <> '') AS x WHERE length(body) >= {LEAST} AND conv_id IS NOT NULL AND turn IS NOT NULL),
+        UNION ALL SELECT row, conv_id, turn, level, body FROM g WHERE body <> '') AS x WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 met AS (SELECT q.conv_id, q.turn, q.level, q.hash,
                CASE WHEN h.turn < q.turn THEN q.conv_id WHEN (a.c, a.t) < (q.conv_id, q.turn) THEN a.c END AS up_conv,
                CASE WHEN h.turn < q.turn THEN h.turn WHEN (a.c, a.t) < (q.conv_id, q.turn) THEN a.t END AS up_turn
         FROM f AS q LEFT JOIN (SELECT hash, conv_id, min(turn) AS turn FROM f WHERE level = 0 GROUP BY hash, conv_id) AS h ON h.hash = q.hash AND h.conv_id = q.conv_id
-        LEFT JOIN (SELECT hash, c, t FROM (SELECT hash, conv_id AS c, turn AS t, row_number() OVER (PARTITION BY hash ORDER BY conv_id, turn) AS k FROM f WHERE level = 0) AS o WHERE k = 1) AS a ON a.hash = q.hash
+        LEFT JOIN (SELECT hash, c, t FROM (SELECT hash, conv_id AS c, turn AS t, row_number() OVER (PARTITION BY hash ORDER BY conv_id, turn) AS k FROM f WHERE level = 0 AND long) AS o WHERE k = 1) AS a ON a.hash = q.hash
         WHERE q.level > 0),
 v AS (SELECT conv_id, turn, level, up_conv, up_turn, count(DISTINCT hash) AS n FROM met WHERE up_conv IS NOT NULL GROUP BY ALL),
 links AS (SELECT conv_id, turn, up_conv, up_turn FROM (

@@ -63,3 +63,9 @@ def test_random_conversations(spark):
 
 def test_empty_table(spark):
     assert quotes.linked(spark.createDataFrame([], FORM)).collect() == []
+
+
+def test_short_quotes_link_within_their_conversation_only(spark):
+    rows = [(1, 0, "user", "Yes, do it"), (1, 1, "user", "something else entirely"), (1, 2, "assistant", "> Yes, do it\nDone."), (2, 0, "user", "> Yes, do it\nNot here."), (2, 1, "user", "Yes, do it"), (2, 2, "user", ">> do it\n> Yes, do it\nHere.")]
+    got = {(r["conv_id"], r["turn"]): (r["up_conv"], r["up_turn"], r["depth"]) for r in agree(spark, rows)}
+    assert got[1, 2] == (1, 0, 1) and got[2, 0] == (None, None, 0) and got[2, 2] == (2, 1, 1)
