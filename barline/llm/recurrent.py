@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 STEPS, LANES = 32, 256
+WIDE = 1024  # lanes where nothing is learnt
 
 
 @dataclass(frozen=True)
@@ -102,18 +103,27 @@ class Model:
         n, a = x.shape
         k, p = self.shape.hidden, self.p
         ax = p["input"][x]
-        s = {name: np.empty((n, a, k), dtype=np.float32) for name in ("prev", "z", "r", "n", "gn", "h")}
+        ax[:, :, : 2 * k] *= 0.5  # the gates are logistic: half a hyperbolic tangent of half the sum
+        state = p["state"].copy()
+        state[:, : 2 * k] *= 0.5
+        s = {name: np.empty((n, a, k), dtype=np.float32) for name in ("prev", "n", "h")}
+        s["zr"], s["g"] = np.empty((n, a, 2 * k), dtype=np.float32), np.empty((n, a, 3 * k), dtype=np.float32)
         keep = (~reset).astype(np.float32)
         for t in range(n):
-            h = h * keep[t][:, None]
-            g = h @ p["state"]
-            zr = ax[t, :, : 2 * k] + g[:, : 2 * k]
-            zr = np.tanh(0.5 * zr) * 0.5 + 0.5
-            z, r, gn = zr[:, :k], zr[:, k:], g[:, 2 * k :]
-            c = np.tanh(ax[t, :, 2 * k :] + r * gn)
-            s["prev"][t], s["z"][t], s["r"][t], s["n"][t], s["gn"][t] = h, z, r, c, gn
-            h = c + z * (h - c)
-            s["h"][t] = h
+            prev, zr, g, c, out = s["prev"][t], s["zr"][t], s["g"][t], s["n"][t], s["h"][t]
+            np.multiply(h, keep[t][:, None], out=prev)
+            np.matmul(prev, state, out=g)
+            np.add(ax[t, :, : 2 * k], g[:, : 2 * k], out=zr)
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            np.multiply(zr[:, k:], g[:, 2 * k :], out=c)
+            c += ax[t, :, 2 * k :]
+            np.tanh(c, out=c)
+            np.subtract(prev, c, out=out)
+            out *= zr[:, :k]
+            out += c
+            h = out
         s["keep"], s["last"] = keep, h
         return s
 
@@ -155,19 +165,22 @@ class Model:
         logit = h @ p["to_class"] + p["class_bias"]
         chosen = logit[rows, cls]
         e = np.exp(logit, out=logit)
-        total = e.sum(axis=1)
+        total = e @ np.ones(e.shape[1], dtype=np.float32)
         out = chosen - np.log(total)
         dh = None
         if grads is not None:
             e /= total[:, None]
             e[rows, cls] -= 1
             grads["to_class"] += h.T @ e
-            grads["class_bias"] += e.sum(axis=0)
+            grads["class_bias"] += np.ones(len(e), dtype=np.float32) @ e
             dh = e @ p["to_class"].T
         at = np.flatnonzero(word)
-        at = at[np.argsort(cls[at], kind="stable")]
-        edges = np.searchsorted(cls[at], np.arange(shape.classes + 1))
+        short = cls[at].astype(np.int16)  # such numbers are sorted by radix
+        at = at[np.argsort(short, kind="stable")]
+        edges = np.cumsum(np.bincount(short, minlength=shape.classes)[: shape.classes])
+        edges = np.concatenate([[0], edges])
         hs, inner = h[at], target[at] % shape.width
+        ones, many = np.ones(shape.width, dtype=np.float32), np.ones(len(at), dtype=np.float32)
         for c in range(shape.classes):
             a, b = edges[c], edges[c + 1]
             if a == b:
@@ -177,13 +190,13 @@ class Model:
             r = np.arange(b - a)
             chosen = logit[r, w]
             e = np.exp(logit, out=logit)
-            total = e.sum(axis=1)
+            total = e @ ones
             out[at[a:b]] += chosen - np.log(total)
             if grads is not None:
                 e /= total[:, None]
                 e[r, w] -= 1
                 grads["to_word"][c] += own.T @ e
-                grads["word_bias"][c] += e.sum(axis=0)
+                grads["word_bias"][c] += many[: b - a] @ e
                 dh[at[a:b]] += e @ p["to_word"][c].T
         return out, dh
 
@@ -191,7 +204,7 @@ class Model:
         """Natural log probability of the codes of each whole text."""
         sums = np.zeros(len(codes))
         h = None
-        for x, reset, target, text, real, active in self._windows(codes):
+        for x, reset, target, text, real, active in self._windows(codes, WIDE):
             h = np.zeros((active, self.shape.hidden), dtype=np.float32) if h is None else h[:active]
             states = self._states(x, reset, h)
             h = states[-1]
@@ -231,21 +244,31 @@ class Model:
     def _backward(self, x: np.ndarray, s: dict, into: np.ndarray, g: dict) -> None:
         """Gradients of the recurrent part, back through the window."""
         k, state = self.shape.hidden, self.p["state"]
+        turned = np.ascontiguousarray(state.T)
+        z, r, c = s["zr"][:, :, :k], s["zr"][:, :, k:], s["n"]
+        # what each error is multiplied with, for the whole window at once
+        to_c = (1 - z) * (1 - c * c)
+        to_z = (s["prev"] - c) * z * (1 - z)
+        to_r = s["g"][:, :, 2 * k :] * r * (1 - r)
         dax = np.empty((*x.shape, 3 * k), dtype=np.float32)
+        dg = np.empty((*x.shape, 3 * k), dtype=np.float32)
         dh = np.zeros_like(into[0])
+        back = np.empty_like(dh)
         for t in range(len(x) - 1, -1, -1):
-            prev, z, r, c = s["prev"][t], s["z"][t], s["r"][t], s["n"][t]
-            dh = dh + into[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            d = dax[t]
-            d[:, :k] = dh * (prev - c) * z * (1 - z)
-            d[:, k : 2 * k] = dc * s["gn"][t] * r * (1 - r)
-            d[:, 2 * k :] = dc
-            dg = d.copy()
-            dg[:, 2 * k :] *= r
-            g["state"] += prev.T @ dg
-            dh = (dh * z + dg @ state.T) * s["keep"][t][:, None]
-        codes, rows = x.ravel(), dax.reshape(-1, 3 * k)
+            dh += into[t]
+            d, e = dax[t], dg[t]
+            dc = d[:, 2 * k :]
+            np.multiply(dh, to_c[t], out=dc)
+            np.multiply(dh, to_z[t], out=d[:, :k])
+            np.multiply(dc, to_r[t], out=d[:, k : 2 * k])
+            e[:, : 2 * k] = d[:, : 2 * k]
+            np.multiply(dc, r[t], out=e[:, 2 * k :])
+            np.matmul(e, turned, out=back)
+            dh *= z[t]
+            dh += back
+            dh *= s["keep"][t][:, None]
+        g["state"] += s["prev"].reshape(-1, k).T @ dg.reshape(-1, 3 * k)
+        codes, rows = x.ravel().astype(np.int16 if self.shape.codes < 2**15 else np.int32), dax.reshape(-1, 3 * k)
         order = np.argsort(codes, kind="stable")
         own = codes[order]
         edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
