@@ -35,10 +35,27 @@ def as_feed(t: Tables) -> str:
 @query("s1_feed_lines", BAR, "SELECT * FROM x_hbars")
 def s1(t: Tables) -> DataFrame:
     path = as_feed(t)
-    lines = feeds.feed_lines(t.spark, path + "/flat").unionByName(feeds.feed_lines(t.spark, path + "/nested"))
+    lines = feeds.good_feeds(t.spark, path + "/flat").unionByName(feeds.good_feeds(t.spark, path + "/nested"))
     return feeds.feed_bars(lines)
 
 
+@query(
+    "s1_feed_report", "pair rows:i reason",
+    """SELECT pair, count(*) AS rows, NULL AS reason FROM x_hbars GROUP BY 1 UNION ALL SELECT 'twice ' || pair, count(*) + 1, 'duplicate timestamps' FROM x_hbars GROUP BY pair
+UNION ALL SELECT 'empty ' || pair, 0, 'no bars' FROM x_hbars GROUP BY pair""",
+)
+def s1b(t: Tables) -> DataFrame:
+    """The feeds of all pairs, beside feeds whose first bar comes again in a chunk of its own, and feeds of chunks without bars."""
+    path = as_feed(t)
+    bars = t.hourly().select("pair", F.unix_millis("ts").alias("timestamp"), *feeds.PRICES)
+    first = bars.groupBy("pair").agg(F.min_by(F.struct("timestamp", *feeds.PRICES), "timestamp").alias("b"))
+    named = lambda d, word: d.withColumn("pair", F.concat_ws(" ", F.lit(word), "pair"))
+    named(bars, "twice").write.json(path + "/twice/flat")
+    named(first.select("pair", F.array("b").alias("bars")), "twice").write.json(path + "/twice/again")
+    named(first.select("pair", F.slice(F.array("b"), 1, 0).alias("bars")), "empty").write.json(path + "/empty")
+    return feeds.feed_report(t.spark, f"{path}/{{flat,nested,empty}}").unionByName(feeds.feed_report(t.spark, path + "/twice/*"))
+
+
 @query(
     "s2_csv_bars", "pair timestamp:i open:d high:d low:d close:d volume:d",
     """SELECT pair, epoch_us(ts) // 1000 AS timestamp, bid_open AS open, bid_high AS high, bid_low AS low, bid_close AS close,

@@ -22,12 +22,34 @@ FEED_SCHEMA = T.StructType(
 )
 
 
-def feed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Feed JSON lines, with a bar per line or bars nested in a chunk; malformed lines fail the read."""
+def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, Column]:
+    """Raw lines and the bars of each: its chunk, or the line itself."""
     raw = spark.read.schema(FEED_SCHEMA).option("mode", "FAILFAST").json(path)
     flat = F.struct(*[F.col(f.name) for f in _BAR])
-    one = F.coalesce(F.col("bars"), F.array(flat))
-    return raw.select("pair", F.explode(one).alias("b")).select("pair", "b.*")
+    return raw, F.coalesce(F.col("bars"), F.array(flat))
+
+
+def feed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Feed JSON lines, with a bar per line or bars nested in a chunk; malformed lines fail the read."""
+    raw, bars = _lines(spark, path)
+    return raw.select("pair", F.explode(bars).alias("b")).select("pair", "b.*")
+
+
+def feed_report(spark: SparkSession, path: str) -> DataFrame:
+    """(pair, rows, reason): feeds to reject, those whose chunks hold no bar and those with a time twice; null for good ones."""
+    raw, bars = _lines(spark, path)
+    d = raw.select("pair", F.explode_outer(bars).alias("b")).select("pair", "b.timestamp", F.col("b").isNotNull().alias("_bar"))
+    times = d.groupBy("pair", "timestamp").agg(F.count_if("_bar").alias("_n"))
+    feed = times.groupBy("pair").agg(F.sum("_n").alias("rows"), F.max("_n").alias("_most"))
+    reason = F.when(F.col("rows") == 0, "no bars").when(F.col("_most") > 1, "duplicate timestamps")
+    return feed.select("pair", "rows", reason.alias("reason"))
+
+
+def good_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a path all of whose feeds are good; any other fails the job with its reason."""
+    bad = F.concat_ws(": ", F.lit("rejected feed"), "pair", "reason")
+    fine = feed_report(spark, path).filter(F.when(F.col("reason").isNull(), True).otherwise(F.raise_error(bad).cast("boolean")))
+    return feed_lines(spark, path).join(fine.select("pair"), "pair", "left_semi")
 
 
 def feed_bar_ok() -> Column:
@@ -43,10 +65,6 @@ def feed_bars(lines: DataFrame) -> DataFrame:
     return lines.filter(ok).select("pair", F.timestamp_millis(F.col("timestamp").cast("bigint")).alias("ts"), *PRICES)
 
 
-def duplicate_times(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("pair", "ts").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-
-
 def crossed_report(bars: DataFrame, limit: float = 0.001) -> DataFrame:
     """Rows, crossed rows and their share per pair; a pair above the limit is rejected."""
     r = bars.groupBy("pair").agg(F.count(F.lit(1)).alias("rows"), F.count_if(crossed()).alias("crossed"))

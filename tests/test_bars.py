@@ -41,7 +41,14 @@ def test_feed_shapes_and_rejections(spark, tmp_path):
     good.write_text("\n".join(json.dumps(x) for x in [{"month_start": "2024-01", "bars": [line(2000), line(1000)]}, line(3000)]))
     got = feeds.feed_bars(feeds.feed_lines(spark, str(good)))
     assert sorted(r.ts.second for r in got.collect()) == [1, 2, 3]
-    assert feeds.duplicate_times(got.unionByName(got)).count() == 3
+    named = lambda pair, *lines: "\n".join(json.dumps({"pair": pair, **x}) for x in lines)
+    (tmp_path / "feeds").mkdir()
+    (tmp_path / "feeds" / "a.jsonl").write_text(named("A/B", {"bars": [line(2000), line(1000)]}, line(3000)) + "\n" + named("C/D", {"bars": []}, {"bars": []}))
+    (tmp_path / "feeds" / "b.jsonl").write_text(named("E/F", {"bars": [line(2000)]}, {"bars": []}, line(2000)))
+    report = {r.pair: (r.rows, r.reason) for r in feeds.feed_report(spark, str(tmp_path / "feeds")).collect()}
+    assert report == {"A/B": (3, None), "C/D": (0, "no bars"), "E/F": (2, "duplicate timestamps")}
+    with pytest.raises(Exception, match="rejected feed: (C/D: no bars|E/F: duplicate timestamps)"):
+        feeds.good_feeds(spark, str(tmp_path / "feeds")).collect()
     for i, bad in enumerate([line(1000, bid_high=0.5), line(1000, bid_open=0.0), line(1000.5), line(0), line(1000, ask_low=None)]):
         f = tmp_path / f"bad{i}.jsonl"
         f.write_text(json.dumps(bad))
