@@ -176,4 +176,4 @@ def export(records: DataFrame, checks: DataFrame, per_part: int = 1000) -> DataF
     d = records.join(ok, "session_id").withColumn("part", F.floor((F.col("sequence") - 1) / per_part).cast("bigint"))
     row = F.struct("sequence", "entry", "kind", "previous_hash", "record_hash", "ts")
     g = d.groupBy("session_id", "head_hash", "part").agg(F.array_sort(F.collect_list(row)).alias("records"))
-    return g.select("session_id", "part", F.size("records").alias("n"), F.to_json(F.struct("head_hash", "part", "records", "session_id")).alias("document"))
+    return g.select("session_id", "part", "head_hash", F.size("records").alias("n"), F.to_json(F.struct("head_hash", "part", "records", "session_id")).alias("document"))
