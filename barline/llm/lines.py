@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from barline.llm.common import blocks, texts
+from barline.llm.common import blocks, texts, tidy
 from barline.session import written
 
 MIN_WORDS = 5
@@ -66,7 +66,7 @@ def line_table(source: DataFrame, min_words: int) -> DataFrame:
             )
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"row long, pos long, doc_id {kind}, a long, b long, ahead long, back long")
+    return source.mapInArrow(tidy(run), f"row long, pos long, doc_id {kind}, a long, b long, ahead long, back long")
 
 
 def _ranked(df: DataFrame, first: str, second: str) -> DataFrame:
@@ -136,7 +136,7 @@ def without(rows: DataFrame, runs: DataFrame) -> DataFrame:
 
     joined = rows.join(of_row.hint("shuffle_hash"), "row", "left").select("row", "rest", "text", "runs")
     fields = [StructField("row", LongType()), StructField("rest", rows.schema["rest"].dataType), *StructType.fromDDL("text string, n_lines long, deleted array<struct<start: long, lines: long>>").fields]
-    return joined.mapInArrow(run, StructType(fields))
+    return joined.mapInArrow(tidy(run), StructType(fields))
 
 
 def deduplicated(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

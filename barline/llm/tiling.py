@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import blocks, texts
+from barline.llm.common import blocks, texts, tidy
 from barline.session import written
 
 SEED_WORDS, COVERAGE = 5, 0.5
@@ -148,7 +148,7 @@ def seeded(source: DataFrame, bits: np.ndarray) -> DataFrame:
             take = pa.array(found)
             yield pa.record_batch([batch.column("row").take(take), batch.column("doc_id").take(take), batch.column("text").take(take), pa.array(per, pa.list_(pa.int64()))], names=["row", "doc_id", "text", "seeds"])
 
-    return source.select("row", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"row long, doc_id {kind}, text binary, seeds array<long>")
+    return source.select("row", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), f"row long, doc_id {kind}, text binary, seeds array<long>")
 
 
 def _free_runs(free: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from barline.llm.common import blocks, texts
+from barline.llm.common import blocks, texts, tidy
 from barline.llm.kernel import Kernel
 
 SAMPLE, LONGEST = 2500, 20_000
@@ -267,7 +267,7 @@ def flagged(df: DataFrame, model: Model, text_col: str = "text", score: str = "s
             found = model.scores([t or "" for t in batch.column(text_col).to_pylist()])
             yield pa.record_batch([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, score])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(score, DoubleType())]))
+    return df.mapInArrow(tidy(run), StructType([*df.schema.fields, StructField(score, DoubleType())]))
 
 
 def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
