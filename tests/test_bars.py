@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 
 import pytest
@@ -130,3 +131,13 @@ def test_market_state_needs_61_bars(spark):
     study = Study(interval_s=600)
     assert features.market_states(features.positioned(d, study), study).count() == 1
     assert features.market_states(features.positioned(d.limit(60), study), study).count() == 0
+
+
+def test_votes_on_the_threshold_do_not_depend_on_their_order(spark):
+    buys = [0.9, 0.8, 0.5 + 0.07 * 5]  # 2.55 in all, added in doubles 2.5500000000000003 or 2.55 by order; a sell of 0.85 is a quarter
+    rows = [(d, "BUY", c) for d, order in enumerate(itertools.permutations(buys)) for c in order] + [(d, "SELL", buys[2]) for d in range(6)]
+    votes = spark.createDataFrame(rows, ["d", "direction", "confidence"]).coalesce(1).withColumn("strength", F.lit(1.0))
+    got = ev.expert_consensus(votes, ["d"]).collect()
+    assert {(r.action, r.direction, r.confidence) for r in got} == {("ROUTE", "BUY", 0.75)} and len(got) == 6
+    got = ev.domain_consensus(votes, ["d"], F.lit(1.0)).collect()
+    assert {(r.consensus, r.confidence, len(r.reasons)) for r in got} == {("BUY", 0.75, 0)} and len(got) == 6
