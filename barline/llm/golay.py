@@ -55,6 +55,15 @@ def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big", signed=True)
 
 
+def simhash(values: np.ndarray) -> int:
+    """SimHash of the XXH64 values of a text's shingles."""
+    votes = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(values), 1 << 16):
+        raw = values[i : i + (1 << 16)].astype(">u8").view(np.uint8)
+        votes += np.unpackbits(raw).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(values)).tobytes(), "big", signed=True)
+
+
 def fingerprints(source: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     """``doc_id, fp`` (64 bits as a long) of ``doc_id, text``; narrow."""
 

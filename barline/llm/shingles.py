@@ -1,9 +1,12 @@
 """Near-duplicates by the similarity of texts' word shingles: those linked at a Jaccard similarity of 0.8 or more.
 
 A text's shingles are its runs of five words (split at whitespace, lower case), each as an XXH64 value; a text of fewer words is one
-shingle. Texts with equal sets of shingles are one class. A class has ``BANDS`` keys of ``ROWS`` minimum hashes each; classes
-that share a key are compared by their whole sets, so every link is a true one. A pair at 0.8 shares no key with a probability of
-(1 - 0.8^5)^45 = 2e-8, and of less if it is more alike: that is the only way to miss a link.
+shingle. Texts with equal sets of shingles are one class. Candidates come from two sides, and all are compared by their whole
+sets, so every link is a true one. A class has the SimHash fingerprint of its set; fingerprints within two bits of each other are
+found by their Golay keys (module ``golay``), classes of one fingerprint are compared with the first of them. A pair at 0.8 differs
+in about ten of 64 bits, more than these keys reach, so a class also has ``BANDS`` keys of ``ROWS`` minimum hashes each, and classes
+that share one are compared. A pair at 0.8 shares no such key with a probability of (1 - 0.8^5)^45 = 2e-8, and of less if it is
+more alike: that is the only way to miss a link.
 
 Classes of a key that few share are compared pair by pair, each pair once. The classes of a crowded key are dealt to blocks, and
 each two blocks are compared in one task by an inverted index of their shingles, which yields a spanning forest of the links: no
@@ -23,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barline.llm import golay
 from barline.llm.common import blocks, texts, tidy
 from barline.llm.components import components
 from barline.session import written
@@ -68,18 +72,19 @@ def _decoded(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def sketches(source: DataFrame) -> DataFrame:
-    """``doc_id, digest, n, keys`` of ``doc_id, text``: a digest of the set, its size and its keys; narrow."""
+    """``doc_id, digest, n, keys, fp`` of ``doc_id, text``: a digest of the set, its size, its keys and its fingerprint; narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            digest, n, keys = [], [], []
+            digest, n, keys, fp = [], [], [], []
             for found in _decoded(batch):
                 digest.append(xxhash.xxh128_digest(found.tobytes()))
                 n.append(len(found))
                 keys.append(band_keys(found))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "keys"])
+                fp.append(golay.simhash(found))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(fp, pa.int64())], names=["doc_id", "digest", "n", "keys", "fp"])
 
-    return source.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "doc_id long, digest binary, n long, keys array<long>")
+    return source.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "doc_id long, digest binary, n long, keys array<long>, fp long")
 
 
 def sets(source: DataFrame) -> DataFrame:
@@ -138,15 +143,25 @@ def _tile(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
 
 
+def golay_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of classes ``doc_id, fp``: the first ones of fingerprints that link, and of one fingerprint the first and each other."""
+    first = written(classes.groupBy("fp").agg(F.min("doc_id").alias("first")), "shingle_fingerprints")
+    side = lambda c, d: first.select(F.col("fp").alias(c), F.col("first").alias(d))
+    near = golay.links(first).join(side("a", "u"), "a").join(side("b", "v"), "b").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    same = classes.select("fp", "doc_id").join(first, "fp").where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    return near.union(same)
+
+
 def links(source: DataFrame, classes: DataFrame, crowd: int = CROWD, block_classes: int = BLOCK_CLASSES) -> DataFrame:
-    """Links ``a, b`` between classes ``doc_id, n, keys`` that have the components of all links; ``source`` has their texts."""
+    """Links ``a, b`` between classes ``doc_id, n, keys, fp`` that have the components of all links; ``source`` has their texts."""
     keyed = classes.select(F.explode("keys").alias("key"), "doc_id", "n")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
     shared = written(keyed.join(sizes, "key"), "shingle_keys")
     few = shared.where(F.col("m") <= crowd).select("key", F.col("doc_id").alias("a"), "n")
     other = few.select("key", F.col("a").alias("b"), F.col("n").alias("n_b"))
     size = 5 * F.least("n", "n_b") >= 4 * F.greatest("n", "n_b")
-    pairs = written(few.join(other, "key").where((F.col("a") < F.col("b")) & size).select("a", "b").distinct(), "shingle_pairs")
+    shared_keys = few.join(other, "key").where((F.col("a") < F.col("b")) & size).select("a", "b")
+    pairs = written(golay_pairs(classes).union(shared_keys).distinct(), "shingle_pairs")
     crowded = shared.where(F.col("m") > crowd)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowded.select("doc_id")).distinct()
     held = written(sets(source.join(wanted, "doc_id", "left_semi")), "shingle_sets")
@@ -163,7 +178,7 @@ def near_duplicates(df: DataFrame, id_col: str = "row", text_col: str = "text",
     """``doc_id, component_id`` of each row of distinct long ids: the smallest id reachable over links, the own class included."""
     source = texts(df, id_col, text_col)
     marked = written(sketches(source), "shingle_sketches")
-    classes = written(marked.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("c")).select("digest", "c.doc_id", "c.n", "c.keys"), "shingle_classes")
-    reached = components(links(source, classes.select("doc_id", "n", "keys"), crowd, block_classes))
+    classes = written(marked.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys", "fp")).alias("c")).select("digest", "c.*"), "shingle_classes")
+    reached = components(links(source, classes.drop("digest"), crowd, block_classes))
     named = classes.select("digest", "doc_id").join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component_id"))
     return marked.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")

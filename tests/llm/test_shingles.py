@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from barline.llm import shingles
+from barline.llm import golay, shingles
 
 FORM = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -65,3 +68,17 @@ def test_stage_drops_edited_copies(spark):
     rows = [(i, " ".join(w), "en", "s", 1) for i, w in ((3, base), (1, edited), (2, other), (4, [*base, "end"]))]
     kept = corpus_pipeline.copies_out(spark, spark.createDataFrame(rows, FORM), "").collect()
     assert sorted(r.doc_id for r in kept) == [1, 2]
+
+
+def test_golay_keys_alone_give_candidates(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(8000)]
+    texts = [base, [*base[:4000], "edited", *base[4001:]], [*base, "end"], [f"w{rng.randrange(50_000)}" for _ in range(8000)]]
+    source = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    classes = shingles.sketches(source).withColumn("keys", F.array().cast("array<long>"))  # no minimum hashes
+    fps = [r.fp for r in classes.orderBy("doc_id").collect()]
+    near = {(i, j) for i in range(4) for j in range(i + 1, 4) if (fps[i] ^ fps[j]).bit_count() <= 2}
+    assert (0, 2) in near and all(j < 3 for _, j in near)
+    found = {(r.a, r.b) for r in shingles.links(source, classes).collect()}
+    assert found == near
+    assert fps[0] == golay.simhash(shingles.shingles(" ".join(base))) and golay.simhash(np.zeros(0, np.uint64)) == 0
