@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from barline.llm.common import blocks, texts, tidy
+from barline.llm.common import blocks, give_back, texts, tidy
 from barline.llm.kernel import Kernel
 
 SAMPLE, LONGEST = 2500, 20_000
@@ -257,6 +257,13 @@ def training_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return rows
 
 
+def fitted(df: DataFrame, labels: DataFrame) -> Model:
+    """``fit(training_rows(...))``, after which the driver gives back what the sample and the fit needed."""
+    model = fit(training_rows(df, labels))
+    give_back()
+    return model
+
+
 def flagged(df: DataFrame, model: Model, text_col: str = "text", score: str = "score") -> DataFrame:
     """``df`` with the column ``score``; narrow. ``text_col`` is a string; a null counts as empty and stays null."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # some hundred numbers and strings

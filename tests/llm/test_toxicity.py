@@ -108,3 +108,13 @@ def test_short_units_and_other_scripts_are_told():
         docs.append((" ".join(text), int(i % 3 == 0)))
     model = toxicity.fit(docs)
     assert rates(model, docs) == (1.0, 0.0)
+
+
+def test_a_fit_that_gives_memory_back_is_the_same(spark):
+    docs, labels = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(5)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int").repartition(3)
+    here, there = toxicity.fit(toxicity.training_rows(df, known)), toxicity.fitted(df, known)
+    texts = [t or "" for _, t, _, _ in docs]
+    assert np.allclose(there.scores(texts), here.scores(texts), atol=1e-9)
+    assert toxicity.fitted(df, known.limit(0)).scores(["x"]) == [0.0]
