@@ -10,8 +10,8 @@ two, which need no padding.
 A sequence never leaves its task: a task that runs again after a lost executor gives the same documents whole sequences
 again. Their ids hold the number of the partition above bit 33.
 
-Ids are the library's: a text is cut at spaces, tabs and line ends, which no pre-token and no special string crosses, and each
-distinct word is remembered by the task. A null or empty text is the end id alone; repeated rows are packed as often as they
+Ids are the library's: a text is cut at spaces, tabs and line ends, which no pre-token and no special string crosses, plain text
+also around full stops and commas that stand by themselves, and each distinct word is remembered by the task. A null or empty text is the end id alone; repeated rows are packed as often as they
 occur; an empty table gives an empty result; a text of any length is taken whole.
 """
 
@@ -22,6 +22,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, count, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,13 @@ WINDOW = 4096
 END = 2
 POOL = 1 << 22  # tokens packed at a time: 16 MB of ids
 KEPT = 96 << 20  # bytes of words and ids that either generation of remembered words may take
-# How the vocabulary's pre-tokenizer cuts lower-case text, for printable ASCII; the longest special string's beginning.
-CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# How the vocabulary's pre-tokenizer cuts lower-case text, for printable ASCII and the letters of Latin-1; how the last id
+# of a pre-token ends, and no other; the longest special string's beginning.
+PLAIN = re.compile("[ -~\n\t\rÀ-ÖØ-öø-ÿ]*")
+CUT = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^ \n\t\ra-zß-öø-ÿ0-9]+")
+JOINED = re.compile(r"[^ \n\t\ra-zß-öø-ÿ0-9][.,]|[.,][^ \n\t\ra-zß-öø-ÿ0-9]")  # a mark that is not a pre-token by itself
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+SUFFIX = "</w>"
 SPECIAL = "<|"
 APART = "<|startoftext|>"
 
@@ -43,7 +50,9 @@ APART = "<|startoftext|>"
 class Words:
     """Ids of texts as little-endian unsigned 32-bit integers, by their distinct words.
 
-    Words of printable ASCII are made of pre-tokens that are remembered in turn; other words go to the library as they are.
+    Texts of printable ASCII and letters of Latin-1 are taken in lower case, with full stops and commas as words of their own, or
+    else by pre-tokens where such a mark touches another. Words of these characters are made of pre-tokens, which are
+    remembered in turn; other words go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -52,60 +61,90 @@ class Words:
 
         self.library = Tokenizer.from_file(path)
         self.apart = self.library.token_to_id(APART)
+        entries = self.library.get_vocab()
+        self.last = np.zeros(max(entries.values()) + 1, dtype=bool)
+        self.last[[i for entry, i in entries.items() if entry.endswith(SUFFIX)]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
 
     def learn(self, words: set[str]) -> None:
         """Encode words not met yet; what has not been used since the last but one generation is forgotten."""
-        known = self.known
-        plain, other = {}, []
+        known, older = self.known, self.older
+        plain, other, parts = {}, [], set()
         for w in words:
-            ids = self.older.get(w)
+            ids = older.get(w)
             if ids is not None:
-                self._hold(w, ids)
-            elif w.isascii() and w.isprintable() and SPECIAL not in w:
+                self._hold([w], [ids])
+            elif LETTERS.fullmatch(w):
+                parts.add(w)
+            elif SPECIAL not in w and PLAIN.fullmatch(w):
                 plain[w] = CUT.findall(w.lower())
             else:
                 other.append(w)
-        parts = {p for cut in plain.values() for p in cut if p not in known}
-        for p in parts & self.older.keys():
-            self._hold(p, self.older[p])
-        self._encode([*other, *(p for p in parts if p not in known)])
-        for w, cut in plain.items():
-            if w not in known:
-                self._hold(w, b"".join([known[p] for p in cut]))
+        parts.update(p for cut in plain.values() for p in cut if p not in known)
+        met = list(parts & older.keys())
+        self._hold(met, [older[p] for p in met])
+        self._encode_parts([p for p in parts if p not in known])
+        self._encode(other)
+        made = [w for w in plain if w not in known]
+        self._hold(made, [b"".join([known[p] for p in plain[w]]) for w in made])
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")  # without offsets
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Pre-tokens by the library: many at once, kept apart by spaces; each ends with its one id that may be a pre-token's last."""
+        for start in range(0, len(parts), 500):
+            part = parts[start : start + 500]
+            ids = self._ids(" ".join(part))
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                raise ValueError(f"the vocabulary does not end pre-tokens by {SUFFIX}")
+            raw = ids.tobytes()
+            self._hold(part, [raw[4 * begin : 4 * end] for begin, end in zip([0, *ends], ends, strict=False)])
 
     def _encode(self, words: list[str]) -> None:
         """By the library: many at once, kept apart by a special string, which no word holds; the others one by one."""
         whole = [w for w in words if SPECIAL not in w]
         for start in range(0, len(whole), 500):
             part = whole[start : start + 500]
-            ids = np.array(self.library.encode(APART.join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = self._ids(APART.join(part))
             ends = [*np.flatnonzero(ids == self.apart).tolist(), len(ids)] if self.apart is not None else []
             if len(ends) != len(part):
                 raise ValueError(f"the vocabulary does not keep words apart by {APART}")
-            begin = 0
-            for w, end in zip(part, ends, strict=True):
-                self._hold(w, ids[begin:end].tobytes())
-                begin = end + 1
-        for w in words:
-            if SPECIAL in w:
-                self._hold(w, np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes())
-
-    def _hold(self, word: str, ids: bytes) -> None:
-        self.known[word] = ids
-        self.held += 2 * len(word) + len(ids) + 150
+            raw = ids.tobytes()
+            self._hold(part, [raw[4 * begin : 4 * end] for begin, end in zip([0, *(e + 1 for e in ends)], ends, strict=False)])
+        alone = [w for w in words if SPECIAL in w]
+        self._hold(alone, [self._ids(w).tobytes() for w in alone])
+
+    def _hold(self, words: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(words, ids, strict=True))
+        self.held += 2 * sum(map(len, words)) + sum(map(len, ids)) + 150 * len(words)
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """Words of a text whose ids in a row are those of the text."""
+        if SPECIAL not in text and PLAIN.fullmatch(text):
+            text = text.lower()
+            if JOINED.search(text):
+                return CUT.findall(text)
+            text = text.replace(".", " .").replace(",", " ,")
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.held > KEPT:
             self.older, self.known, self.held = self.known, {}, 0
         get = self.known.get
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        cut = [self._cut(t) for t in texts]
         found = [list(map(get, words)) for words in cut]
-        self.learn({w for words, ids in zip(cut, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None})
+        new = [list(compress(count(), map(is_, ids, repeat(None)))) for ids in found]
+        self.learn({words[i] for words, places in zip(cut, new, strict=True) for i in places})
         known = self.known
-        return [b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(cut, found, strict=True)]
+        for words, ids, places in zip(cut, found, new, strict=True):
+            for i in places:
+                ids[i] = known[words[i]]
+        return [b"".join(ids) for ids in found]
 
 
 @lru_cache(maxsize=2)

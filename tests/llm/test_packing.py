@@ -113,3 +113,16 @@ def test_words_are_forgotten_and_learnt_again():
     words.held = packing.KEPT + 1
     assert words.encode(["four"]) == [np.array(ids_of("four")[:-1], dtype="<u4").tobytes()]
     assert words.encode(["one two"]) == first[:1]
+
+
+def test_variants_of_a_word_are_learnt_once():
+    words, text = packing.Words(PATH), "Word word, WORD. wÖrd\nwörd,\tWÖRD. "
+    assert words.encode([text]) == [np.array(ids_of(text)[:-1], dtype="<u4").tobytes()]
+    assert set(words.known) == {"word", "wörd", ",", ".", ""}
+
+
+def test_marks_beside_others_equal_the_library():
+    rng = random.Random(13)
+    letters = ["a", "B", "é", "ß", "Ÿ", "ÿ", "×", "µ", "s", "ll", "'", "'s", "1", ".", ",", "!", "***", " ", " ", "\n", "\r\n", "<", "|", "</w>"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    assert packing.Words(PATH).encode(texts) == [np.array(ids_of(t)[:-1], dtype="<u4").tobytes() for t in texts]
