@@ -17,7 +17,6 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from barline.llm.common import blocks, texts
+from barline.llm.common import blocks, remembered, texts, tidy
 
 SPACE = "▁"
 KEPT = 250_000  # distinct pre-tokens in either generation that a worker remembers
@@ -230,7 +229,7 @@ class Pieces:
                 self.odd |= {p: text for p, own in zip(part, ids, strict=True) if (text := self._spell(own)) != p}
 
 
-@lru_cache(maxsize=2)
+@remembered
 def vocabulary(path: str) -> Pieces:
     return Pieces(path)
 
@@ -246,7 +245,7 @@ def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     source = texts(df, id_col, text_col)
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids string, decoded string")
+    return source.mapInArrow(tidy(run, keep=True), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids string, decoded string")
 
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,7 +257,7 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), sha(ids), sha(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = texts(df, id_col, text_col)
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(tidy(run, keep=True), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[int], list[str], list[str]]]:

@@ -5,10 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pyarrow as pa
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from barline.llm import pieces
 from barline.llm.catalog import PIECES
+from barline.llm.common import tidy
 from tests.llm.test_lines import plain
 from tests.llm.test_shingles import plain as plain_near
 from tests.llm.test_tiling import plain_coverage
@@ -77,3 +81,28 @@ def test_stages_on_no_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def test_stages_send_bounded_batches(spark):
+    held = {key: spark.conf.get(key) for key in corpus_pipeline.ARROW}
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    try:
+        docs = spark.range(0, 9000, 1, 1).select("id", F.repeat(F.lit("word "), 200).alias("text"))
+        got = corpus_pipeline._stage(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "n long, size long"))(spark, docs, "").collect()
+        assert sum(r.n for r in got) == 9000 and max(r.n for r in got) <= 2000
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+        corpus_pipeline._stage(lambda spark, docs, sf_dir: docs)(spark, docs, "")
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "50"
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+
+
+def test_workers_forget_what_tasks_of_other_kinds_remember():
+    pieces.vocabulary(PIECES)
+    assert list(tidy(lambda batches: batches, keep=True)(iter([1]))) == [1] and pieces.vocabulary.cache_info().currsize == 1
+    assert list(tidy(lambda batches: batches)(iter([1]))) == [1] and pieces.vocabulary.cache_info().currsize == 0
